@@ -1,0 +1,11 @@
+"""Registered queries and their SQL twins."""
+
+from newsloom.catalog import common, relational  # noqa: F401
+
+
+def queries():
+    return dict(common.QUERIES)
+
+
+def oracle_sql():
+    return dict(common.ORACLE)

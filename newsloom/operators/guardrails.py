@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom import settings
-from newsloom.operators.ordered import running_total, top_per_key
+from newsloom.operators.ordered import running_totals, top_per_key
 
 
 def cap_per_source(df: DataFrame, domain: str, order: list, limit: int = settings.MAX_URLS_PER_SOURCE) -> DataFrame:
@@ -29,8 +29,8 @@ def with_breaker(
 
     A row is skipped once its domain has 8 blind or 5 failed extractions before it.
     """
-    counts = running_total(df, domain, order, blind.cast("long"), bucket, "blind_before", exclusive=True)
-    counts = running_total(counts, domain, order, failed.cast("long"), bucket, "failed_before", exclusive=True)
+    values = {"blind_before": blind.cast("long"), "failed_before": failed.cast("long")}
+    counts = running_totals(df, domain, order, values, bucket, exclusive=True)
     state = (
         F.when(F.col("failed_before") >= settings.FAILED_DOMAIN_THRESHOLD, F.lit("circuit_open_skip"))
         .when(F.col("blind_before") >= settings.BLIND_DOMAIN_THRESHOLD, F.lit("blind_circuit_skip"))

@@ -15,7 +15,7 @@ def embed(df: DataFrame, dim: DataFrame, key: str, name: str) -> DataFrame:
     No broadcast hint: Spark picks it when the dimension's size allows.
     """
     packed = dim.select(F.col("id").alias(key), F.struct(*dim.columns).alias(name))
-    return df.join(packed, key, "left")
+    return df.drop(name).join(packed, key, "left")
 
 
 def embed_mention(mentions: DataFrame, brands: DataFrame, topics: DataFrame, platforms: DataFrame) -> DataFrame:

@@ -10,23 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def running_total(
-    df: DataFrame, keys: list[str], order: list, value: Column, bucket: Column, name: str,
+def running_totals(
+    df: DataFrame, keys: list[str], order: list, values: dict[str, Column], bucket: Column,
     exclusive: bool = False,
 ) -> DataFrame:
-    """Adds ``name`` = sum of ``value`` over the rows up to (or strictly before) each row."""
+    """Adds per name the sum of its value over the rows up to (or strictly before) each row."""
     rows = df.withColumn("_bucket", bucket)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     inside = inside.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    totals = rows.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_part"))
+    totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(f"_part_{n}") for n, v in values.items()])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_bucket", F.coalesce(F.sum("_part").over(before), F.lit(0)).alias("_start"))
-    return (
-        rows.withColumn("_inner", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(starts, [*keys, "_bucket"])
-        .withColumn(name, F.col("_inner") + F.col("_start"))
-        .drop("_inner", "_start", "_bucket")
+    or_zero = lambda c: F.coalesce(c, F.lit(0))
+    starts = totals.select(
+        *keys, "_bucket", *[or_zero(F.sum(f"_part_{n}").over(before)).alias(f"_start_{n}") for n in values]
     )
+    inner = rows.withColumns({f"_inner_{n}": or_zero(F.sum(v).over(inside)) for n, v in values.items()})
+    summed = inner.join(starts, [*keys, "_bucket"]).withColumns(
+        {n: F.col(f"_inner_{n}") + F.col(f"_start_{n}") for n in values}
+    )
+    return summed.drop("_bucket", *[f"_inner_{n}" for n in values], *[f"_start_{n}" for n in values])
+
+
+def running_total(
+    df: DataFrame, keys: list[str], order: list, value: Column, bucket: Column, name: str,
+    exclusive: bool = False,
+) -> DataFrame:
+    return running_totals(df, keys, order, {name: value}, bucket, exclusive)
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str) -> DataFrame:

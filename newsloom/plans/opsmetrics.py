@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom import settings
-from newsloom.operators.ordered import previous_value
+from newsloom.operators.ordered import previous_value, running_total, running_totals
 
 
 def counters(samples: DataFrame, labels: list[str]) -> DataFrame:
@@ -114,8 +114,6 @@ def sustained(
     Gaps and islands: a firing evaluation that does not follow another one by exactly one step
     starts an island. Days keep the numbering parallel.
     """
-    from newsloom.operators.ordered import running_total
-
     hot = evaluations.filter(firing).select(*keys, at)
     bucket = F.floor(F.col(at) / bucket_s)
     seen = previous_value(hot, keys, [at], at, bucket, "_previous")
@@ -146,11 +144,10 @@ def dashboard_totals(samples: DataFrame) -> DataFrame:
 def status_distribution(samples: DataFrame) -> DataFrame:
     """Runs per status with the rounded overall success percentage."""
     counts = samples.groupBy(F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.sum("value").alias("runs"))
-    total = counts.agg(
-        F.sum("runs").alias("_all"), F.coalesce(F.sum(F.when(F.col("status") == "success", F.col("runs"))), F.lit(0)).alias("_good")
-    )
-    percent = F.when(F.col("_all") > 0, F.round(F.col("_good") / F.col("_all") * 100)).otherwise(0.0)
-    return counts.join(F.broadcast(total)).select("status", "runs", percent.alias("success_percent"))
+    everything = counts.agg(F.sum("runs")).scalar()
+    good = counts.agg(F.coalesce(F.sum(F.when(F.col("status") == "success", F.col("runs"))), F.lit(0))).scalar()
+    percent = F.when(everything > 0, F.round(good / everything * 100)).otherwise(0.0)
+    return counts.select("status", "runs", percent.alias("success_percent"))
 
 
 def provider_table(runs: DataFrame, articles: DataFrame) -> DataFrame:
@@ -165,8 +162,18 @@ def provider_table(runs: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def counter_history(polls: DataFrame, series: list[str], points: int = settings.HISTORY_POINTS) -> DataFrame:
-    """Delta per poll (the first one skipped) with the sum over the last ``points`` deltas."""
-    grown = previous_value(polls, series, ["ts"], "value", F.date_trunc("day", "ts"), "previous")
+    """Delta per poll (the first one skipped) with the sum over the last ``points`` deltas.
+
+    The sliding sum is the running total minus the running total ``points`` rows earlier, so a
+    long series is not one window partition.
+    """
+    day = F.date_trunc("day", "ts")
+    grown = previous_value(polls, series, ["ts"], "value", day, "previous")
     deltas = grown.filter(F.col("previous").isNotNull()).withColumn("delta", F.col("value") - F.col("previous"))
-    frame = Window.partitionBy(*series).orderBy("ts").rowsBetween(1 - points, 0)
-    return deltas.withColumn("recent", F.sum("delta").over(frame))
+    summed = running_totals(deltas, series, ["ts"], {"_sum": F.col("delta"), "_n": F.lit(1)}, day)
+    earlier = summed.select(*series, (F.col("_n") + points).alias("_n"), F.col("_sum").alias("_before"))
+    return (
+        summed.join(earlier, [*series, "_n"], "left")
+        .withColumn("recent", F.col("_sum") - F.coalesce("_before", F.lit(0)))
+        .drop("_n", "_sum", "_before")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.functions import dates, text
 from newsloom.functions.queries import clamp
@@ -82,12 +82,10 @@ def samples(mentions: DataFrame, per_brand: int = 3) -> DataFrame:
 
 
 def share_of_attention(mentions: DataFrame, key: str = "brand_id") -> DataFrame:
-    """Volume and share per brand. The total is a second, tiny aggregate of the grouped counts."""
+    """Volume and share per brand; the total is a scalar subquery over the grouped counts."""
     volume = mentions.groupBy(key).agg(F.count("*").alias("mentions"))
-    total = volume.agg(F.sum("mentions").alias("_total"))
-    return volume.join(F.broadcast(total)).select(
-        key, "mentions", F.round(F.col("mentions") / F.col("_total"), 4).alias("share")
-    )
+    total = volume.agg(F.sum("mentions")).scalar()
+    return volume.select(key, "mentions", F.round(F.col("mentions") / total, 4).alias("share"))
 
 
 def attempt_plan(days: int, limit: int = 50) -> list[tuple[int, int]]:
@@ -138,10 +136,10 @@ def compare_brands(mentions: DataFrame, brands: DataFrame, names: list[str], as_
     rows = mentions.join(wanted.select(F.col("id").alias("brand_id"), "name"), "brand_id")
     window = adaptive_window(rows, as_of, days)
     fetched = window.join(wanted.select(F.col("id").alias("brand_id"), "name"), "brand_id")
-    total = fetched.agg(F.sum("rows").alias("_total"))
-    return fetched.join(F.broadcast(total)).select(
+    total = fetched.agg(F.sum("rows")).scalar()
+    return fetched.select(
         "name", "effective_days", "effective_limit", F.col("rows").alias("mentions"),
-        F.round(F.col("rows") / F.col("_total"), 4).alias("share"),
+        F.round(F.col("rows") / total, 4).alias("share"),
     )
 
 
@@ -173,9 +171,9 @@ def mention_lines(mentions: DataFrame) -> DataFrame:
 def report_lines(mentions: DataFrame, days: int = 7, sample_rows: int = 15) -> DataFrame:
     """Report body as ordered rows (section, position, line); the text stays in rows, so a report
     over any volume is never one value."""
-    numbered = lambda df, section, order, line: (
-        top_per_key(df.withColumn("section", F.lit(section)), ["section"], order, 1000, name="position")
-        .select("section", "position", line.alias("line"))
+    # Only grouped rows (topics, platforms, days) and the samples are numbered, never mentions.
+    numbered = lambda df, section, order, line: df.select(
+        F.lit(section).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("position"), line.alias("line")
     )
     by_topic = numbered(
         topic_breakdown(mentions, ["topic"]), "1 topics", [F.desc("mentions"), "topic"],
