@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from newsloom.catalog import common, relational  # noqa: F401
+from newsloom.catalog import common, content, metrics, relational, stories  # noqa: F401
 
 
 def queries():

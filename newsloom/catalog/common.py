@@ -30,18 +30,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def rows(values: list[tuple], names: str) -> str:
-    """VALUES list as a SQL table expression."""
-    shown = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in values)
-    return f"(VALUES {shown}) AS t({names})"
-
-
-def _literal(value) -> str:
-    if value is None:
-        return "NULL"
-    return str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
-
-
 ROLE_SQL = {
     "brands": """
         SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS VARCHAR) AS profile_id, n_name AS name,

@@ -8,7 +8,7 @@ shared tokens followed by either remainder.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
 
 
 def _common_subsequence(a: str, b: str) -> int:
@@ -46,9 +46,14 @@ def token_set_ratio(left: str, right: str) -> float:
     return best
 
 
-@F.pandas_udf(T.DoubleType())
-def token_set_ratio_udf(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(a or "", b or "") for a, b in zip(left, right)], dtype="float64")
+def similarity(left, right) -> Column:
+    """Score of two normalised text columns."""
+
+    @F.pandas_udf(T.DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+
+    return score(left, right)
 
 
 def is_duplicate(a, b, threshold: float, window_us: int, wrappers: bool = True) -> bool:

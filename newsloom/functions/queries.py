@@ -16,7 +16,7 @@ def pack_or_queries(keywords, max_chars, separator: str = " OR ") -> Column:
     """Greedy packing of phrases into OR-queries of at most ``max_chars``; phrases stay whole."""
     max_chars = max_chars if isinstance(max_chars, Column) else F.lit(max_chars)
     sep = F.lit(separator)
-    terms = F.filter(F.transform(_col(keywords), F.trim), lambda k: k != "")
+    terms = F.filter(F.transform(_col(keywords), lambda k: F.trim(k)), lambda k: k != "")
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def add(acc, term):

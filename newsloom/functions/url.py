@@ -129,11 +129,9 @@ def redirect_targets(url) -> Column:
             F.regexp_extract(p, r"^[^=]*=(.*)$", 1).alias("v"),
         ),
     )
+    named = lambda name: F.filter(pairs, lambda p: p["k"] == name)
     per_param = [
-        F.transform(
-            F.filter(pairs, lambda p, name=name: p["k"] == name),
-            lambda p: F.trim(F.try_url_decode(p["v"])),
-        )
+        F.transform(named(name), lambda p: F.trim(F.try_url_decode(p["v"])))
         for name in settings.REDIRECT_PARAMS
     ]
     return F.filter(F.flatten(F.array(*per_param)), lambda u: u.isNotNull() & is_http(u))

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from newsloom import settings
-from newsloom.functions import fuzzy, text, url
+from newsloom.functions import text, url
+from newsloom.functions.fuzzy import is_duplicate
 from newsloom.operators.ordered import top_per_key
 from newsloom.session import cut_lineage
 
@@ -69,7 +70,7 @@ def _keep_first(threshold: float, window_us: int):
             kept = []
             for row in rows:
                 peer = _peer(row)
-                if not any(fuzzy.is_duplicate(peer, k, threshold, window_us) for _, k in kept):
+                if not any(is_duplicate(peer, k, threshold, window_us) for _, k in kept):
                     kept.append((row["seq"], peer))
             return [seq for seq, _ in kept]
 
@@ -86,7 +87,7 @@ def _resembles_any(threshold: float, window_us: int):
             rows["seq"], rows["text"], rows["at"], rows["domain"], rows["wrapper"], peers
         ):
             mine = (body, None if pd.isna(at) else int(at), domain, wrapper)
-            out.append(any(fuzzy.is_duplicate(mine, _peer(o), threshold, window_us) for o in others))
+            out.append(any(is_duplicate(mine, _peer(o), threshold, window_us) for o in others))
         return pd.Series(out, dtype="bool")
 
     return resembles

@@ -23,13 +23,14 @@ def budget_skipped(df: DataFrame, limit: int = settings.MAX_URLS_PER_RUN) -> Dat
 
 def with_breaker(
     df: DataFrame, domain: list[str], order: list, bucket: Column,
-    blind: Column = F.lit(False), failed: Column = F.lit(False),
+    blind: Column | None = None, failed: Column | None = None,
 ) -> DataFrame:
     """Adds the earlier blind and failed extractions of the domain and the resulting breaker.
 
     A row is skipped once its domain has 8 blind or 5 failed extractions before it.
     """
-    values = {"blind_before": blind.cast("long"), "failed_before": failed.cast("long")}
+    flag = lambda c: F.lit(0).cast("long") if c is None else c.cast("long")
+    values = {"blind_before": flag(blind), "failed_before": flag(failed)}
     counts = running_totals(df, domain, order, values, bucket, exclusive=True)
     state = (
         F.when(F.col("failed_before") >= settings.FAILED_DOMAIN_THRESHOLD, F.lit("circuit_open_skip"))

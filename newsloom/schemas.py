@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(), "date": T.DateType(), "double": T.DoubleType(),
+    "decimal(5.2)": T.DecimalType(5, 2), "array<string>": T.ArrayType(T.StringType()),
+    "map<string:string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _schema(fields: str) -> T.StructType:
+    """``name type, name type`` to a schema; unlike DDL parsing it needs no running session."""
+    pairs = (f.split() for f in fields.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 RAW_MENTION = _schema(
     "run_id string, source_provider string, source_label string, seq bigint, brand_id bigint, title string, "
     "content_teaser string, link string, platform string, published_raw string, published_at timestamp, "
-    "extra map<string,string>"
+    "extra map<string:string>"
 )
 PROFILE = _schema("id string, name string, email string, phone_number string, company_name string, contact_email string, role string, created_at timestamp")
 PLATFORM = _schema("id bigint, name string")
@@ -45,7 +55,7 @@ SCRAPING_JOB = _schema(
 SCRAPABLE_SITE = _schema(
     "id bigint, name string, description string, base_url string, urls_to_scrape array<string>, article_selector string, "
     "exclude_patterns array<string>, include_patterns array<string>, category string, avg_articles_per_day int, "
-    "success_rate decimal(5,2), is_active boolean"
+    "success_rate decimal(5.2), is_active boolean"
 )
 JOB_SITE = _schema("scraping_job_id bigint, scrapable_site_id bigint, is_active boolean")
-METRIC_SAMPLE = _schema("ts timestamp, name string, labels map<string,string>, value double")
+METRIC_SAMPLE = _schema("ts timestamp, name string, labels map<string:string>, value double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +31,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and drop its lineage.
-
-    The folder is the one named by ``spark.checkpoint.dir``; only a local session without that
-    setting gets a private folder.
-    """
-    spark = df.sparkSession
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; only a local session without that
+    setting gets a private one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,4 +42,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder every executor can write to."""
+    return f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder and drop its lineage."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -31,7 +31,7 @@ def taxonomy_specs(specs: DataFrame) -> DataFrame:
     parts = F.split("value", "=", 2)
     topic = F.trim(F.get(parts, F.lit(0)))
     words = F.filter(
-        F.transform(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ","), F.trim), lambda k: k != ""
+        F.transform(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ","), lambda k: F.trim(k)), lambda k: k != ""
     )
     reason = (
         F.when(~F.col("value").contains("="), F.lit("no_equals"))
