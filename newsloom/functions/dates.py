@@ -67,7 +67,7 @@ def parse_date(raw, as_of) -> Column:
 
     clock = r"(\d{1,2}[:.]\d{2}(?:[:.]\d{2})?)?"
     zone = r"\s*([A-Za-z]{1,4}|[+-]\d{2}:?\d{2})?$"
-    weekday = r"^(?:\p{L}{2,10}\.?,?\s+(?:d\.?|den)?\s*)?"
+    weekday = r"^(?:\p{L}{1,10}\.?,?\s+(?:d\.?|den)?\s*)?"
     named = weekday + r"(\d{1,2})\.?\s+(\p{L}{3})\p{L}*\.?,?\s+(\d{4})(?:,|\s+(?:kl\.?|at))?\s*" + clock + zone
     part = lambda pattern, i: F.regexp_extract(text, pattern, i)
     colons = lambda c: F.replace(c, F.lit("."), F.lit(":"))
