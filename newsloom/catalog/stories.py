@@ -8,6 +8,7 @@ from newsloom.catalog.common import AS_OF, KEYWORDS, Roles, query, sql_with
 from newsloom.functions import fuzzy, text
 from newsloom.operators import dedup, filters, guardrails, language, matching
 from newsloom.plans import ingest
+from newsloom.session import cut_lineage
 
 # Three topics over the fixed keyword list; "of the" is a two-word phrase.
 _TAXONOMY = [(1, 1, "the"), (1, 2, "with"), (2, 3, "that"), (2, 4, "and"), (3, 5, "les"), (3, 6, "und"), (3, 7, "para"), (1, 8, "of the")]
@@ -267,7 +268,8 @@ def _stages(spark, folder):
     verdicts = r.table("labels", "doc_id", "quality").select(F.col("doc_id").alias("mention_id"), (F.col("quality") == 1).alias("relevant"))
     allowed = F.array(F.lit("en"), F.lit("da"))
     cutoff = F.lit("2024-01-28").cast("timestamp")
-    return raw, ingest.filter_mentions(raw, cutoff, ["brand_id"], _profiles(spark, folder), allowed, verdicts)
+    profiles = cut_lineage(_profiles(spark, folder))
+    return raw, ingest.filter_mentions(raw, cutoff, ["brand_id"], profiles, allowed, verdicts)
 
 
 @query("ingest_stage_counts")

@@ -54,55 +54,62 @@ def _zone(raw: Column) -> Column:
     )
 
 
+_CLOCK = r"(\d{1,2}[:.]\d{2}(?:[:.]\d{2})?)?"
+_ZONE = r"\s*([A-Za-z]{1,4}|[+-]\d{2}:?\d{2})?$"
+_WEEKDAY = r"^(?:\p{L}{1,10}\.?,?\s+(?:d\.?|den)?\s*)?"
+# Each form captures three date parts, a clock and a zone.
+_DAY_MONTH = _WEEKDAY + r"(\d{1,2})\.?\s+(\p{L}{3})\p{L}*\.?,?\s+(\d{4})(?:,|\s+(?:kl\.?|at))?\s*" + _CLOCK + _ZONE
+_MONTH_DAY = r"^(\p{L}{3})\p{L}*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?:,|\s+at)?\s*" + _CLOCK + _ZONE
+_NUMERIC = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})(?:,|\s+kl\.?)?\s*" + _CLOCK + _ZONE
+_AGO = (
+    r"^(?:for )?(\d+|an?|en|et)\s+"
+    r"(second|sekund|minute|minut|min|hour|time|day|dag|week|uge|month|måned|year|år)\p{L}*\s+(?:ago|siden)$"
+)
+
+
+def _with(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _captured(text: Column, pattern: str, groups: int, build) -> Column:
+    """``build`` over the captured groups when the text has the form, else null."""
+    joined = F.regexp_replace(text, pattern, "|".join(f"${i}" for i in range(1, groups + 1)))
+    return F.when(text.rlike(pattern), _with(F.split(joined, r"\|"), build))
+
+
 def parse_date(raw, as_of) -> Column:
     """Instant of a date string: ISO 8601, RFC 822, day-first numeric, named months, epoch
     seconds, or a phrase relative to ``as_of`` ("3 days ago", "2 timer siden", "i går")."""
-    text = F.trim(F.regexp_replace(_col(raw), r"\s+", " "))
     as_of = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
+    return _with(F.trim(F.regexp_replace(_col(raw), r"\s+", " ")), lambda text: _parse(text, as_of))
 
-    iso = F.when(
-        text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"),
-        F.regexp_replace(text, r" (UTC|GMT)$", "Z").try_cast("timestamp"),
-    )
 
-    clock = r"(\d{1,2}[:.]\d{2}(?:[:.]\d{2})?)?"
-    zone = r"\s*([A-Za-z]{1,4}|[+-]\d{2}:?\d{2})?$"
-    weekday = r"^(?:\p{L}{1,10}\.?,?\s+(?:d\.?|den)?\s*)?"
-    named = weekday + r"(\d{1,2})\.?\s+(\p{L}{3})\p{L}*\.?,?\s+(\d{4})(?:,|\s+(?:kl\.?|at))?\s*" + clock + zone
-    part = lambda pattern, i: F.regexp_extract(text, pattern, i)
-    colons = lambda c: F.replace(c, F.lit("."), F.lit(":"))
-    day_month = F.when(
-        text.rlike(named),
-        _stamp(part(named, 3), _lookup(MONTHS, F.lower(part(named, 2))).cast("string"), part(named, 1),
-               colons(part(named, 4)), _zone(part(named, 5))),
+def _parse(text: Column, as_of: Column) -> Column:
+    month = lambda name: _lookup(MONTHS, F.lower(name)).cast("string")
+    clock = lambda c: F.replace(c, F.lit("."), F.lit(":"))
+    iso = F.when(
+        text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.regexp_replace(text, r" (UTC|GMT)$", "Z").try_cast("timestamp")
     )
-
-    month_first = r"^(\p{L}{3})\p{L}*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?:,|\s+at)?\s*" + clock + zone
-    month_day = F.when(
-        text.rlike(month_first),
-        _stamp(part(month_first, 3), _lookup(MONTHS, F.lower(part(month_first, 1))).cast("string"),
-               part(month_first, 2), colons(part(month_first, 4)), _zone(part(month_first, 5))),
+    day_month = _captured(
+        text, _DAY_MONTH, 5, lambda p: _stamp(p[2], month(p[1]), p[0], clock(p[3]), _zone(p[4]))
     )
-
-    dmy = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})(?:,|\s+kl\.?)?\s*" + clock + zone
-    numeric = F.when(
-        text.rlike(dmy),
-        _stamp(part(dmy, 3), part(dmy, 2), part(dmy, 1), colons(part(dmy, 4)), _zone(part(dmy, 5))),
+    month_day = _captured(
+        text, _MONTH_DAY, 5, lambda p: _stamp(p[2], month(p[0]), p[1], clock(p[3]), _zone(p[4]))
     )
-
+    numeric = _captured(text, _NUMERIC, 5, lambda p: _stamp(p[2], p[1], p[0], clock(p[3]), _zone(p[4])))
     epoch = F.when(text.rlike(r"^\d{10}$"), F.timestamp_seconds(text.try_cast("bigint")))
-
     low = F.lower(text)
-    ago = r"^(?:for )?(\d+|an?|en|et)\s+(second|sekund|minute|minut|min|hour|time|day|dag|week|uge|month|måned|year|år)\p{L}*\s+(?:ago|siden)$"
-    count = F.regexp_extract(low, ago, 1)
-    number = F.coalesce(count.try_cast("bigint"), F.lit(1))
-    seconds = number * _lookup(UNIT_SECONDS, F.regexp_extract(low, ago, 2))
-    relative = (
-        F.when(low.rlike(ago), F.timestamp_seconds(F.unix_seconds(as_of) - seconds))
-        .when(low.isin("now", "nu", "just now", "today", "i dag"), as_of)
-        .when(low.isin("yesterday", "i går"), as_of - F.expr("INTERVAL 1 DAY"))
+    ago = _captured(
+        low, _AGO, 2,
+        lambda p: F.timestamp_seconds(
+            F.unix_seconds(as_of) - F.coalesce(p[0].try_cast("bigint"), F.lit(1)) * _lookup(UNIT_SECONDS, p[1])
+        ),
+    )
+    named_day = F.when(low.isin("now", "nu", "just now", "today", "i dag"), as_of).when(
+        low.isin("yesterday", "i går"), as_of - F.expr("INTERVAL 1 DAY")
     )
-    return F.coalesce(iso, day_month, month_day, numeric, epoch, relative)
+    return F.coalesce(iso, day_month, month_day, numeric, epoch, ago, named_day)
 
 
 def first_date(*raw) -> Column:

@@ -49,7 +49,7 @@ def matches_phrase(text, keyword) -> Column:
 
 def words(value) -> Column:
     """Distinct lower-case word tokens; ``_`` separates words here."""
-    pieces = F.split(F.lower(_text(value)), r"(?U)[\W_]+")
+    pieces = F.split(F.lower(_text(value)), r"[^\p{L}\p{N}]+")
     return F.array_distinct(F.filter(pieces, lambda w: w != ""))
 
 

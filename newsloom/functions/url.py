@@ -141,8 +141,8 @@ def is_wrapper_host(url) -> Column:
     return netloc(url).contains("google.")
 
 
-def canonical_link(candidates) -> Column:
-    """First link that leaves the aggregator; otherwise the first wrapper link, else empty."""
+def outside_link(candidates) -> Column:
+    """First link that leaves the aggregator, else the first wrapper link, else null."""
     candidates = _col(candidates)
     expanded = F.flatten(
         F.transform(
@@ -152,8 +152,13 @@ def canonical_link(candidates) -> Column:
     )
     direct = F.filter(expanded, lambda u: ~is_wrapper_host(u))
     wrapper = F.filter(candidates, lambda u: is_http(u))
-    chosen = F.coalesce(F.get(direct, F.lit(0)), F.get(wrapper, F.lit(0)))
-    return F.coalesce(normalize_url(chosen), F.lit(""))
+    return F.coalesce(F.get(direct, F.lit(0)), F.get(wrapper, F.lit(0)))
+
+
+def canonical_link(candidates) -> Column:
+    """Normalised link of a feed entry; empty when it has none."""
+    normalized = F.transform(F.array(outside_link(candidates)), lambda u: normalize_url(u))
+    return F.coalesce(F.get(normalized, F.lit(0)), F.lit(""))
 
 
 def entry_candidates(link, entry_id, guid, html) -> Column:
@@ -178,7 +183,11 @@ def segments(path_col) -> Column:
 
 def is_candidate_article_url(url, domain) -> Column:
     """Looks like an article on ``domain``: a dated, numbered or long-slug path."""
-    raw = F.trim(path(url))
+    web = scheme(url).isin("http", "https")
+    return F.coalesce(web & same_or_subdomain(netloc(url), domain) & is_article_path(F.trim(path(url))), F.lit(False))
+
+
+def is_article_path(raw: Column) -> Column:
     clean = F.regexp_replace(F.lower(raw), r"/+$", "")
     parts = segments(clean)
     dated = F.concat(clean, F.lit("/")).rlike(settings.DATE_PATH_REGEX)
@@ -189,15 +198,12 @@ def is_candidate_article_url(url, domain) -> Column:
     )
     asset = F.lower(raw).rlike(r"\.(?:" + "|".join(settings.ASSET_EXTENSIONS) + r")$")
     section = F.arrays_overlap(parts, F.array(*[F.lit(s) for s in settings.SECTION_SEGMENTS]))
-    return F.coalesce(
-        scheme(url).isin("http", "https")
-        & same_or_subdomain(netloc(url), domain)
-        & ~raw.isin("", "/")
+    return (
+        ~raw.isin("", "/")
         & ~asset
         & (F.size(parts) > 0)
         & (dated | numbered | slug)
-        & (~section | dated | numbered),
-        F.lit(False),
+        & (~section | dated | numbered)
     )
 
 

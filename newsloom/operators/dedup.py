@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from newsloom import settings
 from newsloom.functions import text, url
 from newsloom.functions.fuzzy import is_duplicate
+from newsloom.operators.once import once
 from newsloom.operators.ordered import top_per_key
 from newsloom.session import cut_lineage
 
@@ -26,7 +27,7 @@ _PEER = "struct<seq:bigint,text:string,at:bigint,domain:string,wrapper:boolean>"
 def url_dedup(df: DataFrame, scope: list[str] = (), order: str = "seq") -> DataFrame:
     """First row per normalised URL; rows without a link go, a missing platform is filled in."""
     linked = df.filter(F.coalesce(F.col("link"), F.lit("")) != "")
-    keyed = linked.withColumn("norm_url", url.normalize_url("link"))
+    keyed = once(linked, norm_url=url.normalize_url("link"))
     first = top_per_key(keyed, [*scope, "norm_url"], [order], 1)
     platform = F.coalesce(F.nullif("platform", F.lit("")), url.platform_from_url("link"))
     return first.withColumn("platform", platform)
@@ -45,14 +46,16 @@ def _blocking_columns(df: DataFrame, scope: list[str], wrapper_hosts) -> DataFra
     linked = F.coalesce(F.nullif("link", F.lit("")), F.nullif("platform", F.lit("")), F.lit(""))
     normalized = text.normalize_title(text.comparison_text("title", "content_teaser"))
     host = F.regexp_replace(url.netloc("link"), r"^www\.", "")
-    return df.select(
+    keyed = df.select(
         *scope,
         "seq",
         normalized.alias("text"),
         F.unix_micros("published_at").alias("at"),
         url.etld_plus_one(linked).alias("domain"),
         F.coalesce(host.isin(*wrapper_hosts), F.lit(False)).alias("wrapper"),
-    ).filter(F.col("text") != "").withColumn("signature", text.title_signature("text"))
+    )
+    keyed = once(keyed, text=F.col("text"))
+    return keyed.filter(F.col("text") != "").withColumn("signature", text.title_signature("text"))
 
 
 def _window_us(days: int) -> int:
@@ -107,7 +110,7 @@ def near_dedup(
     """Rows left after near-duplicate removal. ``seq`` must be unique within ``scope``."""
     scope = list(scope)
     threshold = max(1, min(threshold, 100))
-    rows = _blocking_columns(df, scope, wrapper_hosts)
+    rows = cut_lineage(_blocking_columns(df, scope, wrapper_hosts))
 
     # A title seen behind a wrapper host is compared across domains; others stay in their domain.
     wrapped = rows.filter("wrapper").select(*scope, "signature").distinct().withColumn("_wrapped", F.lit(True))
@@ -149,9 +152,10 @@ def near_dedup(
         pending = judged.filter(~F.col("_hit")).drop("_hit")
         batch = min(LARGEST_BATCH, batch * 2)
 
+    # What goes: later copies of an identical row, and representatives that lost.
     kept = first.select(*scope, "seq").join(dropped, [*scope, "seq"], "left_anti")
-    has_text = text.normalize_title(text.comparison_text("title", "content_teaser")) != ""
-    return df.filter(has_text).join(kept, [*scope, "seq"], "left_semi").unionByName(df.filter(~has_text))
+    gone = rows.select(*scope, "seq").join(kept, [*scope, "seq"], "left_anti")
+    return df.join(gone, [*scope, "seq"], "left_anti")
 
 
 def recent_history(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsloom import settings
 from newsloom.functions import text
+from newsloom.operators.once import once
 from newsloom.operators.ordered import top_per_key
 
 
@@ -31,8 +32,8 @@ def phrase_matches(mentions: DataFrame, keywords: DataFrame, scope: list[str] =
     by_token = tokens.join(phrases.filter(F.col("_token").isNotNull()), [*scope, "_token"])
     by_scope = texts.join(phrases.filter(F.col("_token").isNull()), scope)
     candidates = by_token.drop("_token").unionByName(by_scope.drop("_token"))
-    found = candidates.withColumn("_in_title", F.rlike("_title", F.col("_pattern"))).withColumn(
-        "_in_teaser", F.rlike("_teaser", F.col("_pattern"))
+    found = once(
+        candidates, _in_title=F.rlike("_title", F.col("_pattern")), _in_teaser=F.rlike("_teaser", F.col("_pattern"))
     )
     where = (
         F.when(F.col("_in_title") & F.col("_in_teaser"), F.lit("both"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsloom import settings
 from newsloom.functions import url
 from newsloom.operators import dedup, filters, language, matching
+from newsloom.session import cut_lineage
 
 
 def union_providers(outputs: dict[str, DataFrame | None]) -> DataFrame:
@@ -57,8 +58,9 @@ def filter_mentions(
     """Strict date filter, URL dedup, near dedup, language, relevance and history, in that order."""
     reason = filters.strict_date_reason("published_raw", "published_at", cutoff)
     dated = raw.filter(reason.isNull())
-    unique_url = dedup.url_dedup(dated, scope)
-    unique_story = dedup.near_dedup(unique_url, scope)
+    # Both dedup stages are read several times below, so each is computed and stored once.
+    unique_url = cut_lineage(dedup.url_dedup(dated, scope))
+    unique_story = cut_lineage(dedup.near_dedup(unique_url, scope))
     in_language = unique_story
     if profiles is not None:
         in_language = language.filter_by_language(unique_story, "mention_id", "title", profiles, languages).drop("detected")

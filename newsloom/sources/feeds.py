@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from newsloom import settings
 from newsloom.functions import dates, text, url
 from newsloom.operators import filters
+from newsloom.operators.once import once
 from newsloom.operators.ordered import top_per_key
+from newsloom.sources.pages import article_urls
 
 RSS_ITEM = "link string, pubDate string, title string, description string, guid string"
 ATOM_ENTRY = (
@@ -33,13 +35,12 @@ def plain_names(xml: str) -> Column:
 
 
 def rss_items(df: DataFrame, as_of) -> DataFrame:
-    row = F.from_xml(plain_names("xml"), RSS_ITEM)
-    parsed = df.withColumn("_i", row)
+    parsed = once(df, _i=F.from_xml(plain_names("xml"), RSS_ITEM))
     return _dated(parsed, "_i.link", "_i.pubDate", "_i.title", "_i.description", as_of)
 
 
 def atom_entries(df: DataFrame, as_of) -> DataFrame:
-    parsed = df.withColumn("_i", F.from_xml(plain_names("xml"), ATOM_ENTRY))
+    parsed = once(df, _i=F.from_xml(plain_names("xml"), ATOM_ENTRY))
     alternate = F.filter("_i.link", lambda k: k["_rel"] == "alternate")
     link = F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get("_i.link", F.lit(0))["_href"])
     raw = F.coalesce("_i.published", "_i.updated")
@@ -47,7 +48,7 @@ def atom_entries(df: DataFrame, as_of) -> DataFrame:
 
 
 def sitemap_urls(df: DataFrame, as_of) -> DataFrame:
-    parsed = df.withColumn("_i", F.from_xml(plain_names("xml"), SITEMAP_URL))
+    parsed = once(df, _i=F.from_xml(plain_names("xml"), SITEMAP_URL))
     raw = F.coalesce(F.nullif("_i.news.publication_date", F.lit("")), F.col("_i.lastmod"))
     return _dated(parsed, "_i.loc", raw, "_i.news.title", F.lit(""), as_of)
 
@@ -58,11 +59,10 @@ def _dated(df: DataFrame, link, raw, title, summary, as_of) -> DataFrame:
         *[c for c in df.columns if c not in ("_i", "xml")],
         F.trim(as_col(link)).alias("link"),
         as_col(raw).alias("published_raw"),
-        dates.parse_date(as_col(raw), as_of).alias("published_at"),
         as_col(title).alias("title"),
         as_col(summary).alias("summary"),
     )
-    return out.filter(F.coalesce("link", F.lit("")) != "")
+    return once(out.filter(F.coalesce("link", F.lit("")) != ""), published_at=dates.parse_date("published_raw", as_of))
 
 
 def discovered_urls(items: DataFrame, cutoff: Column, keywords: Column, sitemap: bool = False) -> DataFrame:
@@ -72,13 +72,13 @@ def discovered_urls(items: DataFrame, cutoff: Column, keywords: Column, sitemap:
         wanted = filters.sitemap_item_matches("title", "link", keywords)
     else:
         wanted = filters.feed_item_matches("title", "summary", keywords)
-    urls = recent.filter(wanted).select("domain", url.normalize_url("link").alias("url"))
-    return urls.filter(url.is_candidate_article_url("url", "domain")).distinct()
+    urls = once(recent.filter(wanted), url=url.normalize_url("link"))
+    return article_urls(urls).select("domain", "url").distinct()
 
 
 def sitemap_children(df: DataFrame, index: str = "index_id") -> DataFrame:
     """Child sitemaps to follow: those named "news" first, three per index, in document order."""
-    parsed = df.withColumn("loc", F.trim(F.from_xml(plain_names("xml"), SITEMAP_CHILD)["loc"]))
+    parsed = once(df, loc=F.trim(F.from_xml(plain_names("xml"), SITEMAP_CHILD)["loc"]))
     named = parsed.filter(F.coalesce("loc", F.lit("")) != "").withColumn("is_news", F.lower("loc").contains("news"))
     order = [F.desc("is_news"), "seq"]
     return top_per_key(named, [index], order, settings.MAX_CHILD_SITEMAPS).drop("xml")
@@ -93,14 +93,16 @@ def keyword_feed(items: DataFrame, since: Column) -> DataFrame:
     body = F.concat_ws("\n", F.coalesce("title", F.lit("Ingen titel")), F.coalesce("summary", F.lit("")))
     no_text = F.lit(None).cast("string")
     canonical = url.canonical_link(url.entry_candidates("link", no_text, "guid", "summary"))
-    judged = items.withColumn("canonical_link", canonical).withColumn(
-        "skip_reason",
+    early = (
         F.when(F.coalesce("published_raw", F.lit("")) == "", F.lit("missing_date"))
         .when(F.col("published_at").isNull(), F.lit("unparseable_date"))
         .when(F.col("published_at") < since, F.lit("before_cutoff"))
         .when(~text.matches_phrase(body, "keyword"), F.lit("phrase_miss"))
-        .when(F.col("canonical_link") == "", F.lit("no_link")),
     )
+    # Links are only resolved for entries that pass the cheaper tests.
+    linked = once(once(items, _early=early), canonical_link=F.when(F.col("_early").isNull(), canonical))
+    missing = F.when(F.col("canonical_link") == "", F.lit("no_link"))
+    judged = linked.withColumn("skip_reason", F.coalesce("_early", missing)).drop("_early")
     ok = F.col("skip_reason").isNull()
     firsts = judged.filter(ok).groupBy("keyword", "canonical_link").agg(F.min("seq").alias("_first"))
     repeated = (F.col("skip_reason").isNull()) & (F.col("seq") > F.col("_first"))

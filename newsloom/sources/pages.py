@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsloom import settings
 from newsloom.functions import markup, url
+from newsloom.operators.once import once
 
 _HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 _FEED_LINK = r"""(?i)<link\b[^>]*>"""
@@ -24,10 +25,18 @@ def page_links(pages: DataFrame, domain: str, keep: tuple[str, ...] = ("page_id"
 
 def candidate_links(links: DataFrame) -> DataFrame:
     """Distinct normalised article URLs per domain."""
-    fit = links.filter(url.is_candidate_article_url("url", "domain"))
+    fit = article_urls(links)
     return fit.select("domain", url.normalize_url("url").alias("url")).distinct()
 
 
+def article_urls(links: DataFrame) -> DataFrame:
+    """Rows whose ``url`` may be an article of ``domain``; the URL is taken apart once."""
+    parts = once(links, _path=F.trim(url.path("url")), _host=url.normalize_domain(url.netloc("url")), _site=url.normalize_domain("domain"))
+    same = (F.col("_host") == F.col("_site")) | F.col("_host").endswith(F.concat(F.lit("."), F.col("_site")))
+    fit = parts.filter(url.scheme("url").isin("http", "https") & same & url.is_article_path(F.col("_path")))
+    return fit.drop("_path", "_host", "_site")
+
+
 def feed_links(pages: DataFrame, domain: str, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """RSS and Atom feeds announced by ``link rel=alternate``."""
     tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_FEED_LINK), F.lit(0))

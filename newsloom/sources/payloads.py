@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom import settings
 from newsloom.functions import dates, queries
+from newsloom.operators.once import once
 
 NEWS_PAYLOAD = "articles array<struct<title:string,url:string,description:string,publishedAt:string>>"
 _RESULT = (
@@ -31,9 +32,9 @@ def news_articles(payloads: DataFrame, since: Column, as_of) -> DataFrame:
         F.coalesce("_a.description", F.lit("")).alias("content_teaser"),
         F.lit("GNews").alias("platform"),
         F.col("_a.publishedAt").alias("published_raw"),
-        dates.parse_date("_a.publishedAt", as_of).alias("published_at"),
     )
-    return out.withColumn("skip_reason", _window_reason(since))
+    dated = once(out, published_at=dates.parse_date("published_raw", as_of))
+    return dated.withColumn("skip_reason", _window_reason(since))
 
 
 def _window_reason(since: Column) -> Column:
@@ -57,7 +58,7 @@ def search_results(payloads: DataFrame, cutoff: Column | None, as_of) -> DataFra
 
     Without a cutoff undated rows get ``as_of`` as their date and are flagged.
     """
-    parsed = payloads.withColumn("_p", F.from_json("payload", SEARCH_PAYLOAD))
+    parsed = once(payloads, _p=F.from_json("payload", SEARCH_PAYLOAD))
     parsed = parsed.withColumn("error_type", queries.api_outcome("_p.error")).filter(F.col("error_type").isNull())
     is_news = F.col("_p.news_results").isNotNull()
     results = F.slice(F.coalesce("_p.news_results", "_p.organic_results"), 1, settings.MAX_SEARCH_RESULTS)
@@ -77,8 +78,8 @@ def search_results(payloads: DataFrame, cutoff: Column | None, as_of) -> DataFra
         F.coalesce("_r.snippet", F.lit("")).alias("content_teaser"),
         F.coalesce(platform_of(F.col("_r.source")), default_source).alias("platform"),
         raw.alias("published_raw"),
-        dates.parse_date(raw, as_of).alias("published_at"),
     )
+    out = once(out, published_at=dates.parse_date("published_raw", as_of))
     if cutoff is not None:
         return out.withColumn("skip_reason", _window_reason(cutoff)).withColumn("date_imputed", F.lit(False))
     imputed = F.col("published_at").isNull()
