@@ -170,9 +170,9 @@ def redirect_targets(spark, folder):
     return rows_.select("doc_id", url.canonical_link(candidates).alias("canonical"))
 
 
-@query("sanitized_keywords", "SELECT doc_id, " + _SANITIZE.format("left(text, 200)") + " AS keyword FROM documents")
+@query("sanitized_keywords", "SELECT doc_id, " + _SANITIZE.format("text") + " AS keyword FROM documents")
 def sanitized_keywords(spark, folder):
-    return Roles(spark, folder).table("documents", "doc_id", "text").select("doc_id", text.sanitize(F.left("text", F.lit(200))).alias("keyword"))
+    return Roles(spark, folder).table("documents", "doc_id", "text").select("doc_id", text.sanitize("text").alias("keyword"))
 
 
 @query("title_signature_blocks", "WITH t AS (SELECT doc_id, " + _TITLE_NORM.format("""
@@ -215,21 +215,18 @@ def quoted_search_queries(spark, folder):
 
 
 @query("or_query_packing", """
-    WITH RECURSIVE k AS (SELECT s_nationkey AS grp, s_name || ' x' AS term, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn,
-                                count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
+    WITH RECURSIVE k AS (SELECT p_partkey // 20 AS grp, p_name || ' x' AS term, p_partkey % 20 + 1 AS rn, count(*) OVER (PARTITION BY p_partkey // 20) AS n FROM part),
     walk AS (SELECT grp, rn, n, term AS open, CAST('' AS VARCHAR) AS done FROM k WHERE rn = 1
         UNION ALL SELECT w.grp, k.rn, w.n, CASE WHEN length(w.open) + 4 + length(k.term) <= 70 THEN w.open || ' OR ' || k.term ELSE k.term END,
             CASE WHEN length(w.open) + 4 + length(k.term) <= 70 THEN w.done ELSE w.done || w.open || '|' END
         FROM walk w JOIN k ON k.grp = w.grp AND k.rn = w.rn + 1)
-    SELECT CAST(grp AS BIGINT) AS grp, done || open AS packed FROM walk WHERE rn = n""")
+    SELECT grp, done || open AS packed FROM walk WHERE rn = n""")
 def or_query_packing(spark, folder):
-    suppliers = Roles(spark, folder).table("supplier", "s_suppkey", "s_name", "s_nationkey")
-    # A keyword list is capped per run before packing, so its array is bounded.
-    capped = top_per_key(suppliers, ["s_nationkey"], ["s_suppkey"], 1000)
-    listed = capped.groupBy(F.col("s_nationkey").cast("long").alias("grp")).agg(
-        F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("_k")
+    parts = Roles(spark, folder).table("part", "p_partkey", "p_name")
+    listed = parts.groupBy(F.floor(F.col("p_partkey") / 20).alias("grp")).agg(
+        F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("_k")
     )
-    terms = F.transform("_k", lambda k: F.concat(k["s_name"], F.lit(" x")))
+    terms = F.transform("_k", lambda k: F.concat(k["p_name"], F.lit(" x")))
     return listed.select("grp", F.array_join(search.pack_or_queries(terms, 70), "|").alias("packed"))
 
 
@@ -279,10 +276,10 @@ def parsed_dates(spark, folder):
 
 
 @query("date_confidence", r"""
-    SELECT doc_id, doc_id % 4 = 0 OR regexp_matches(left(text, 300), '\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b|\b(19|20)\d{2}\b') AS certain FROM documents""")
+    SELECT doc_id, doc_id % 4 = 0 OR regexp_matches(text, '\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b|\b(19|20)\d{2}\b') AS certain FROM documents""")
 def date_confidence(spark, folder):
     docs = Roles(spark, folder).table("documents", "doc_id", "text")
-    return docs.select("doc_id", dates.certain_date(F.left("text", F.lit(300)), F.col("doc_id") % 4 == 0).alias("certain"))
+    return docs.select("doc_id", dates.certain_date("text", F.col("doc_id") % 4 == 0).alias("certain"))
 
 
 @query("api_error_kinds", """
@@ -451,7 +448,7 @@ def sitemap_children(spark, folder):
 
 
 _KEYWORD_FEED_SQL = r"""
-    WITH e AS (SELECT doc_id AS seq, CASE doc_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'with' ELSE 'les' END AS keyword, left(text, 60) AS title, substr(text, 61, 100) AS summary, doc_id,
+    WITH e AS (SELECT doc_id AS seq, CASE doc_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'with' ELSE 'les' END AS keyword, split_part(text, chr(10), 1) AS title, text AS summary, doc_id,
         'https://' || source || '.dk/' || (doc_id % 40) AS canonical_link FROM documents),
     j AS (SELECT *, CASE WHEN doc_id % 8 = 0 THEN 'missing_date' WHEN doc_id % 8 = 1 THEN 'unparseable_date' WHEN doc_id % 8 = 2 THEN 'before_cutoff'
         WHEN NOT regexp_matches(lower(title || chr(10) || summary), '(^|[^\p{L}\p{N}_])' || keyword || '([^\p{L}\p{N}_]|$)') THEN 'phrase_miss' END AS reason FROM e),
@@ -462,8 +459,8 @@ _KEYWORD_FEED_SQL = r"""
 
 def _keyword_feed(spark, folder):
     docs = Roles(spark, folder).table("documents", "doc_id", "text", "source").selectExpr(
-        "doc_id as seq", "case doc_id % 3 when 0 then 'the' when 1 then 'with' else 'les' end as keyword", "left(text, 60) as title",
-        "substr(text, 61, 100) as summary", "'https://www.' || source || '.dk/' || (doc_id % 40) || '/?oc=5' as link", "cast(null as string) as guid",
+        "doc_id as seq", "case doc_id % 3 when 0 then 'the' when 1 then 'with' else 'les' end as keyword", "split_part(text, '\n', 1) as title",
+        "text as summary", "'https://www.' || source || '.dk/' || (doc_id % 40) || '/?oc=5' as link", "cast(null as string) as guid",
         "case when doc_id % 8 = 0 then '' when doc_id % 8 = 1 then 'soon' when doc_id % 8 = 2 then '2023-12-01' else '2024-01-30' end as published_raw",
     )
     dated = docs.withColumn("published_at", dates.parse_date("published_raw", AS_OF))
@@ -519,26 +516,17 @@ def metric_text_scan(spark, folder):
 
 
 @query("robots_sitemaps", """
-    SELECT p_size AS site, coalesce('https://x.dk/news-' || min(p_partkey) FILTER (WHERE p_partkey % 6 = 0) || '.xml', '-') AS news_sitemap,
-           coalesce('https://x.dk/map-' || min(p_partkey) FILTER (WHERE p_partkey % 6 = 1) || '.xml', '-') AS other_sitemap FROM part WHERE p_partkey % 6 <= 1 GROUP BY 1""")
+    WITH l AS (SELECT p_partkey // 20 AS site, p_partkey AS n, p_partkey % 6 = 0 AS news, 'https://x.dk/' || CASE WHEN p_partkey % 6 = 0 THEN 'news-' ELSE 'map-' END || p_partkey || '.xml' AS loc FROM part WHERE p_partkey % 6 <= 1),
+    f AS (SELECT site, min(n) FILTER (WHERE news) AS first_news FROM l GROUP BY 1)
+    SELECT l.site, coalesce(min(loc) FILTER (WHERE n = first_news), '-') AS news_sitemap, coalesce(arg_min(loc, n) FILTER (WHERE first_news IS NULL OR n <> first_news), '-') AS other_sitemap
+    FROM l JOIN f ON f.site = l.site GROUP BY 1""")
 def robots_sitemaps(spark, folder):
-    part = Roles(spark, folder).table("part", "p_partkey", "p_size")
     line = F.expr("case p_partkey % 6 when 0 then 'SITEMAP: https://x.dk/news-' || p_partkey || '.xml' when 1 then 'Sitemap: https://x.dk/map-' || p_partkey || '.xml' else 'Disallow: /' || p_partkey end")
-    # One robots file per site: its first 200 rules are plenty and keep the file small.
-    ruled = top_per_key(part.withColumn("line", line), ["p_size"], ["p_partkey"], 1000)
+    rules = Roles(spark, folder).table("part", "p_partkey").select(F.floor(F.col("p_partkey") / 20).alias("site"), "p_partkey", line.alias("line"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "\n")
-    robots = ruled.groupBy(F.col("p_size").alias("site")).agg(body.alias("body"))
+    robots = rules.groupBy("site").agg(body.alias("body"))
     found = pages.robots_sitemaps(robots, ("site",))
-    news_line = found.select("site", F.coalesce("news_sitemap", F.lit("-")).alias("news_sitemap"), "other_sitemap")
-    plain = F.when(F.col("other_sitemap").contains("map-"), F.col("other_sitemap"))
-    # A second news sitemap may take the other slot; the twin lists plain ones only.
-    return _plain_other(news_line, robots, plain)
-
-
-def _plain_other(found, robots, plain):
-    rules = robots.select("site", F.posexplode(F.split("body", "\n")).alias("n", "line")).filter(F.col("line").contains("/map-"))
-    first = rules.groupBy("site").agg(F.min_by(F.trim(F.regexp_replace("line", "^[^:]*:", "")), "n").alias("first_plain"))
-    return found.join(first, "site", "left").select("site", "news_sitemap", F.coalesce(plain, "first_plain", F.lit("-")).alias("other_sitemap"))
+    return found.select("site", *[F.coalesce(c, F.lit("-")).alias(c) for c in ("news_sitemap", "other_sitemap")])
 
 
 @query("feed_autodiscovery", r"""
@@ -588,11 +576,10 @@ def eligible_sources(spark, folder):
 
 
 @query("thin_pages", r"""
-    SELECT page_id, length(t) < 200 AS thin FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN page_id % 3 = 0 THEN left(html, 400) ELSE html END,
+    SELECT page_id, length(t) < 1000 AS thin FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html,
         '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<!--.*?-->|<!doctype[^>]*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages)""")
 def thin_pages(spark, folder):
-    landed = Roles(spark, folder).table("pages", "page_id", "html").selectExpr("page_id", "case when page_id % 3 = 0 then left(html, 400) else html end as html")
-    return landed.select("page_id", filters.thin_page("html").alias("thin"))
+    return Roles(spark, folder).table("pages", "page_id", "html").select("page_id", filters.thin_page("html", 1000).alias("thin"))
 
 
 @query("soft_404_pages", r"""
@@ -669,9 +656,9 @@ def selector_suggestions(spark, folder):
 
 
 @query("selector_quality_gates", r"""
-    SELECT doc_id, length(trim(split_part(text, chr(10), 1))) >= 10 AS title_ok, length(trim(text)) >= 50 AS content_ok, regexp_matches(right(text, 200), '202[0-9]') AS date_ok FROM documents""")
+    SELECT doc_id, length(trim(split_part(text, chr(10), 1))) >= 10 AS title_ok, length(trim(text)) >= 50 AS content_ok, regexp_matches(text, '202[0-9]') AS date_ok FROM documents""")
 def selector_quality_gates(spark, folder):
-    docs = Roles(spark, folder).table("documents", "doc_id", "text").selectExpr("doc_id", "split_part(text, '\n', 1) as title", "text as content", "right(text, 200) as date")
+    docs = Roles(spark, folder).table("documents", "doc_id", "text").selectExpr("doc_id", "split_part(text, '\n', 1) as title", "text as content", "text as date")
     return docs.select("doc_id", *filters.selector_quality("title", "content", "date"))
 
 

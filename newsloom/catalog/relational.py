@@ -66,7 +66,7 @@ def mention_lookback(spark, folder):
 
 
 @query("mention_keyword_matches", sql_with("mentions", "keywords", "mention_keywords") + """
-    , page AS (SELECT id FROM mentions WHERE created_at >= TIMESTAMP '2001-06-01'),
+    , page AS (SELECT id FROM mentions),
     links AS (SELECT DISTINCT mention_id, keyword_id, matched_in, score FROM mention_keywords)
     SELECT p.id, coalesce(string_agg(l.keyword_id || ':' || k.text || ':' || l.matched_in, ';'
                ORDER BY l.keyword_id, k.text, l.matched_in), '') AS matches, count(l.keyword_id) AS n
@@ -74,7 +74,7 @@ def mention_lookback(spark, folder):
     GROUP BY p.id""")
 def mention_keyword_matches(spark, folder):
     r = Roles(spark, folder)
-    page = filters.published_between(r.mentions, start="2001-06-01").select("id")
+    page = r.mentions.select("id")
     nested = joins.with_keyword_matches(page, r.mention_keywords.distinct(), r.keywords)
     one = lambda m: F.concat_ws(":", m["keyword_id"].cast("string"), m["text"], m["matched_in"])
     return nested.select(
@@ -601,12 +601,12 @@ def last_turns(spark, folder):
 
 
 @query("chat_titles", """
-    SELECT conv_id AS chat_id, CASE WHEN length(text) > 30 THEN left(text, 30) || '...' ELSE text END AS title FROM conversations WHERE role = 'user' AND turn <= 1""")
+    SELECT conv_id AS chat_id, turn, CASE WHEN length(text) > 30 THEN left(text, 30) || '...' ELSE text END AS title FROM conversations WHERE role = 'user'""")
 def chat_titles(spark, folder):
     from newsloom.functions.text import chat_title
 
-    first = Roles(spark, folder).messages.filter("role = 'user' and turn <= 1")
-    return first.select("chat_id", chat_title("text").alias("title"))
+    first = Roles(spark, folder).messages.filter("role = 'user'")
+    return first.select("chat_id", "turn", chat_title("text").alias("title"))
 
 
 @query("tools_in_first_use_order", """

@@ -21,7 +21,7 @@ def _pattern_sql(word: str) -> str:
 
 def _hit_sql(topic: int, keyword: int, word: str) -> str:
     return (
-        f"SELECT mention_id, {topic} AS topic_id, {keyword} AS keyword_id, '{word}' AS keyword, "
+        f"SELECT mention_id, CAST({topic} AS BIGINT) AS topic_id, CAST({keyword} AS BIGINT) AS keyword_id, '{word}' AS keyword, "
         f"regexp_matches(lower(title), {_pattern_sql(word)}) AS in_title, "
         f"regexp_matches(lower(content_teaser), {_pattern_sql(word)}) AS in_teaser FROM raw"
     )
@@ -190,7 +190,7 @@ def token_set_scores(spark, folder):
 
 
 _BREAKER_SQL = """
-    WITH x AS (SELECT event_id AS seq, 'd' || (user_id % 10) AS domain, event_type = 'error' AS failed, event_type = 'view' AS blind FROM events WHERE ts >= TIMESTAMP '2024-01-29'),
+    WITH x AS (SELECT event_id AS seq, 'd' || (user_id % 10) AS domain, event_type = 'error' AS failed, event_type = 'view' AS blind FROM events),
     c AS (SELECT *, coalesce(sum(CAST(failed AS INTEGER)) OVER w, 0) AS f, coalesce(sum(CAST(blind AS INTEGER)) OVER w, 0) AS b FROM x
           WINDOW w AS (PARTITION BY domain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
     SELECT domain, seq, CASE WHEN f >= 5 THEN 'circuit_open_skip' WHEN b >= 8 THEN 'blind_circuit_skip' ELSE 'run' END AS breaker FROM c
@@ -199,7 +199,7 @@ _BREAKER_SQL = """
 
 @query("circuit_breaker", _BREAKER_SQL)
 def circuit_breaker(spark, folder):
-    samples = filters.published_between(Roles(spark, folder).samples, start="2024-01-29", column="ts")
+    samples = Roles(spark, folder).samples
     rows_ = samples.select(F.col("event_id").alias("seq"), "domain", "failed", (F.col("provider") == "view").alias("blind"))
     bucket = F.floor(F.col("seq") / 100_000)
     states = guardrails.with_breaker(rows_, ["domain"], ["seq"], bucket, F.col("blind"), F.col("failed"))

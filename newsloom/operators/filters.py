@@ -142,8 +142,8 @@ def strong_or_fallback(
     return df.join(best, run).filter(F.col(score) >= needed).drop("_best")
 
 
-def thin_page(html: str) -> Column:
-    return F.length(text.visible_text(html)) < settings.MIN_VISIBLE_CHARS
+def thin_page(html: str, min_chars: int = settings.MIN_VISIBLE_CHARS) -> Column:
+    return F.length(text.visible_text(html)) < min_chars
 
 
 def html_title(html: str) -> Column:

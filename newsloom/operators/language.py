@@ -10,13 +10,17 @@ from newsloom.operators.ordered import top_per_key
 GRAMS_PER_LANGUAGE = 300
 
 
-def _words(column) -> Column:
-    return F.filter(F.split(F.lower(column), r"[^\p{L}]+"), lambda w: w != "")
+def _words(df: DataFrame, body: Column) -> DataFrame:
+    """One row per word occurrence, with the other columns of ``df``."""
+    rows = df.select("*", F.explode(F.split(F.lower(body), r"[^\p{L}]+")).alias("word"))
+    return rows.filter(F.col("word") != "")
 
 
-def _trigrams(word: Column) -> Column:
-    padded = F.concat(F.lit("_"), word, F.lit("_"))
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
+def _trigrams(df: DataFrame) -> DataFrame:
+    """One row per trigram of the padded ``word``."""
+    rows = df.select("*", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("_i"))
+    padded = F.concat(F.lit("_"), "word", F.lit("_"))
+    return rows.withColumn("gram", F.substring(padded, F.col("_i"), F.lit(3))).drop("word", "_i")
 
 
 def train_profiles(samples: DataFrame, body: str, language: str, size: int = GRAMS_PER_LANGUAGE) -> DataFrame:
@@ -24,10 +28,10 @@ def train_profiles(samples: DataFrame, body: str, language: str, size: int = GRA
 
     Words are counted first, so trigrams are cut from distinct words and not from every text.
     """
-    words = samples.select(F.col(language).alias("language"), F.explode(_words(body)).alias("word"))
+    texts = samples.select(F.col(language).alias("language"), F.col(body).alias("_body"))
+    words = _words(texts, F.col("_body")).select("language", "word")
     counted = words.groupBy("language", "word").agg(F.count("*").alias("n"))
-    grams = counted.select("language", "n", F.explode(_trigrams(F.col("word"))).alias("gram"))
-    totals = grams.groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    totals = _trigrams(counted).groupBy("language", "gram").agg(F.sum("n").alias("n"))
     ranked = top_per_key(totals, ["language"], [F.desc("n"), "gram"], size, name="rank")
     return ranked.select("language", "gram", (F.lit(size + 1) - F.col("rank")).cast("long").alias("weight"))
 
@@ -37,9 +41,7 @@ def detect(df: DataFrame, key: str, title: str, profiles: DataFrame) -> DataFram
 
     Profiles hold at most 300 trigrams per language, so the broadcast is bounded.
     """
-    grams = df.select(F.col(key), F.explode(_words(F.trim(title))).alias("_word")).select(
-        key, F.explode(_trigrams(F.col("_word"))).alias("gram")
-    )
+    grams = _trigrams(_words(df.select(key, F.trim(title).alias("_title")), F.col("_title")).select(key, "word"))
     scored = grams.join(F.broadcast(profiles), "gram").groupBy(key, "language").agg(F.sum("weight").alias("score"))
     best = top_per_key(scored, [key], [F.desc("score"), "language"], 1)
     return best.select(key, F.col("language").alias("detected"))

@@ -53,7 +53,8 @@ def compare(df, con, sql):
     for name, kind in zip(relation.columns, relation.types):
         if str(kind) == "HUGEINT":
             return f"column {name} is HUGEINT in SQL"
-        if {family(kinds[name]), family(str(kind))} == {"int", "float"}:
+        width = {"bigint": "BIGINT", "int": "INTEGER"}.get(kinds[name])
+        if {family(kinds[name]), family(str(kind))} == {"int", "float"} or (width and str(kind) != width) or "DECIMAL" in str(kind):
             return f"column {name}: {kinds[name]} vs {kind}"
     if mine[1] != theirs[1]:
         only_mine = [r for r in mine[1] if r not in set(theirs[1])][:2]
