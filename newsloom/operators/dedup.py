@@ -3,8 +3,10 @@
 Near duplicates follow the sequential rule: in ``seq`` order a row goes when an earlier *kept* row
 of the same block resembles it. The job works in rounds. In each round every block decides its
 first few rows (a bounded array), and the rows behind them are tested against the rows just kept.
-No pair is written out, a block no larger than one batch ends in the first round, and a hot block
-is spread over tasks because each of its rows is joined to one bounded array.
+No pair is written out. A block no larger than one batch ends in the first round. The rows of a hot
+block are cut into lanes, so they spread over tasks, each lane meeting a copy of one bounded array.
+The work is rows times kept rows of a block, as in the sequential rule, after exact copies have
+been collapsed by an aggregation.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from newsloom.session import cut_lineage
 
 FIRST_BATCH = 32
 LARGEST_BATCH = 512
-_PEER = "struct<seq:bigint,text:string,at:bigint,domain:string,wrapper:boolean>"
+ROWS_PER_LANE = 50_000
 
 
 def url_dedup(df: DataFrame, scope: list[str] = (), order: str = "seq") -> DataFrame:
@@ -100,6 +102,26 @@ def _as_peer() -> Column:
     return F.struct("seq", "text", "at", "domain", "wrapper")
 
 
+def _judge_rows_behind(pending: DataFrame, full: DataFrame, block: list[str], resembles) -> DataFrame:
+    """Rows after the heads of their block, with ``_hit`` when they resemble a row just kept.
+
+    One array per block meets all rows of the block. A large block is cut into lanes by a hash of
+    its rows, and only its array is repeated, once per ``ROWS_PER_LANE`` rows.
+    """
+    peers = full.select(
+        *block,
+        F.element_at("heads", -1)["seq"].alias("_last"),
+        F.filter("heads", lambda h: F.array_contains("kept", h["seq"])).alias("_peers"),
+    )
+    sizes = pending.groupBy(*block).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > ROWS_PER_LANE)
+    lanes = cut_lineage(sizes.select(*block, F.ceil(F.col("_rows") / ROWS_PER_LANE).cast("int").alias("_lanes")))
+    width = F.coalesce("_lanes", F.lit(1))
+    spread = peers.join(lanes, block, "left").withColumn("_lane", F.explode(F.sequence(F.lit(0), width - 1)))
+    rows = pending.join(lanes, block, "left").withColumn("_lane", F.pmod(F.hash("seq"), width))
+    behind = rows.drop("_lanes").join(spread.drop("_lanes"), [*block, "_lane"]).filter(F.col("seq") > F.col("_last"))
+    return behind.withColumn("_hit", resembles(_as_peer(), F.col("_peers"))).drop("_peers", "_last", "_lane")
+
+
 def near_dedup(
     df: DataFrame,
     scope: list[str] = (),
@@ -120,38 +142,25 @@ def near_dedup(
     )
 
     # A later row with the same text, domain and date shares every neighbour of the first.
-    first = rows.groupBy(*block, "domain", "wrapper", "text", "at").agg(F.min("seq").alias("seq"))
-    first = cut_lineage(first)
-    crowded = first.groupBy(*block).count().filter("count > 1").drop("count")
-    pending = first.join(crowded, block, "left_semi")
-
-    dropped = None
-    batch = FIRST_BATCH
+    first = cut_lineage(rows.groupBy(*block, "domain", "wrapper", "text", "at").agg(F.min("seq").alias("seq")))
     keep, resembles = _keep_first(threshold, _window_us(day_window)), _resembles_any(threshold, _window_us(day_window))
+    pending, losers, batch = first, [], FIRST_BATCH
     while True:
         heads = top_per_key(pending, block, ["seq"], batch)
         groups = heads.groupBy(*block).agg(F.sort_array(F.collect_list(_as_peer())).alias("heads"))
-        decided = cut_lineage(groups.withColumn("kept", keep("heads")))
-        lost = decided.select(
-            *scope, F.explode(F.array_except(F.col("heads.seq"), F.col("kept"))).alias("seq")
-        )
-        dropped = lost if dropped is None else dropped.unionByName(lost)
-
-        full = decided.filter(F.size("heads") == batch).select(
-            *block,
-            F.element_at("heads", -1)["seq"].alias("_last"),
-            F.filter("heads", lambda h: F.array_contains("kept", h["seq"])).alias("_peers"),
-        )
-        behind = pending.join(full, block).filter(F.col("seq") > F.col("_last"))
-        judged = cut_lineage(
-            behind.withColumn("_hit", resembles(_as_peer(), F.col("_peers"))).drop("_peers", "_last")
-        )
-        if judged.isEmpty():
+        decided = cut_lineage(groups.filter(F.size("heads") > 1).withColumn("kept", keep("heads")))
+        losers.append(decided.select(*scope, F.explode(F.array_except(F.col("heads.seq"), F.col("kept"))).alias("seq")))
+        full = decided.filter(F.size("heads") == batch)
+        if full.isEmpty():
             break
-        dropped = dropped.unionByName(judged.filter("_hit").select(*scope, "seq"))
+        judged = cut_lineage(_judge_rows_behind(pending, full, block, resembles))
+        losers.append(judged.filter("_hit").select(*scope, "seq"))
         pending = judged.filter(~F.col("_hit")).drop("_hit")
         batch = min(LARGEST_BATCH, batch * 2)
 
+    dropped = losers[0]
+    for more in losers[1:]:
+        dropped = dropped.unionByName(more)
     # What goes: later copies of an identical row, and representatives that lost.
     kept = first.select(*scope, "seq").join(dropped, [*scope, "seq"], "left_anti")
     gone = rows.select(*scope, "seq").join(kept, [*scope, "seq"], "left_anti")

@@ -2,20 +2,31 @@
 
 A plain ``Window.partitionBy(key)`` puts a hot key into one task. Here the caller names a bucket
 expression that grows with the order (an hour, a range of sequence numbers): rows are ranked
-inside (key, bucket), and each bucket starts from the total of the buckets before it.
+inside (key, bucket), and each bucket starts from the total of the buckets before it. Without a
+natural bucket (``None``) the rows are range-partitioned by key and order, and the partition number
+is the bucket.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from newsloom.session import cut_lineage
+
+
+def _bucketed(df: DataFrame, keys: list[str], order: list, bucket: Column | None) -> DataFrame:
+    if bucket is not None:
+        return df.withColumn("_bucket", bucket)
+    # Stored once, because a partition number only means something for one execution.
+    return cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_bucket", F.spark_partition_id()))
+
 
 def running_totals(
-    df: DataFrame, keys: list[str], order: list, values: dict[str, Column], bucket: Column,
+    df: DataFrame, keys: list[str], order: list, values: dict[str, Column], bucket: Column | None,
     exclusive: bool = False,
 ) -> DataFrame:
     """Adds per name the sum of its value over the rows up to (or strictly before) each row."""
-    rows = df.withColumn("_bucket", bucket)
+    rows = _bucketed(df, keys, order, bucket)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     inside = inside.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(f"_part_{n}") for n, v in values.items()])
@@ -32,22 +43,22 @@ def running_totals(
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: list, value: Column, bucket: Column, name: str,
+    df: DataFrame, keys: list[str], order: list, value: Column, bucket: Column | None, name: str,
     exclusive: bool = False,
 ) -> DataFrame:
     return running_totals(df, keys, order, {name: value}, bucket, exclusive)
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str) -> DataFrame:
+def row_numbers(df: DataFrame, keys: list[str], order: list, bucket: Column | None, name: str) -> DataFrame:
     """Row number per key, starting at 1."""
     return running_total(df, keys, order, F.lit(1), bucket, name)
 
 
 def previous_value(
-    df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column, name: str
+    df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column | None, name: str
 ) -> DataFrame:
     """Adds ``name`` = ``value`` of the row before (null for the first row of a key)."""
-    rows = df.withColumn("_bucket", bucket)
+    rows = _bucketed(df, keys, order, bucket)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     lasts = rows.groupBy(*keys, "_bucket").agg(F.max_by(value, F.struct(*order)).alias("_last"))
     carried = lasts.select(

@@ -35,8 +35,7 @@ def bullet(caption: str = "caption", link: str = "post_link", platform: str = "p
 
 def bullet_blocks(mentions: DataFrame, size: int = BULLETS_PER_BLOCK) -> DataFrame:
     """Bullets per topic in creation order, ``size`` to a block."""
-    hour = F.date_trunc("hour", "created_at")
-    numbered = numbered_mentions(unsent(mentions), ["brand_id", "topic"], hour)
+    numbered = numbered_mentions(unsent(mentions), ["brand_id", "topic"])
     block = F.floor((F.col("position") - 1) / size).alias("block")
     grouped = numbered.withColumn("bullet", bullet()).groupBy("brand_id", "topic", block)
     lines = F.array_sort(F.collect_list(F.struct("position", "bullet")))

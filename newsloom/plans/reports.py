@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from newsloom.functions import dates, text
 from newsloom.functions.queries import clamp
@@ -232,6 +232,7 @@ def last_turns(messages: DataFrame, turns: int = 6) -> DataFrame:
     return top_per_key(messages, ["chat_id"], [F.desc("turn")], turns)
 
 
-def numbered_mentions(mentions: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
-    """Mentions numbered per group in creation order."""
-    return row_numbers(mentions, keys, ["created_at", "id"], bucket, "position")
+def numbered_mentions(mentions: DataFrame, keys: list[str]) -> DataFrame:
+    """Mentions numbered per group in creation order. A batch shares one creation time, so time is
+    no bucket here; rows are range-partitioned instead."""
+    return row_numbers(mentions, keys, ["created_at", "id"], None, "position")

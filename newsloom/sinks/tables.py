@@ -44,8 +44,14 @@ def next_start(table: DataFrame, name: str = "id") -> int:
 
 
 def new_rows(batch: DataFrame, table: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """Insert-ignore: last row per key of the batch whose key is not stored yet."""
-    return last_in_batch(batch, keys, order).join(table.select(*keys), keys, "left_anti")
+    """Insert-ignore: last row per key of the batch whose key is not stored yet.
+
+    Stored keys are first reduced to those the batch mentions. With a small batch that join is a
+    broadcast of the batch, so the stored table is scanned but never shuffled.
+    """
+    latest = last_in_batch(batch, keys, order)
+    known = table.select(*keys).join(batch.select(*keys).distinct(), keys, "left_semi")
+    return latest.join(known, keys, "left_anti")
 
 
 def insert_ignore(

@@ -64,6 +64,7 @@ def _random_rows(n, seed, words, hosts, spread_days):
 def test_equals_sequential_model_in_a_hot_block(spark, seed, monkeypatch):
     """All rows share one signature, so several rounds and both hosts and wrappers are involved."""
     monkeypatch.setattr(dedup, "FIRST_BATCH", 4)
+    monkeypatch.setattr(dedup, "ROWS_PER_LANE", 20)
     words = ["vindmølle", "havvind", "energi", "strøm", "marked", "pris", "aftale", "ny", "dansk", "norsk", "svensk", "park"]
     rows = _random_rows(220, seed, words, ["www.a.dk", "b.dk", "x.b.dk", "news.google.com"], 6)
     df = spark.createDataFrame(rows, SCHEMA)

@@ -18,11 +18,12 @@ def _rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_running_total_and_lag_across_buckets(spark):
+@pytest.mark.parametrize("ranged", [False, True])
+def test_running_total_and_lag_across_buckets(spark, ranged):
     random.seed(1)
     rows = [(random.choice("ab"), i, random.randint(0, 9)) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, i bigint, v bigint")
-    bucket = F.floor(F.col("i") / 7)
+    bucket = None if ranged else F.floor(F.col("i") / 7)
     total = ordered.running_total(df, ["k"], ["i"], F.col("v"), bucket, "t")
     before = ordered.running_total(total, ["k"], ["i"], F.col("v"), bucket, "b", exclusive=True)
     lagged = ordered.previous_value(before, ["k"], ["i"], "v", bucket, "p")
