@@ -7,6 +7,9 @@ shared tokens followed by either remainder.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -25,25 +28,31 @@ def _common_subsequence(a: str, b: str) -> int:
 
 
 def token_set_ratio(left: str, right: str) -> float:
-    if not left or not right:
+    return score_tokens(frozenset(left.split()), frozenset(right.split()))
+
+
+def score_tokens(a: frozenset, b: frozenset, needed: float = 0.0) -> float:
+    """Score of two token sets. With ``needed`` the result is only exact about reaching it, which
+    saves the subsequence search where the cheap parts decide."""
+    if not a or not b:
         return 0.0
-    a, b = set(left.split()), set(right.split())
     shared, only_a, only_b = a & b, " ".join(sorted(a - b)), " ".join(sorted(b - a))
     if shared and (not only_a or not only_b):
         return 100.0
-    core = len(" ".join(sorted(shared)))
+    core = sum(map(len, shared)) + len(shared) - 1 if shared else 0
     gap = 1 if core else 0
     len_a, len_b = core + gap + len(only_a), core + gap + len(only_b)
-    # The shared prefix is common to both strings, so only the remainders can differ.
-    indel = len(only_a) + len(only_b) - 2 * _common_subsequence(only_a, only_b)
-    best = 100.0 * (1 - indel / (len_a + len_b))
+    best = 0.0
     if core:
         best = max(
-            best,
-            100.0 * (1 - (gap + len(only_a)) / (core + len_a)),
-            100.0 * (1 - (gap + len(only_b)) / (core + len_b)),
+            100.0 * (1 - (gap + len(only_a)) / (core + len_a)), 100.0 * (1 - (gap + len(only_b)) / (core + len_b))
         )
-    return best
+    at_most = 100.0 * (1 - abs(len(only_a) - len(only_b)) / (len_a + len_b))
+    if needed and (best >= needed or at_most < needed):
+        return best
+    # The shared prefix is common to both strings, so only the remainders can differ.
+    indel = len(only_a) + len(only_b) - 2 * _common_subsequence(only_a, only_b)
+    return max(best, 100.0 * (1 - indel / (len_a + len_b)))
 
 
 def similarity(left, right) -> Column:
@@ -56,10 +65,70 @@ def similarity(left, right) -> Column:
     return score(left, right)
 
 
-def is_duplicate(a, b, threshold: float, window_us: int, wrappers: bool = True) -> bool:
-    """Pair test on (text, micros or None, domain, is_wrapper) tuples."""
-    if a[2] != b[2] and not (wrappers and (a[3] or b[3])):
+class Peer(NamedTuple):
+    """What a pair test needs from one row."""
+
+    text: str
+    tokens: frozenset
+    at: int | None
+    domain: str
+    wrapper: bool
+
+    @classmethod
+    def of(cls, text, at, domain, wrapper) -> Peer:
+        return cls(text, frozenset(text.split()), None if pd.isna(at) else int(at), domain, bool(wrapper))
+
+
+def is_duplicate(a: Peer, b: Peer, threshold: float, window_us: int) -> bool:
+    if a.domain != b.domain and not (a.wrapper or b.wrapper):
         return False
-    if a[1] is not None and b[1] is not None and abs(a[1] - b[1]) > window_us:
+    if a.at is not None and b.at is not None and abs(a.at - b.at) > window_us:
         return False
-    return a[0] == b[0] or token_set_ratio(a[0], b[0]) >= threshold
+    return a.text == b.text or score_tokens(a.tokens, b.tokens, threshold) >= threshold
+
+
+_FEW = 8
+
+
+class PeerSet:
+    """Kept rows of one block, asked whether a new row resembles any of them.
+
+    Before scoring pairs, one vector operation bounds all scores by common characters: the tokens
+    of two rows share M characters, so their Indel distance is at least ``|a| + |b| - 2 M``, and
+    at least ``|a| - M`` characters of one side lie outside the shared tokens. Pairs that cannot
+    reach the threshold by either are skipped; no pair that can is.
+    """
+
+    def __init__(self, threshold: float, window_us: int):
+        self.threshold, self.window_us = threshold, window_us
+        self.peers: list[Peer] = []
+        self._letters = np.zeros((_FEW, 128), np.int16)
+        self._lengths = np.zeros((_FEW, 2), np.int32)
+
+    @staticmethod
+    def _profile(peer: Peer) -> tuple[np.ndarray, int, int]:
+        """Character counts, characters, and length of the joined token set."""
+        joined = "".join(peer.tokens).encode("ascii", "replace")
+        counts = np.bincount(np.frombuffer(joined, np.uint8), minlength=128).astype(np.int16)
+        return counts, len(joined), len(joined) + len(peer.tokens) - 1
+
+    def add(self, peer: Peer) -> None:
+        n = len(self.peers)
+        if n == len(self._letters):
+            self._letters = np.concatenate([self._letters, np.zeros_like(self._letters)])
+            self._lengths = np.concatenate([self._lengths, np.zeros_like(self._lengths)])
+        self._letters[n], self._lengths[n, 0], self._lengths[n, 1] = self._profile(peer)
+        self.peers.append(peer)
+
+    def resembles(self, peer: Peer) -> bool:
+        test = lambda other: is_duplicate(peer, other, self.threshold, self.window_us)
+        n = len(self.peers)
+        if n <= _FEW:
+            return any(map(test, self.peers))
+        counts, chars, length = self._profile(peer)
+        common = np.minimum(self._letters[:n], counts).sum(axis=1, dtype=np.int32)
+        their_chars, their_length = self._lengths[:n, 0], self._lengths[:n, 1]
+        slack = (1 - self.threshold / 100.0) + 1e-9
+        near = chars + their_chars - 2 * common <= slack * (length + their_length)
+        inside = (chars - common <= 2 * slack * length) | (their_chars - common <= 2 * slack * their_length)
+        return any(test(self.peers[i]) for i in np.flatnonzero(near | inside))

@@ -11,19 +11,21 @@ been collapsed by an aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from newsloom import settings
 from newsloom.functions import text, url
-from newsloom.functions.fuzzy import is_duplicate
+from newsloom.functions.fuzzy import Peer, PeerSet
 from newsloom.operators.once import once
 from newsloom.operators.ordered import top_per_key
 from newsloom.session import cut_lineage
 
 FIRST_BATCH = 32
 LARGEST_BATCH = 512
-ROWS_PER_LANE = 50_000
+ROWS_PER_LANE = 5_000
 
 
 def url_dedup(df: DataFrame, scope: list[str] = (), order: str = "seq") -> DataFrame:
@@ -64,35 +66,38 @@ def _window_us(days: int) -> int:
     return max(0, int(days)) * 86_400_000_000
 
 
-def _peer(row) -> tuple:
-    return row["text"], row["at"], row["domain"], row["wrapper"]
-
-
 def _keep_first(threshold: float, window_us: int):
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def keep(blocks: pd.Series) -> pd.Series:
         def survivors(rows):
-            kept = []
+            kept, seqs = PeerSet(threshold, window_us), []
             for row in rows:
-                peer = _peer(row)
-                if not any(is_duplicate(peer, k, threshold, window_us) for _, k in kept):
-                    kept.append((row["seq"], peer))
-            return [seq for seq, _ in kept]
+                peer = Peer.of(row["text"], row["at"], row["domain"], row["wrapper"])
+                if not kept.resembles(peer):
+                    kept.add(peer)
+                    seqs.append(row["seq"])
+            return seqs
 
         return blocks.map(survivors)
 
     return keep
 
 
+def _hits(rows: pd.DataFrame, peers: Iterable[Peer], threshold: float, window_us: int) -> list[bool]:
+    known = PeerSet(threshold, window_us)
+    for peer in peers:
+        known.add(peer)
+    mine = map(Peer.of, rows["text"], rows["at"], rows["domain"], rows["wrapper"])
+    return [known.resembles(m) for m in mine]
+
+
 def _resembles_any(threshold: float, window_us: int):
     @F.pandas_udf(T.BooleanType())
     def resembles(rows: pd.DataFrame, peers: pd.Series) -> pd.Series:
         out = []
-        for seq, body, at, domain, wrapper, others in zip(
-            rows["seq"], rows["text"], rows["at"], rows["domain"], rows["wrapper"], peers
-        ):
-            mine = (body, None if pd.isna(at) else int(at), domain, wrapper)
-            out.append(any(is_duplicate(mine, _peer(o), threshold, window_us) for o in others))
+        for i, others in enumerate(peers):
+            known = [Peer.of(o["text"], o["at"], o["domain"], o["wrapper"]) for o in others]
+            out += _hits(rows.iloc[i : i + 1], known, threshold, window_us)
         return pd.Series(out, dtype="bool")
 
     return resembles
@@ -102,24 +107,32 @@ def _as_peer() -> Column:
     return F.struct("seq", "text", "at", "domain", "wrapper")
 
 
-def _judge_rows_behind(pending: DataFrame, full: DataFrame, block: list[str], resembles) -> DataFrame:
+def _judge_rows_behind(pending: DataFrame, full: DataFrame, block: list[str], threshold: float, window_us: int) -> DataFrame:
     """Rows after the heads of their block, with ``_hit`` when they resemble a row just kept.
 
-    One array per block meets all rows of the block. A large block is cut into lanes by a hash of
-    its rows, and only its array is repeated, once per ``ROWS_PER_LANE`` rows.
+    A large block is cut into lanes of about ``ROWS_PER_LANE`` rows by a hash; every lane meets
+    one copy of the kept heads, so no group grows with the block.
     """
-    peers = full.select(
-        *block,
-        F.element_at("heads", -1)["seq"].alias("_last"),
-        F.filter("heads", lambda h: F.array_contains("kept", h["seq"])).alias("_peers"),
-    )
-    sizes = pending.groupBy(*block).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > ROWS_PER_LANE)
-    lanes = cut_lineage(sizes.select(*block, F.ceil(F.col("_rows") / ROWS_PER_LANE).cast("int").alias("_lanes")))
-    width = F.coalesce("_lanes", F.lit(1))
-    spread = peers.join(lanes, block, "left").withColumn("_lane", F.explode(F.sequence(F.lit(0), width - 1)))
-    rows = pending.join(lanes, block, "left").withColumn("_lane", F.pmod(F.hash("seq"), width))
-    behind = rows.drop("_lanes").join(spread.drop("_lanes"), [*block, "_lane"]).filter(F.col("seq") > F.col("_last"))
-    return behind.withColumn("_hit", resembles(_as_peer(), F.col("_peers"))).drop("_peers", "_last", "_lane")
+    kept = F.filter("heads", lambda h: F.array_contains("kept", h["seq"]))
+    sizes = pending.groupBy(*block).agg(F.ceil(F.count("*") / ROWS_PER_LANE).cast("int").alias("_lanes"))
+    hot = full.select(*block, F.element_at("heads", -1)["seq"].alias("_last"), kept.alias("_peers")).join(sizes, block)
+    lane = F.explode(F.sequence(F.lit(0), F.col("_lanes") - 1)).alias("_lane")
+    peers = hot.select(*block, "_peers", lane).select(*block, "_lane", F.inline("_peers"))
+    behind = pending.join(hot.drop("_peers"), block).filter(F.col("seq") > F.col("_last"))
+    rows = behind.withColumn("_lane", F.pmod(F.hash("seq"), F.col("_lanes"))).drop("_lanes", "_last")
+
+    columns = pending.columns
+
+    def judge(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        known = [Peer.of(p.text, p.at, p.domain, p.wrapper) for p in theirs.itertuples(index=False)]
+        return mine[columns].assign(_hit=_hits(mine, known, threshold, window_us))
+
+    schema = T.StructType([*pending.schema.fields, T.StructField("_hit", T.BooleanType())])
+    group = [*block, "_lane"]
+    # Lanes are few bytes but much work; a fixed partition count keeps them from being coalesced.
+    tasks = int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, peers = rows.repartition(tasks, *group), peers.repartition(tasks, *group)
+    return rows.groupBy(*group).cogroup(peers.groupBy(*group)).applyInPandas(judge, schema)
 
 
 def near_dedup(
@@ -143,7 +156,8 @@ def near_dedup(
 
     # A later row with the same text, domain and date shares every neighbour of the first.
     first = cut_lineage(rows.groupBy(*block, "domain", "wrapper", "text", "at").agg(F.min("seq").alias("seq")))
-    keep, resembles = _keep_first(threshold, _window_us(day_window)), _resembles_any(threshold, _window_us(day_window))
+    window_us = _window_us(day_window)
+    keep = _keep_first(threshold, window_us)
     pending, losers, batch = first, [], FIRST_BATCH
     while True:
         heads = top_per_key(pending, block, ["seq"], batch)
@@ -153,7 +167,7 @@ def near_dedup(
         full = decided.filter(F.size("heads") == batch)
         if full.isEmpty():
             break
-        judged = cut_lineage(_judge_rows_behind(pending, full, block, resembles))
+        judged = cut_lineage(_judge_rows_behind(pending, full, block, threshold, window_us))
         losers.append(judged.filter("_hit").select(*scope, "seq"))
         pending = judged.filter(~F.col("_hit")).drop("_hit")
         batch = min(LARGEST_BATCH, batch * 2)

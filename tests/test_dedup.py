@@ -139,3 +139,19 @@ def test_url_dedup_fills_platform_and_drops_linkless(spark):
 def test_last_in_batch(spark):
     df = spark.createDataFrame([(1, "k", 1), (2, "k", 1), (3, None, 1), (4, "", 1), (5, "k", None)], "seq bigint, post_link string, topic_id bigint")
     assert [r.seq for r in dedup.last_in_batch(df, ["post_link", "topic_id"]).collect()] == [2]
+
+
+@pytest.mark.parametrize("threshold", [75, 92])
+def test_peer_set_never_skips_a_pair_that_reaches_the_threshold(threshold):
+    from newsloom.functions.fuzzy import Peer, PeerSet, is_duplicate
+
+    random.seed(4)
+    words = ["vind", "vinde", "havvind", "park", "parker", "energi", "energien", "pris", "priser", "x1", "y2"]
+    words += [f"unikt{i}ord" for i in range(40)]
+    peer = lambda: Peer.of(" ".join(random.choices(words, k=random.randint(4, 7))), None, "a.dk", False)
+    known = PeerSet(threshold, 0)
+    for _ in range(60):
+        known.add(peer())
+    asked = [peer() for _ in range(400)]
+    wanted = [any(is_duplicate(a, p, threshold, 0) for p in known.peers) for a in asked]
+    assert [known.resembles(a) for a in asked] == wanted and any(wanted) and not all(wanted)
