@@ -88,36 +88,44 @@ def is_duplicate(a: Peer, b: Peer, threshold: float, window_us: int) -> bool:
 
 
 _FEW = 8
+_PAIR_SLOTS = 512
 
 
 class PeerSet:
     """Kept rows of one block, asked whether a new row resembles any of them.
 
-    Before scoring pairs, one vector operation bounds all scores by common characters: the tokens
-    of two rows share M characters, so their Indel distance is at least ``|a| + |b| - 2 M``, and
-    at least ``|a| - M`` characters of one side lie outside the shared tokens. Pairs that cannot
-    reach the threshold by either are skipped; no pair that can is.
+    Before pairs are scored, vector operations rule out those that cannot reach the threshold:
+
+    * one insertion or deletion changes the letter counts by one and the counts of adjacent
+      letter pairs by at most three, so both count differences bound the Indel distance;
+    * when one side nearly lies inside the other, its tokens outside the shared ones are short,
+      so only few of its letter pairs are missing on the other side.
+
+    Letter pairs are counted in hashed slots; collisions only make the bounds looser.
     """
 
     def __init__(self, threshold: float, window_us: int):
         self.threshold, self.window_us = threshold, window_us
         self.peers: list[Peer] = []
         self._letters = np.zeros((_FEW, 128), np.int16)
-        self._lengths = np.zeros((_FEW, 2), np.int32)
+        self._pairs = np.zeros((_FEW, _PAIR_SLOTS), np.int16)
+        self._lengths = np.zeros(_FEW, np.int32)
 
     @staticmethod
-    def _profile(peer: Peer) -> tuple[np.ndarray, int, int]:
-        """Character counts, characters, and length of the joined token set."""
-        joined = "".join(peer.tokens).encode("ascii", "replace")
-        counts = np.bincount(np.frombuffer(joined, np.uint8), minlength=128).astype(np.int16)
-        return counts, len(joined), len(joined) + len(peer.tokens) - 1
+    def _profile(peer: Peer) -> tuple[np.ndarray, np.ndarray, int]:
+        """Letter counts, letter-pair counts and length of the token set joined by spaces."""
+        joined = f" {' '.join(peer.tokens)} ".encode("ascii", "replace")
+        codes = np.frombuffer(joined, np.uint8).astype(np.int64)
+        slots = (codes[:-1] * 31 + codes[1:]) & (_PAIR_SLOTS - 1)
+        count = lambda values, size: np.bincount(values, minlength=size).astype(np.int16)
+        return count(codes[1:-1], 128), count(slots, _PAIR_SLOTS), len(joined) - 2
 
     def add(self, peer: Peer) -> None:
         n = len(self.peers)
-        if n == len(self._letters):
-            self._letters = np.concatenate([self._letters, np.zeros_like(self._letters)])
-            self._lengths = np.concatenate([self._lengths, np.zeros_like(self._lengths)])
-        self._letters[n], self._lengths[n, 0], self._lengths[n, 1] = self._profile(peer)
+        if n == len(self._lengths):
+            double = lambda a: np.concatenate([a, np.zeros_like(a)])
+            self._letters, self._pairs, self._lengths = map(double, (self._letters, self._pairs, self._lengths))
+        self._letters[n], self._pairs[n], self._lengths[n] = self._profile(peer)
         self.peers.append(peer)
 
     def resembles(self, peer: Peer) -> bool:
@@ -125,10 +133,12 @@ class PeerSet:
         n = len(self.peers)
         if n <= _FEW:
             return any(map(test, self.peers))
-        counts, chars, length = self._profile(peer)
-        common = np.minimum(self._letters[:n], counts).sum(axis=1, dtype=np.int32)
-        their_chars, their_length = self._lengths[:n, 0], self._lengths[:n, 1]
+        letters, pairs, mine = self._profile(peer)
+        theirs = self._lengths[:n]
+        common_letters = np.minimum(self._letters[:n], letters).sum(axis=1, dtype=np.int32)
+        common_pairs = np.minimum(self._pairs[:n], pairs).sum(axis=1, dtype=np.int32)
         slack = (1 - self.threshold / 100.0) + 1e-9
-        near = chars + their_chars - 2 * common <= slack * (length + their_length)
-        inside = (chars - common <= 2 * slack * length) | (their_chars - common <= 2 * slack * their_length)
+        edits = slack * (mine + theirs)
+        near = (mine + theirs - 2 * common_letters <= edits) & (mine + theirs + 2 - 2 * common_pairs <= 3 * edits)
+        inside = (mine + 1 - common_pairs <= 2 * slack * mine + 1) | (theirs + 1 - common_pairs <= 2 * slack * theirs + 1)
         return any(test(self.peers[i]) for i in np.flatnonzero(near | inside))
