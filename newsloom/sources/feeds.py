@@ -13,6 +13,7 @@ from newsloom.functions import dates, text, url
 from newsloom.operators import filters
 from newsloom.operators.once import once
 from newsloom.operators.ordered import top_per_key
+from newsloom.session import cut_lineage
 from newsloom.sources.pages import article_urls
 
 RSS_ITEM = "link string, pubDate string, title string, description string, guid string"
@@ -102,7 +103,8 @@ def keyword_feed(items: DataFrame, since: Column) -> DataFrame:
     # Links are only resolved for entries that pass the cheaper tests.
     linked = once(once(items, _early=early), canonical_link=F.when(F.col("_early").isNull(), canonical))
     missing = F.when(F.col("canonical_link") == "", F.lit("no_link"))
-    judged = linked.withColumn("skip_reason", F.coalesce("_early", missing)).drop("_early")
+    # Read twice below (first links, then all entries), so it is computed and stored once.
+    judged = cut_lineage(linked.withColumn("skip_reason", F.coalesce("_early", missing)).drop("_early"))
     ok = F.col("skip_reason").isNull()
     firsts = judged.filter(ok).groupBy("keyword", "canonical_link").agg(F.min("seq").alias("_first"))
     repeated = (F.col("skip_reason").isNull()) & (F.col("seq") > F.col("_first"))
