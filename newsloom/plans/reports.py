@@ -22,8 +22,9 @@ def mention_page(
     """
     rows = joins.owned_by(mentions, brands, profile_id, admin)
     rows = filters.published_between(filters.where_given(rows, **equal), start, end)
-    page = rows.orderBy(F.desc("created_at"), F.desc("id")).offset(skip).limit(clamp(limit, 1, 1000))
-    return joins.embed_mention(page, brands, topics, platforms)
+    newest = [F.desc("created_at"), F.desc("id")]
+    page = rows.orderBy(*newest).offset(skip).limit(clamp(limit, 1, 1000))
+    return joins.embed_mention(page, brands, topics, platforms).orderBy(*newest)
 
 
 def topic_breakdown(mentions: DataFrame, keys: list[str]) -> DataFrame:
