@@ -1,6 +1,6 @@
 """Registered queries of this package and their SQL twins."""
 
-from newsloom.llm import byte_bpe, chat_format, common, exact_dedup, mixing, token_output  # noqa: F401
+from newsloom.llm import byte_bpe, chat_format, common, exact_dedup, language_id, mixing, token_output  # noqa: F401
 
 
 def queries():
