@@ -1,6 +1,6 @@
 """Registered queries of this package and their SQL twins."""
 
-from newsloom.llm import byte_bpe, chat_format, common, exact_dedup, html_text, language_id, mixing, ngram_join, token_output  # noqa: F401
+from newsloom.llm import byte_bpe, chat_format, common, epsilon_join, exact_dedup, html_text, language_id, mixing, ngram_join, token_output  # noqa: F401
 
 
 def queries():
