@@ -28,3 +28,11 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     return read_table(spark, folder, name, list(columns))
+
+
+def unused_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
