@@ -37,6 +37,8 @@ LOST = 0.001
 #: No text that scores this much is rejected.
 SURE = 0.5
 UNKNOWN = "und"
+#: Bound of every weight.
+LARGEST = 10.0
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 PREDICTION = "struct<lang: string, score: double, rejected: boolean>"
 
@@ -113,9 +115,10 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, rate:
         error = _softmax(mean @ linear + bias)
         error[truth] -= 1
         back = linear @ error
-        linear -= pace * np.outer(mean, error)
-        bias -= 0.01 * pace * error
-        embedded[at] -= pace * weights[:, None] * back
+        # Weights are kept in bounds, so labels that cannot be learned do not drive them apart.
+        linear = np.clip(linear - pace * np.outer(mean, error), -LARGEST, LARGEST)
+        bias = np.clip(bias - 0.01 * pace * error, -LARGEST, LARGEST)
+        embedded[at] = np.clip(embedded[at] - pace * weights[:, None] * back, -LARGEST, LARGEST)
     scored = embedded @ linear
     heat, least = _calibrate(calibrate, scored, bias)
     return Model(languages, (scored / heat).astype(np.float32), bias / heat, least)

@@ -12,6 +12,7 @@ that works on any store Spark writes to, and a lost task is written again whole.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ BLOCK = 4096
 #: Ids in a shard, unless one document has more.
 SHARD_IDS = 1 << 20
 _NO_ID = -(2**63)
+_LINE = re.compile(r" ?\S+")
 
 
 def packed(ids: np.ndarray, bits: int) -> bytes:
@@ -90,9 +92,23 @@ def _coder(path: str) -> tuple[RunCoder, int]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
+    newline = tokenizer.encode("\n", add_special_tokens=False).ids
+
     def encode_runs(runs: list[str]) -> list[bytes]:
-        coded = tokenizer.encode_batch_fast(runs, add_special_tokens=False)
-        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+        # Runs without white space inside are encoded many to a text, a line each: a line end before a run is a piece of its own.
+        lines = [i for i, run in enumerate(runs) if _LINE.fullmatch(run)] if len(newline) == 1 else []
+        rest = sorted(set(range(len(runs))).difference(lines))
+        groups = [lines[i : i + 64] for i in range(0, len(lines), 64)]
+        texts = ["\n".join([runs[i] for i in group]) for group in groups] + [runs[i] for i in rest]
+        coded = [np.array(c.ids, "<u4") for c in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        result = [b""] * len(runs)
+        for group, ids in zip(groups, coded):
+            ends = np.append(np.flatnonzero(ids == newline[0]), len(ids)).tolist()
+            for i, a, b in zip(group, [0, *[e + 1 for e in ends]], ends):
+                result[i] = ids[a:b].tobytes()
+        for i, ids in zip(rest, coded[len(groups) :]):
+            result[i] = ids.tobytes()
+        return result
 
     return RunCoder(encode_runs), max(1, (tokenizer.get_vocab_size() - 1).bit_length())
 
@@ -130,7 +146,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> None:
         if names:
             yield shard()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SHARDS).write.parquet(folder)
 
 

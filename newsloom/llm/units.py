@@ -14,6 +14,9 @@ from collections.abc import Callable, Iterator
 #: A space followed by white space or the end: only then a space may be no place to cut.
 _LOOSE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
+#: Marks that never share a piece with a Latin letter before them.
+_MARKS = ".,!?;:*#$%&|()[]{}"
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
 #: Characters of text handled at a time.
 STEP_CHARS = 1 << 21
 
@@ -45,9 +48,20 @@ class RunCoder:
         missing = needed - self.spaced.keys()
         again = missing & self.older.keys()
         self.spaced.update({a: self.older[a] for a in again})
-        missing = list(missing - again)
-        coded = self.encode_runs(heads + [" " + m for m in missing])
-        self.spaced.update(zip(missing, coded[len(heads) :]))
+        missing -= again
+        # A word and the marks behind it are coded apart, as words recur with other marks.
+        ends = {}
+        for run in missing:
+            body = run.rstrip(_MARKS)
+            if body and len(body) < len(run) and _LATIN.match(body[-1]):
+                ends[run] = body
+        bodies = ((missing - ends.keys()) | set(ends.values())) - self.spaced.keys()
+        marks = {run[len(body) :] for run, body in ends.items()}
+        asked = [heads, [" " + b for b in bodies], list(marks)]
+        coded = self.encode_runs([run for part in asked for run in part])
+        self.spaced.update(zip(bodies, coded[len(heads) :]))
+        marks = dict(zip(asked[2], coded[len(heads) + len(bodies) :]))
+        self.spaced.update({run: self.spaced[body] + marks[run[len(body) :]] for run, body in ends.items()})
         get = self.spaced.__getitem__
         return [head + b"".join(map(get, tail)) for head, tail in zip(coded, tails)]
 
