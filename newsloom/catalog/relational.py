@@ -495,8 +495,10 @@ def adaptive_rows(spark, folder):
 @query("compare_two_brands", sql_with("em", "brands") + """
     , two AS (SELECT em.* FROM em JOIN brands b ON b.id = em.brand_id WHERE lower(b.name) IN ('nation_3', 'nation_11'))
     """ + _adaptive(7, 50, "two") + """
-    SELECT b.name, effective_days, effective_limit, rows AS mentions, round(rows / sum(rows) OVER (), 4) AS share
-    FROM aw JOIN brands b ON b.id = aw.brand_id""")
+    , v AS (SELECT aw.brand_id, effective_days, effective_limit, rows, count(*) AS in_window FROM aw JOIN two t ON t.brand_id = aw.brand_id
+            WHERE t.created_at >= TIMESTAMP '2024-01-31' - to_days(CAST(effective_days AS INTEGER)) GROUP BY ALL)
+    SELECT b.name, effective_days, effective_limit, rows AS shown, in_window AS mentions, round(in_window / sum(in_window) OVER (), 4) AS share
+    FROM v JOIN brands b ON b.id = v.brand_id""")
 def compare_two_brands(spark, folder):
     r = Roles(spark, folder)
     return reports.compare_brands(r.em, r.brands, [" nation_3", "NATION_11"], AS_OF)
@@ -619,10 +621,10 @@ def tools_in_first_use_order(spark, folder):
 
 
 @query("chat_list_latest", """
-    SELECT conv_id AS chat_id, max(turn) AS last_turn FROM conversations GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25""")
+    SELECT conv_id AS chat_id, max(turn) AS last_turn FROM conversations GROUP BY 1""")
 def chat_list_latest(spark, folder):
     chats = Roles(spark, folder).table("conversations", "conv_id", "turn").groupBy(F.col("conv_id").alias("chat_id"))
-    return chats.agg(F.max("turn").alias("last_turn")).orderBy(F.desc("last_turn"), "chat_id").limit(25)
+    return chats.agg(F.max("turn").alias("last_turn")).orderBy(F.desc("last_turn"), "chat_id")
 
 
 @query("first_spelling_keywords", """

@@ -282,5 +282,5 @@ def ingest_stage_counts(spark, folder):
 def ingest_rows_to_store(spark, folder):
     _, stages = _stages(spark, folder)
     platforms = Roles(spark, folder).table("documents", "source").distinct().select(F.xxhash64("source").alias("id"), F.col("source").alias("name"))
-    mentions, _ = ingest.rows_to_store(stages.new, _keywords(spark, folder), platforms)
+    mentions, _, _ = ingest.rows_to_store(stages.new, _keywords(spark, folder), platforms)
     return mentions.select("seq", "caption", "post_link", "topic_id", "primary_keyword_id")

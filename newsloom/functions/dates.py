@@ -50,11 +50,20 @@ def _zone(raw: Column) -> Column:
     return (
         F.when(raw == "", F.lit("Z"))
         .when(raw.rlike(r"^[+-]\d{2}:?\d{2}$"), offset)
-        .otherwise(F.coalesce(_lookup(ZONES, raw), F.lit("Z")))
+        .otherwise(_lookup(ZONES, raw))
     )
 
 
-_CLOCK = r"(\d{1,2}[:.]\d{2}(?:[:.]\d{2})?)?"
+def _clock(raw: Column) -> Column:
+    """A time of day on 24 hours: dots become colons, and AM or PM goes."""
+    half = F.lower(F.regexp_extract(raw, r"(?i)\s*([ap])\.?m\.?$", 1))
+    bare = F.replace(F.regexp_replace(raw, r"(?i)\s*[ap]\.?m\.?$", ""), F.lit("."), F.lit(":"))
+    hour, rest = F.split_part(bare, F.lit(":"), F.lit(1)).try_cast("int"), F.regexp_replace(bare, r"^\d+", "")
+    turned = F.pmod(hour, F.lit(12)) + F.when(half == "p", 12).otherwise(0)
+    return F.when(half == "", bare).otherwise(F.concat(F.lpad(turned.cast("string"), 2, "0"), rest))
+
+
+_CLOCK = r"(\d{1,2}[:.]\d{2}(?:[:.]\d{2})?(?:\s*[AaPp]\.?[Mm]\b\.?)?)?"
 _ZONE = r"\s*([A-Za-z]{1,4}|[+-]\d{2}:?\d{2})?$"
 _WEEKDAY = r"^(?:\p{L}{1,10}\.?,?\s+(?:d\.?|den)?\s*)?"
 # Each form captures three date parts, a clock and a zone.
@@ -87,7 +96,7 @@ def parse_date(raw, as_of) -> Column:
 
 def _parse(text: Column, as_of: Column) -> Column:
     month = lambda name: _lookup(MONTHS, F.lower(name)).cast("string")
-    clock = lambda c: F.replace(c, F.lit("."), F.lit(":"))
+    clock = _clock
     iso = F.when(
         text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.regexp_replace(text, r" (UTC|GMT)$", "Z").try_cast("timestamp")
     )

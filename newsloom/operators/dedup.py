@@ -183,9 +183,10 @@ def near_dedup(
 
 def recent_history(
     mentions: DataFrame, as_of, scope: list[str],
-    days: int = settings.HISTORY_DAYS, limit: int | None = settings.HISTORY_LIMIT,
+    days: int = settings.HISTORY_DAYS, limit: int | None = None,
 ) -> DataFrame:
-    """Stored mentions new rows are compared with: the last days, newest ``limit`` per scope."""
+    """Stored mentions new rows are compared with: the last days, and of those the newest
+    ``limit`` per scope (``settings.HISTORY_LIMIT`` is the usual one) where a limit is given."""
     from newsloom.operators.filters import recent
 
     window = recent(mentions, as_of, days)

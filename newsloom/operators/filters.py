@@ -42,9 +42,11 @@ def strict_date_reason(raw: str, parsed: str, cutoff: Column) -> Column:
     )
 
 
-def lenient_since(df: DataFrame, cutoff: Column, column: str = "published_at") -> DataFrame:
-    """Feed and sitemap filter: undated rows pass."""
-    return df.filter(F.col(column).isNull() | (F.col(column) >= cutoff))
+def lenient_since(df: DataFrame, cutoff: Column | None, column: str = "published_at") -> DataFrame:
+    """Feed and sitemap filter: undated rows pass, and without a cutoff every row."""
+    if cutoff is None:
+        return df
+    return df.filter(F.col(column).isNull() | cutoff.isNull() | (F.col(column) >= cutoff))
 
 
 def active(df: DataFrame, column: str = "is_active") -> DataFrame:
@@ -58,17 +60,23 @@ def due_for_scrape(df: DataFrame, as_of) -> DataFrame:
     return df.filter(F.col("last_scraped_at").isNull() | (hours >= frequency))
 
 
+def no_keywords(keywords) -> Column:
+    """Whether a keyword list is null or has nothing but blanks."""
+    keywords = keywords if isinstance(keywords, Column) else F.col(keywords)
+    return F.coalesce(F.size(text.clean_keywords(keywords)), F.lit(0)) <= 0
+
+
 def feed_item_matches(title: str, summary: str, keywords) -> Column:
-    """Any keyword in the first 400 characters of title or summary; items without text pass."""
+    """Any keyword in the first 400 characters of title or summary; items without text pass, and without keywords all."""
     head = lambda c: F.left(F.coalesce(F.col(c), F.lit("")), F.lit(400))
     joined = F.trim(F.concat_ws(" ", head(title), head(summary)))
-    return (joined == "") | text.contains_any(joined, keywords)
+    return (joined == "") | no_keywords(keywords) | text.contains_any(joined, keywords)
 
 
 def sitemap_item_matches(title: str, link: str, keywords) -> Column:
-    """Title test where a title exists, else a keyword token in the URL path."""
+    """Title test where a title exists, else a keyword token in the URL path; without keywords all pass."""
     head = F.trim(F.coalesce(F.col(title), F.lit("")))
-    return F.when(head != "", text.contains_any(head, keywords)).otherwise(
+    return no_keywords(keywords) | F.when(head != "", text.contains_any(head, keywords)).otherwise(
         text.path_has_keyword_token(url.path(link), keywords)
     )
 
@@ -147,7 +155,7 @@ def thin_page(html: str, min_chars: int = settings.MIN_VISIBLE_CHARS) -> Column:
 
 
 def html_title(html: str) -> Column:
-    return F.trim(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?s)<title>(.*?)</title>", 1))
+    return F.trim(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
 
 
 def soft_404_reason(status: str, final_url: str, domain: str, page_title: Column, home_title: Column) -> Column:

@@ -9,7 +9,7 @@ from newsloom.operators.ordered import running_totals, top_per_key
 
 
 def cap_per_source(df: DataFrame, domain: str, order: list, limit: int = settings.MAX_URLS_PER_SOURCE) -> DataFrame:
-    return top_per_key(df, [domain], order, max(1, min(limit, settings.MAX_URLS_PER_SOURCE)))
+    return top_per_key(df, [domain], order, max(1, limit))
 
 
 def url_budget(df: DataFrame, order: list, limit: int = settings.MAX_URLS_PER_RUN) -> DataFrame:

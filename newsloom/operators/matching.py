@@ -28,10 +28,11 @@ def phrase_matches(mentions: DataFrame, keywords: DataFrame, scope: list[str] =
         F.lower(F.coalesce("title", F.lit(""))).alias("_title"),
         F.lower(F.coalesce("content_teaser", F.lit(""))).alias("_teaser"),
     )
-    tokens = texts.withColumn("_token", F.explode(text.words(F.concat_ws(" ", "_title", "_teaser"))))
-    by_token = tokens.join(phrases.filter(F.col("_token").isNotNull()), [*scope, "_token"])
-    by_scope = texts.join(phrases.filter(F.col("_token").isNull()), scope)
-    candidates = by_token.drop("_token").unionByName(by_scope.drop("_token"))
+    # Only ids travel with the tokens; the text is joined to the candidates once.
+    tokens = texts.select(*scope, "mention_id", F.explode(text.words(F.concat_ws(" ", "_title", "_teaser"))).alias("_token"))
+    by_token = tokens.join(phrases.filter(F.col("_token").isNotNull()), [*scope, "_token"]).drop("_token").distinct()
+    by_scope = texts.join(phrases.filter(F.col("_token").isNull()), scope).drop("_token")
+    candidates = texts.join(by_token, [*scope, "mention_id"]).unionByName(by_scope)
     found = once(
         candidates, _in_title=F.rlike("_title", F.col("_pattern")), _in_teaser=F.rlike("_teaser", F.col("_pattern"))
     )

@@ -10,6 +10,7 @@ from newsloom import settings
 from newsloom.functions import url
 from newsloom.operators import dedup, filters, language, matching
 from newsloom.session import cut_lineage
+from newsloom.sinks import tables
 
 
 def union_providers(outputs: dict[str, DataFrame | None]) -> DataFrame:
@@ -84,13 +85,19 @@ def stage_removals(stages: Stages, raw: DataFrame) -> DataFrame:
     return counts.join(previous, "position").select("stage", "rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("removed"))
 
 
-def rows_to_store(mentions: DataFrame, keywords: DataFrame, platforms: DataFrame, min_matches: int = settings.MIN_KEYWORD_MATCHES) -> tuple[DataFrame, DataFrame]:
-    """Mention rows with topic, primary keyword and platform id, and their keyword links."""
-    matches = matching.phrase_matches(mentions, keywords)
+def rows_to_store(mentions: DataFrame, keywords: DataFrame, platforms: DataFrame, min_matches: int = settings.MIN_KEYWORD_MATCHES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mention rows with topic, primary keyword and platform id, their keyword links, and the platforms to append first.
+
+    A platform that the dimension does not have yet gets an id here, so no mention is lost for it.
+    """
+    # Read for topics, primary keywords and links, so computed once.
+    matches = cut_lineage(matching.phrase_matches(mentions, keywords))
     topics = matching.best_topics(matches, min_matches)
     primary = matching.primary_keywords(matches, topics)
-    platform_ids = platforms.select(F.col("id").alias("platform_id"), F.col("name").alias("platform"))
-    named = mentions.withColumn("platform", F.coalesce(F.nullif("platform", F.lit("")), F.lit("Unknown")))
+    name = F.trim(F.coalesce("platform", F.lit("")))
+    named = mentions.withColumn("platform", F.when(name == "", F.lit("Unknown")).otherwise(name))
+    fresh, every = tables.get_or_create(platforms, named.join(topics, "mention_id", "left_semi"), "platform")
+    platform_ids = every.select(F.col("id").alias("platform_id"), F.col("name").alias("platform"))
     rows = (
         named.join(topics.select("mention_id", "topic_id"), "mention_id")
         .join(primary, "mention_id", "left")
@@ -110,7 +117,7 @@ def rows_to_store(mentions: DataFrame, keywords: DataFrame, platforms: DataFrame
         .filter(F.coalesce("post_link", F.lit("")) != "")
         .select("post_link", "topic_id", "keyword_id", "matched_in", "score")
     )
-    return rows, links
+    return rows, links, fresh
 
 
 def provider_outcomes(results: DataFrame) -> DataFrame:

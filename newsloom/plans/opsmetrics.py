@@ -99,10 +99,11 @@ def rates(events: DataFrame, keys: list[str], window_s: int, sums: dict[str, Col
 
 
 def success_ratio(rolled: DataFrame, good: str, everything: str, low: float = 0.20, volume: float = 0.1) -> DataFrame:
-    """Ratio with a floor under the denominator, and the low-ratio alert condition with its
-    minimum volume."""
-    ratio = F.col(good) / F.greatest(F.col(everything), F.lit(0.001))
-    return rolled.withColumn("ratio", ratio).withColumn("firing", (ratio < low) & (F.col(everything) > volume))
+    """Ratio of per-second rates with a floor under the denominator, and the low-ratio alert condition with its
+    minimum volume, per second as well."""
+    rate = F.col(f"{everything}_rate")
+    ratio = F.col(f"{good}_rate") / F.greatest(rate, F.lit(0.001))
+    return rolled.withColumn("ratio", ratio).withColumn("firing", (ratio < low) & (rate > volume))
 
 
 def sustained(

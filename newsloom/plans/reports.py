@@ -132,15 +132,15 @@ def adaptive_rows(mentions: DataFrame, as_of, days: int, limit: int = 50, wanted
 
 
 def compare_brands(mentions: DataFrame, brands: DataFrame, names: list[str], as_of, days: int = 7) -> DataFrame:
-    """Volume, share and effective window of the named brands."""
+    """Volume and share of the named brands in their effective windows, uncapped, and how many rows the attempt shows."""
     wanted = brands.filter(F.lower(F.trim("name")).isin(*[n.strip().lower() for n in names]))
     rows = mentions.join(wanted.select(F.col("id").alias("brand_id"), "name"), "brand_id")
     window = adaptive_window(rows, as_of, days)
-    fetched = window.join(wanted.select(F.col("id").alias("brand_id"), "name"), "brand_id")
-    total = fetched.agg(F.sum("rows")).scalar()
-    return fetched.select(
-        "name", "effective_days", "effective_limit", F.col("rows").alias("mentions"),
-        F.round(F.col("rows") / total, 4).alias("share"),
+    inside = rows.join(window, "brand_id").filter(F.col("created_at") >= dates.days_before(as_of, F.col("effective_days")))
+    volume = inside.groupBy("name", "effective_days", "effective_limit", F.col("rows").alias("shown")).agg(F.count("*").alias("mentions"))
+    total = volume.agg(F.sum("mentions")).scalar()
+    return volume.select(
+        "name", "effective_days", "effective_limit", "shown", "mentions", F.round(F.col("mentions") / total, 4).alias("share")
     )
 
 
@@ -160,7 +160,7 @@ def monitoring_status(mentions: DataFrame) -> DataFrame:
 
 def mention_lines(mentions: DataFrame) -> DataFrame:
     """One text line pair per mention, as shown to analysts."""
-    when = F.coalesce(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("N/A"))
+    when = F.coalesce(F.date_format(F.coalesce("published_at", "created_at"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("N/A"))
     line = F.concat(
         F.lit("- Mention #"), F.col("id").cast("string"), F.lit(" | "), when, F.lit(" | Topic: "),
         F.coalesce("topic", F.lit("N/A")), F.lit(" | Platform: "), F.coalesce("platform", F.lit("N/A")),

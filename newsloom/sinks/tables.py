@@ -81,8 +81,12 @@ def insert_ignore(
 
 def merge_source_configs(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert by domain: given values win, unset ones keep the stored value, except the discovery
-    fields, which an update may clear."""
-    new = incoming.withColumn("domain", clean_domain_entry("domain")).withColumn("_new", F.lit(True))
+    fields, which an update may clear. Of incoming rows with one cleaned domain the last by ``seq`` counts, or
+    the greatest where there is no such column."""
+    new = incoming.withColumn("domain", clean_domain_entry("domain"))
+    order = F.struct("seq") if "seq" in new.columns else F.struct(*[F.col(c).cast("string") for c in new.columns])
+    last = new.groupBy("domain").agg(F.max_by(F.struct(*new.columns), order).alias("_last")).select("_last.*")
+    new = last.withColumn("_new", F.lit(True))
     both = current.alias("o").join(new.alias("n"), "domain", "full_outer")
     fields = []
     for c in current.columns:
