@@ -174,11 +174,11 @@ def taxonomy_flat(spark, folder):
     GROUP BY 1""")
 def taxonomy_tree_counts(spark, folder):
     r = Roles(spark, folder)
-    per_topic = r.topic_keywords.groupBy("topic_id").agg(F.count("*").alias("n"))
-    topics = r.taxonomy_topics.join(per_topic, F.col("id") == F.col("topic_id"), "left")
-    counts = topics.groupBy("brand_id").agg(F.count("*").alias("topics"), F.sum("n").alias("keywords"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return r.brands.select("id").join(counts, F.col("id") == F.col("brand_id"), "left").select("id", zero("topics"), zero("keywords"))
+    tree = joins.taxonomy_tree(r.brands.select("id"), r.taxonomy_topics.select("id", "brand_id", "name"), r.topic_keywords, r.keywords)
+    sizes = F.transform("topics", lambda t: F.greatest(F.size(F.coalesce(t["keywords"], F.array())), F.lit(0)))
+    total = F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return tree.select("id", zero(F.greatest(F.size("topics"), F.lit(0))).alias("topics"), zero(total).alias("keywords"))
 
 
 @query("user_keyword_texts", sql_with("brands", "taxonomy_topics", "topic_keywords", "keywords") + """

@@ -1,7 +1,7 @@
 """RSS, Atom and sitemap scans.
 
 ``read_*`` use Spark's XML source on landed files; the ``*_items`` functions take one XML fragment
-per row (column ``xml``). Namespace prefixes are ignored by dropping them from the fragment.
+per row (column ``xml``). Elements of other namespaces (``atom:link``, ``media:title``) stay apart from those of the item.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ SITEMAP_CHILD = "loc string"
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
-    """Landed XML files, split by row tag so that one large feed is still many tasks."""
-    return spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", "true").schema(schema).load(path)
+    """Landed XML files, split by row tag so that one large feed is still many tasks. Only the fields of sitemaps,
+    which nest, are read whatever their prefix."""
+    nested = str(row_tag in ("url", "sitemap")).lower()
+    return spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", nested).schema(schema).load(path)
 
 
 def plain_names(xml: str) -> Column:
@@ -35,13 +37,20 @@ def plain_names(xml: str) -> Column:
     return F.regexp_replace(F.col(xml), r"(</?)[A-Za-z0-9]+:", "$1")
 
 
+def own_names(xml: str) -> Column:
+    """Fragment whose root has a prefix (``<a:entry>``), without that prefix; others, and the text, stay as they are."""
+    prefix = F.regexp_extract(xml, r"^\s*<([A-Za-z0-9]+):", 1)
+    bare = F.regexp_replace(F.col(xml), F.concat(F.lit("(</?)"), prefix, F.lit(":")), F.lit("$1"))
+    return F.when(prefix == "", F.col(xml)).otherwise(bare)
+
+
 def rss_items(df: DataFrame, as_of) -> DataFrame:
-    parsed = once(df, _i=F.from_xml(plain_names("xml"), RSS_ITEM))
+    parsed = once(df, _i=F.from_xml(own_names("xml"), RSS_ITEM))
     return _dated(parsed, "_i.link", "_i.pubDate", "_i.title", "_i.description", as_of)
 
 
 def atom_entries(df: DataFrame, as_of) -> DataFrame:
-    parsed = once(df, _i=F.from_xml(plain_names("xml"), ATOM_ENTRY))
+    parsed = once(df, _i=F.from_xml(own_names("xml"), ATOM_ENTRY))
     alternate = F.filter("_i.link", lambda k: k["_rel"] == "alternate")
     link = F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get("_i.link", F.lit(0))["_href"])
     raw = F.coalesce("_i.published", "_i.updated")

@@ -11,13 +11,24 @@ from newsloom import settings
 from newsloom.functions import markup, url
 from newsloom.operators.once import once
 
-_HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+_HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_NO_MARKUP = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#38;": "&", "&amp;": "&"}
 _FEED_LINK = r"""(?i)<link\b[^>]*>"""
 
 
+def _attribute_value(raw):
+    """An attribute as written, without its quotes and with the common character references decoded."""
+    value = F.regexp_replace(raw, r"""^["']|["']$""", "")
+    for name, character in _ENTITIES.items():
+        value = F.replace(value, F.lit(name), F.lit(character))
+    return value
+
+
 def page_links(pages: DataFrame, domain: str, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Every anchor of a page as an absolute URL with its position."""
-    hrefs = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_HREF), F.lit(1))
+    shown = F.regexp_replace(F.coalesce("html", F.lit("")), _NO_MARKUP, " ")
+    hrefs = F.transform(F.regexp_extract_all(shown, F.lit(_HREF), F.lit(1)), _attribute_value)
     rows = pages.select(*keep, F.col(domain).alias("domain"), F.posexplode(hrefs).alias("position", "href"))
     rows = rows.filter(F.trim("href") != "")
     return rows.withColumn("url", url.resolve_href("domain", "href"))

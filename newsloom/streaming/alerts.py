@@ -59,25 +59,21 @@ def sustained(evaluations: DataFrame, keys: list[str], key_types: str, step_s: i
 def breakers(extractions: DataFrame) -> DataFrame:
     """Breaker verdict per extraction (domain, seq, blind, failed), with counts kept per domain.
 
-    Rows of a domain must arrive in ``seq`` order across batches; inside a batch they are sorted.
+    Rows of a domain must arrive in ``seq`` order across batches. Inside a batch they come in any order and in any
+    number of Arrow frames; all of them are sorted together and judged by running sums.
     """
     output = "domain string, seq bigint, breaker string"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         blind, failed = state.get if state.exists else (0, 0)
-        out = []
-        for frame in frames:
-            for row in frame.sort_values("seq").itertuples(index=False):
-                verdict = None
-                if failed >= settings.FAILED_DOMAIN_THRESHOLD:
-                    verdict = "circuit_open_skip"
-                elif blind >= settings.BLIND_DOMAIN_THRESHOLD:
-                    verdict = "blind_circuit_skip"
-                out.append((key[0], row.seq, verdict))
-                blind, failed = blind + int(row.blind), failed + int(row.failed)
-        state.update((int(blind), int(failed)))
-        if out:
-            yield pd.DataFrame(out, columns=["domain", "seq", "breaker"])
+        rows = pd.concat(list(frames), ignore_index=True).sort_values("seq")
+        blinds, fails = blind + rows["blind"].astype("int64").cumsum(), failed + rows["failed"].astype("int64").cumsum()
+        verdict = pd.Series(None, index=rows.index, dtype=object)
+        verdict = verdict.mask(blinds.shift(fill_value=blind) >= settings.BLIND_DOMAIN_THRESHOLD, "blind_circuit_skip")
+        verdict = verdict.mask(fails.shift(fill_value=failed) >= settings.FAILED_DOMAIN_THRESHOLD, "circuit_open_skip")
+        if len(rows):
+            state.update((int(blinds.iloc[-1]), int(fails.iloc[-1])))
+            yield pd.DataFrame({"domain": key[0], "seq": rows["seq"], "breaker": verdict})
 
     return extractions.groupBy("domain").applyInPandasWithState(
         step, output, "blind bigint, failed bigint", "append", GroupStateTimeout.NoTimeout

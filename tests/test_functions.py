@@ -127,6 +127,10 @@ def test_title_functions(one):
     ("an hour ago", (2024, 1, 30, 23, 0, 0)),
     ("i går", (2024, 1, 30, 0, 0, 0)),
     ("1704067200", (2024, 1, 1, 0, 0, 0)),
+    ("Jan 2, 2024 3:04 PM", (2024, 1, 2, 15, 4, 0)),
+    ("2 January 2024 12:30 am", (2024, 1, 2, 0, 30, 0)),
+    ("31.01.2024 08.30 p.m.", (2024, 1, 31, 20, 30, 0)),
+    ("Tue, 02 Jan 2024 10:11:12 ZZT", None),
     ("32.13.2024", None), ("soon", None), ("", None), (None, None),
 ])
 def test_parse_date(one, raw, expected):

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import url
+from newsloom.operators import filters
+from newsloom.plans import ingest as plans_ingest
 from newsloom.schemas import MENTION, MENTION_KEYWORD
 from newsloom.session import shared_folder
 from newsloom.sinks import snapshots, tables
@@ -232,6 +234,56 @@ def test_stream_breaker(spark, folder):
     assert _rows(out.filter("breaker is not null"), "seq") == [(5,), (6,), (7,), (8,)]
 
 
+def test_breaker_over_many_files_of_one_domain(spark, folder):
+    """Rows of a domain over many files and Arrow frames, in no order: as if sorted first."""
+    rows = [("a", i, i % 4000 == 7, i % 9000 == 11) for i in range(60_000)]
+    schema = "domain string, seq bigint, blind boolean, failed boolean"
+    spark.createDataFrame(rows, schema).repartition(4, "blind", "failed", (F.col("seq") % 7)).write.parquet(f"{folder}/in")
+    out = _drain(spark, alerts.breakers(spark.readStream.schema(schema).parquet(f"{folder}/in")), folder)
+    blind = failed = wrong = 0
+    got = {r.seq: r.breaker for r in out.collect()}
+    for _, seq, is_blind, has_failed in rows:
+        want = "circuit_open_skip" if failed >= 5 else "blind_circuit_skip" if blind >= 8 else None
+        wrong += got[seq] != want
+        blind, failed = blind + is_blind, failed + has_failed
+    assert wrong == 0 and len(got) == len(rows)
+
+
+def test_items_with_other_namespaces(spark):
+    xml = """<item><title>Real</title><link>https://a.dk/1</link><atom:link href="https://a.dk/feed" rel="self"/>
+        <media:title>Photo</media:title><description><![CDATA[see <https://x.dk/y:z>]]></description></item>"""
+    found = feeds.rss_items(spark.createDataFrame([(xml,)], "xml string"), AS_OF).first()
+    assert (found.title, found.link, found.summary) == ("Real", "https://a.dk/1", "see <https://x.dk/y:z>")
+
+
+def test_no_keywords_and_no_cutoff_keep_everything(spark):
+    items = spark.createDataFrame([("t", "s", None), ("u", "", "x")], "title string, summary string, link string")
+    none = F.array().cast("array<string>")
+    assert [r[0] for r in items.select(filters.feed_item_matches("title", "summary", none)).collect()] == [True, True]
+    assert [r[0] for r in items.select(filters.sitemap_item_matches("title", "link", none)).collect()] == [True, True]
+    dated = items.withColumn("published_at", F.lit("2024-01-01").cast("timestamp"))
+    assert filters.lenient_since(dated, None).count() == filters.lenient_since(dated, F.lit(None).cast("timestamp")).count() == 2
+
+
+def test_upsert_takes_the_last_row_of_a_domain(spark):
+    schema = "domain string, title_selector string, seq bigint"
+    old = spark.createDataFrame([("a.dk", "h1", 0)], schema)
+    new = spark.createDataFrame([("a.dk", "h2", 1), ("https://www.a.dk/", "h3", 2)], schema)
+    assert [tuple(r)[:2] for r in tables.merge_source_configs(old, new).select("domain", "title_selector").collect()] == [("a.dk", "h3")]
+
+
+def test_mentions_of_new_platforms_are_stored(spark):
+    mentions = spark.createDataFrame(
+        [(i, i, 1, "vind og sol", "", f"https://a.dk/{i}", p) for i, p in enumerate(("Old", " New ", "", None))],
+        "mention_id bigint, seq bigint, brand_id bigint, title string, content_teaser string, link string, platform string",
+    ).withColumn("published_at", F.lit(None).cast("timestamp"))
+    words = spark.createDataFrame([(1, 5, 7, "vind")], "brand_id bigint, topic_id bigint, keyword_id bigint, keyword string")
+    platforms = spark.createDataFrame([(3, "Old")], "id bigint, name string")
+    rows, links, fresh = plans_ingest.rows_to_store(mentions, words, platforms, min_matches=1)
+    assert rows.count() == links.count() == 4
+    assert sorted(r.name for r in fresh.collect()) == ["New", "Unknown"]
+
+
 def test_fuzzy_horizon_against_stored_mentions(spark, folder):
     path = f"{folder}/mentions"
     old = _batch(spark, [(1, "en to tre fire fem havvind park", "https://a.dk/1", 1, 1)])
