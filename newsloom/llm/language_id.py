@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.llm.common import query, table
+from newsloom.llm.common import bounded_batches, query, table
 from newsloom.operators.ordered import top_per_key
 
 LENGTHS = (2, 3, 4)
@@ -35,7 +35,7 @@ HELD_BACK = 4
 #: Share of well-known calibration texts that may fall under the rejection score.
 LOST = 0.001
 #: No text that scores this much is rejected.
-SURE = 0.5
+SURE = 0.35
 UNKNOWN = "und"
 #: Bound of every weight.
 LARGEST = 10.0
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     Only labelled rows with an id and a text, outside ``held_out``, are used. Tasks turn the texts into bucket counts, so the
     driver gets at most ``BUCKETS`` numbers a row.
     """
-    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    known = bounded_batches(docs).select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = known.groupBy("lang").count().collect()
     if not counts:
         return train([])
@@ -158,17 +158,17 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     bound = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(2**30 * min(1.0, 1.5 * per_language / r["count"])) + 1))])
     drawn = top_per_key(known.withColumn("number", number).filter(F.col("number") < bound[F.col("lang")]), ["lang"], ["number", "doc_id", "text"], per_language)
 
-    @F.arrow_udf("array<struct<at: array<int>, counts: array<int>>>")
+    @F.arrow_udf("array<struct<at: binary, counts: binary>>")
     def bags(texts: pa.Array) -> pa.Array:
         rows = []
         for text in texts.to_pylist():
             middle = len(text) // 2
             pairs = [np.unique(subwords(t), return_counts=True) for t in (text, text[max(0, middle - PIECE // 2) : middle + PIECE // 2])]
-            rows.append([{"at": at.astype(np.int32), "counts": counts.astype(np.int32)} for at, counts in pairs])
-        return pa.array(rows, pa.list_(pa.struct({"at": pa.list_(pa.int32()), "counts": pa.list_(pa.int32())})))
+            rows.append([{"at": at.astype(np.int32).tobytes(), "counts": counts.astype(np.int32).tobytes()} for at, counts in pairs])
+        return pa.array(rows, pa.list_(pa.struct({"at": pa.binary(), "counts": pa.binary()})))
 
     bagged = drawn.withColumn("bags", bags("text")).orderBy("number", "doc_id", "lang").select("lang", "bags").collect()
-    return train([(r["lang"], np.array(b["at"], np.int64), np.array(b["counts"], float)) for r in bagged for b in r["bags"]])
+    return train([(r["lang"], np.frombuffer(b["at"], np.int32), np.frombuffer(b["counts"], np.int32)) for r in bagged for b in r["bags"]])
 
 
 def predicted(text: Column, model: Model) -> Column:
