@@ -11,14 +11,18 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: A space followed by white space or the end: only then a space may be no place to cut.
 _LOOSE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
 #: Marks that never share a piece with a Latin letter before them.
 _MARKS = ".,!?;:*#$%&|()[]{}"
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
-#: Characters of text handled at a time.
-STEP_CHARS = 1 << 21
+#: Bytes of text handled at a time.
+STEP_BYTES = 1 << 21
 
 
 class RunCoder:
@@ -45,17 +49,19 @@ class RunCoder:
         needed = set().union(*tails)
         if len(self.spaced) > self.most:
             self.spaced, self.older = {}, self.spaced
-        missing = needed - self.spaced.keys()
-        again = missing & self.older.keys()
-        self.spaced.update({a: self.older[a] for a in again})
+        # Only what is needed is walked through here, never what is remembered.
+        missing = needed.difference(self.spaced)
+        again = {run for run in missing if run in self.older}
+        self.spaced.update({run: self.older[run] for run in again})
         missing -= again
         # A word and the marks behind it are coded apart, as words recur with other marks.
         ends = {}
         for run in missing:
-            body = run.rstrip(_MARKS)
-            if body and len(body) < len(run) and _LATIN.match(body[-1]):
-                ends[run] = body
-        bodies = ((missing - ends.keys()) | set(ends.values())) - self.spaced.keys()
+            if run and run[-1] in _MARKS:
+                body = run.rstrip(_MARKS)
+                if body and _LATIN.match(body[-1]):
+                    ends[run] = body
+        bodies = missing.difference(ends).union(ends.values()).difference(self.spaced)
         marks = {run[len(body) :] for run, body in ends.items()}
         asked = [heads, [" " + b for b in bodies], list(marks)]
         coded = self.encode_runs([run for part in asked for run in part])
@@ -66,13 +72,12 @@ class RunCoder:
         return [head + b"".join(map(get, tail)) for head, tail in zip(coded, tails)]
 
 
-def steps(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``STEP_CHARS`` characters; a longer text is a range of its own."""
-    start = size = 0
-    for at, text in enumerate(texts):
-        if size and size + len(text) > STEP_CHARS:
-            yield start, at
-            start, size = at, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+def steps(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of ranges of rows of about ``STEP_BYTES``; null is empty, a longer text is a range of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + STEP_BYTES, "right")))
+        yield start, [t or "" for t in texts.slice(start, end - start).to_pylist()]
+        start = end
