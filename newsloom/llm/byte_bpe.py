@@ -24,12 +24,14 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.common import query, table
+from newsloom.llm.common import bounded_batches, query, table
 from newsloom.llm.units import RunCoder, steps
 
 NONE = np.int64(1) << 62
 #: Byte positions of one numpy step.
 POSITIONS = 1 << 19
+#: Runs a worker remembers in each of its two generations.
+REMEMBERED = 60_000
 #: Bytes of the longest piece that shares a numpy step.
 SHORT = 128
 
@@ -195,7 +197,7 @@ def coder(path: str, pattern: str) -> tuple[ByteBpe, RunCoder]:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     bpe = ByteBpe(ranks, pattern)
-    return bpe, RunCoder(bpe.encode_runs)
+    return bpe, RunCoder(bpe.encode_runs, REMEMBERED)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, keep_ids: bool = True) -> DataFrame:
@@ -209,11 +211,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, runs = coder(path, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for start, end in steps(texts):
-                ids = runs.encode(texts[start:end])
+            for start, texts in steps(batch.column(1)):
+                ids = runs.encode(texts)
                 columns = {
-                    "doc_id": batch.column(0).slice(start, end - start),
+                    "doc_id": batch.column(0).slice(start, len(texts)),
                     "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
                     "ids": pa.array(ids, pa.binary()),
                     "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
@@ -224,7 +225,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
                 yield pa.RecordBatch.from_pydict(columns)
 
     ids = "ids binary, " if keep_ids else ""
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, n_tokens bigint, {ids}ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id bigint, n_tokens bigint, {ids}ids_sha256 string, decoded_sha256 string")
 
 
 @query("op7_byte_bpe")

@@ -36,3 +36,9 @@ def unused_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in taken:
         wish = f"_{wish}"
     return wish
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches held to 4 MB in its session: what a Python worker holds must not grow with the rows' size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from newsloom.llm.common import query, table
+from newsloom.llm.common import bounded_batches, query, table
 from newsloom.llm.components import components
 from newsloom.session import cut_lineage
 
@@ -270,7 +270,7 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, block_bytes: int =
     one each in others' n_links; with different vectors their own links add up. An empty table gives no rows.
     """
     eps = float(np.sqrt(2 - 2 * least))
-    rows = vectors.select("vec_id", "embedding", "label")
+    rows = bounded_batches(vectors).select("vec_id", "embedding", "label")
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding"))
     points = cut_lineage(rows.filter(fit).groupBy("label", "embedding").agg(F.min("vec_id").alias("a"), F.count("*").alias("copies")))
     axes = principal_axes(points)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.llm.common import query, table
+from newsloom.llm.common import bounded_batches, query, table
 from newsloom.session import cut_lineage
 
 #: Bytes hashed at a time. A chunk's products add up to less than 2**53, so the sums in doubles are exact.
@@ -98,7 +98,7 @@ def exact_dedup(docs: DataFrame, moduli=MODULI, compared_bytes: int = COMPARED_B
     only if all ids of its group are null. Rows that repeat a doc_id within a group count one each in
     group_size and are kept or dropped together. An empty table gives no rows.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     prints = cut_lineage(
         texts.select("doc_id", F.sha2("text", 256).alias("text_sha256"), fingerprint(F.col("text"), moduli).alias("print"))
         .select("doc_id", "text_sha256", "print.*")

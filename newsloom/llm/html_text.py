@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.llm.common import query, table
+from newsloom.llm.common import bounded_batches, query, table
 
 #: Frequent function words by language.
 STOP_WORDS = {
@@ -217,7 +217,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Null or empty html gives an empty text. Broken markup is read as far as it goes: an unclosed element lasts to the end of
     the one around it, an unclosed comment or script to the end of the page. Repeated rows give equal rows.
     """
-    return pages.select("page_id", "url", extracted(F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return bounded_batches(pages).select("page_id", "url", extracted(F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 @query("op3_html_text")

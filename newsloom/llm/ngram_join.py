@@ -23,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from newsloom.llm.common import query, table
+from newsloom.llm.common import bounded_batches, query, table
 from newsloom.llm.components import components
 from newsloom.operators.ordered import running_totals
 from newsloom.session import cut_lineage
 
 SHINGLE_WORDS = 5
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 
 _random = np.random.default_rng(20241)
 _BYTE = _random.integers(0, 2**64, 256, np.uint64)
@@ -342,7 +342,7 @@ def jaccard_components(docs: DataFrame, block_shingles: int = BLOCK_SHINGLES) ->
     is no document: it gets its size and a null component. Rows that repeat a doc_id are texts of one document, so they
     connect what they link with. Shingles are compared by 64-bit hashes. An empty table gives no rows.
     """
-    prints = cut_lineage(docs.select("doc_id", "text").mapInArrow(_prints, PRINTS))
+    prints = cut_lineage(bounded_batches(docs).select("doc_id", "text").mapInArrow(_prints, PRINTS))
     named = prints.filter("doc_id IS NOT NULL")
     links = cut_lineage(jaccard_links(docs.filter("doc_id IS NOT NULL"), named, block_shingles))
     # Sets are nodes; a doc_id with several sets ties them together.

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from newsloom.llm.common import query, table
+from newsloom.llm.common import bounded_batches, query, table
 from newsloom.llm.units import RunCoder, steps
 from newsloom.session import shared_folder
 
@@ -133,9 +133,9 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> None:
             return pa.RecordBatch.from_arrays(columns, ["sequence", "n_ids", "shard"])
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in steps(texts):
-                for doc_id, ids in zip(doc_ids[a:b], runs.encode(texts[a:b])):
+            for start, texts in steps(batch.column(1)):
+                doc_ids = batch.column(0).slice(start, len(texts)).to_pylist()
+                for doc_id, ids in zip(doc_ids, runs.encode(texts)):
                     ids = np.concatenate([np.frombuffer(ids, "<u4"), end])
                     if names and count + len(ids) > SHARD_IDS:
                         yield shard()
@@ -146,7 +146,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> None:
         if names:
             yield shard()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = bounded_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SHARDS).write.parquet(folder)
 
 
