@@ -24,7 +24,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.common import bounded_batches, query, table
+from newsloom.llm.common import bounded_batches, query, release, table
 from newsloom.llm.units import RunCoder, steps
 
 NONE = np.int64(1) << 62
@@ -223,6 +223,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
                 if not keep_ids:
                     del columns["ids"]
                 yield pa.RecordBatch.from_pydict(columns)
+        runs.forget()
+        release()
 
     ids = "ids binary, " if keep_ids else ""
     return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id bigint, n_tokens bigint, {ids}ids_sha256 string, decoded_sha256 string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from textwrap import dedent
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.sources.tables import read_table
@@ -42,3 +43,8 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, with Arrow batches held to 4 MB in its session: what a Python worker holds must not grow with the rows' size."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return df
+
+
+def release() -> None:
+    """Gives back what Arrow keeps for later; Python workers outlive their tasks and stages."""
+    pa.default_memory_pool().release_unused()

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.llm.common import bounded_batches, query, table
+from newsloom.llm.common import bounded_batches, query, release, table
 from newsloom.session import cut_lineage
 
 #: Bytes hashed at a time. A chunk's products add up to less than 2**53, so the sums in doubles are exact.
@@ -68,6 +68,7 @@ def fingerprint(text: Column, moduli=MODULI) -> Column:
             data = value.as_buffer()
             rows.append(fingerprint_of(np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), powers, moduli))
         columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+        release()
         return pa.StructArray.from_arrays(columns, ["size", "first", "second"])
 
     return prints(text)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from newsloom.llm.common import bounded_batches, query, table
+from newsloom.llm.common import bounded_batches, query, release, table
 from newsloom.llm.components import components
 from newsloom.operators.ordered import running_totals
 from newsloom.session import cut_lineage
@@ -124,6 +124,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [_print(s) for s in sets]
         columns = [[len(s) for s in sets], [a for a, _ in names], [b for _, b in names]]
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n", "a", "b"])
+    release()
 
 
 def _first_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +154,7 @@ def _first_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         shared, hits = np.unique(own[np.repeat(several, lengths)], return_counts=True)
         columns = [np.concatenate([flat[starts], shared]), np.concatenate([own[starts], shared]), np.concatenate([-several.astype(np.int64), hits])]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["slot", "a", "hits"])
+    release()
 
 
 def survivors(docs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -195,6 +197,7 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t.as_py()) for t in batch.column(0)]
         columns = [pa.array([_print(s)[0] for s in sets], pa.int64()), batch.column(1), pa.array(sets, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, ["made", "a", "keys"])
+    release()
 
 
 def alive(sets: DataFrame) -> DataFrame:

@@ -34,6 +34,9 @@ class RunCoder:
         self.spaced: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.spaced, self.older = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         heads, tails = [], []
         for text in texts:
