@@ -159,7 +159,7 @@ def last_row_per_key(spark, folder):
 
 @query("near_dedup")
 def near_dedup(spark, folder):
-    kept = dedup.near_dedup(Roles(spark, folder).raw, ["brand_id"])
+    kept = dedup.near_dedup(Roles(spark, folder).whole, ["brand_id"])
     return kept.select("mention_id", "title", "platform")
 
 
@@ -168,11 +168,11 @@ def historical_anti_join(spark, folder):
     """New mentions against stored ones: documents of even ids are the history of the odd ones,
     together with the benchmark passages."""
     r = Roles(spark, folder)
-    new = r.raw.filter("mention_id % 2 = 1")
-    old = r.raw.filter("mention_id % 2 = 0").withColumn("created_at", F.lit("2024-01-30").cast("timestamp"))
+    new = r.whole.filter("mention_id % 2 = 1")
+    old = r.whole.filter("mention_id % 2 = 0").withColumn("created_at", F.lit("2024-01-30").cast("timestamp"))
     passages = r.table("benchmark").selectExpr(
-        "item_id as mention_id", "1000000000 + item_id as seq", "cast(1 as bigint) as brand_id", "left(split_part(text, '\n', 1), 120) as title",
-        "left(text, 500) as content_teaser", "'https://news.google.com/' || item_id as link", "'Unknown' as platform",
+        "item_id as mention_id", "1000000000 + item_id as seq", "cast(1 as bigint) as brand_id", "split_part(text, '\n', 1) as title",
+        "text as content_teaser", "'https://news.google.com/' || item_id as link", "'Unknown' as platform",
         "cast(null as timestamp) as published_at", "'en' as lang", "timestamp'2024-01-30 12:00:00' as created_at",
     )
     history = dedup.recent_history(old.unionByName(passages), AS_OF, ["brand_id"], limit=None)
@@ -264,7 +264,7 @@ def snapshot_summary(spark, folder):
 
 def _stages(spark, folder):
     r = Roles(spark, folder)
-    raw = r.raw.withColumn("published_raw", F.date_format("published_at", "yyyy-MM-dd"))
+    raw = r.whole.withColumn("published_raw", F.date_format("published_at", "yyyy-MM-dd"))
     verdicts = r.table("labels", "doc_id", "quality").select(F.col("doc_id").alias("mention_id"), (F.col("quality") == 1).alias("relevant"))
     allowed = F.array(F.lit("en"), F.lit("da"))
     cutoff = F.lit("2024-01-28").cast("timestamp")
