@@ -27,7 +27,7 @@ STOP_WORDS = {
 _STOP = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
 #: Elements whose content is never text of the page.
-UNSEEN = "script style noscript template iframe svg math object canvas video audio textarea select title head".split()
+UNSEEN = "script style noscript template iframe svg math object canvas video audio textarea select title".split()
 #: Elements around text that is no article.
 OUTSIDE = frozenset("nav footer aside form button dialog menu fieldset legend label datalist".split())
 #: Words in a class or id that name such places.
@@ -59,6 +59,7 @@ LINK_DENSITY = 0.5
 _INSIDE = r"""(?:[^<>"']++|"[^"]{0,1000}+"|'[^']{0,1000}+'){0,100}+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>"
+    rf"|<(?:svg|math)\b{_INSIDE}(?<=/)>"  # empty: closed by itself
     rf"|<(?P<unseen>{'|'.join(UNSEEN)})\b{_INSIDE}>(?:.*?</(?P=unseen)\s*+>|.*\Z)"
     rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*+)(?P<attrs>{_INSIDE})>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/<>]*+)(?P<attrs2>[^<>]*+)>",

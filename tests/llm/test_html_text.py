@@ -24,6 +24,20 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>x</title><body><article><p>{PROSE}</p></article>",
+        f"<html><head><title>x</title><script>y</script><meta name=a content=b><p>{PROSE}",
+        f"<html><head><title>x</title></head><body><p>{PROSE}</p></body></html>",
+        f"<p><svg class='icon' viewBox=\"0 0 1 1\"/>{PROSE}</p>",
+        f"<p><svg><path d=x /></svg>{PROSE}<math/></p>",
+    ],
+)
+def test_open_heads_and_empty_pictures_swallow_nothing(page):
+    assert main_text(page) == PROSE.strip()
+
+
 def test_hostile_markup_is_read_once():
     start = time.time()
     for page in ("<p " * 50_000, '<a "' * 50_000, "<div>" * 5_000, "<!--" * 50_000, "<script>" * 50_000, "<" * 100_000):
