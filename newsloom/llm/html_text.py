@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -55,16 +56,17 @@ LONG_CHARS = 200
 STOP_LOW, STOP_HIGH = 0.2, 0.3
 LINK_DENSITY = 0.5
 
-#: What may stand in a tag; the bounds only keep a tag that never ends from being read over and over.
-_INSIDE = r"""(?:[^<>"']++|"[^"]{0,1000}+"|'[^']{0,1000}+'){0,100}+"""
+#: A comment, a declaration, or a tag; of a tag with attribute values only its name.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>"
-    rf"|<(?:svg|math)\b{_INSIDE}(?<=/)>"  # empty: closed by itself
-    rf"|<(?P<unseen>{'|'.join(UNSEEN)})\b{_INSIDE}>(?:.*?</(?P=unseen)\s*+>|.*\Z)"
-    rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*+)(?P<attrs>{_INSIDE})>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/<>]*+)(?P<attrs2>[^<>]*+)>",
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*+)(?:(?P<attrs>[^<>=]*+)>)?",
     re.S | re.I,
 )
+#: What matters behind a tag's name: its end, or a value. Quotes count only where a value begins.
+_PART = re.compile(r"""[<>]|=\s*+(?:(?P<quote>["'])|[^\s<>"'][^\s<>]*+)""")
+_PLAIN = re.compile(r"[^<>]*+>")
+#: The rest of an element without text, its end tag included.
+_REST = {tag: re.compile(rf".*?(?:</{tag}(?=[\s/>])[^>]*+(?:>|\Z)|\Z)", re.S | re.I) for tag in UNSEEN}
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
@@ -84,6 +86,48 @@ class Block:
     label: str = ""
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> tuple[int, bool]:
+    """Where a tag ends whose name ends at ``at``, and whether a slash before that belongs to a value; -1 if it is no tag.
+
+    ``dead`` remembers the values of the page from which no end is reached, so that none is read twice in vain. A tag
+    that does not end when its quotes are heeded is read without them.
+    """
+    start, seen, value = at, [], -1
+    while part := _PART.search(page, at):
+        if quote := part["quote"]:
+            at = part.end()
+            seen.append(at)
+            if at in dead or (at := page.find(quote, at) + 1) == 0:
+                break
+        elif part[0] == ">":
+            return part.end(), value == part.start()
+        elif part[0] == "<":
+            break
+        else:
+            at = value = part.end()
+    dead.update(seen)
+    plain = _PLAIN.match(page, start)
+    return (plain.end() if plain else -1), False
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, is an end tag, attributes); the tag is empty for a comment, a declaration and an unseen element."""
+    at, dead = 0, set()
+    while token := _TOKEN.search(page, at):
+        at = token.end()
+        tag, ends, attrs, value = (token["tag"] or "").lower(), bool(token["end"]), token["attrs"], False
+        if tag and attrs is None:
+            end, value = _tag_end(page, at, dead)
+            if end < 0:
+                continue
+            attrs, at = page[at : end - 1], end
+        if tag in _REST and not ends:
+            empty = tag in ("svg", "math") and attrs.endswith("/") and not value
+            at = at if empty else _REST[tag].match(page, at).end()
+            tag = ""
+        yield token.start(), at, tag, ends, attrs or ""
+
+
 def _place(tag: str, attrs: str, above: Place) -> Place:
     named = {k.lower(): html.unescape(v.strip("\"'")).lower() for k, v in _ATTRIBUTE.findall(attrs)} if attrs.strip() else {}
     names = f"{named.get('class', '')} {named.get('id', '')}"
@@ -115,19 +159,16 @@ def blocks_of(page: str) -> list[Block]:
         links -= sum(p.tag == "a" for p in stack[to:])
         del stack[to:]
 
-    for token in _TOKEN.finditer(page):
-        if token.start() > last:
-            parts.append((page[last : token.start()], links > 0))
-        last = token.end()
-        if token["unseen"]:
-            continue
-        tag = (token["tag"] or token["tag2"] or "").lower()
+    for start, end, tag, ends, attrs in _tokens(page):
+        if start > last:
+            parts.append((page[last:start], links > 0))
+        last = end
         if not tag:
             continue
         block = tag in BLOCKS
         if block:
             close()
-        if token["end"] or token["end2"]:
+        if ends:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if at:
                 if any(p.outside != stack[at - 1].outside for p in stack[at:]):
@@ -140,7 +181,7 @@ def blocks_of(page: str) -> list[Block]:
                 pop(at)
         if tag in VOID:
             continue
-        place = _place(tag, token["attrs"] or token["attrs2"] or "", stack[-1])
+        place = _place(tag, attrs, stack[-1])
         if place.outside != stack[-1].outside:
             close()
         stack.append(place)
