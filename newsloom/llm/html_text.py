@@ -197,32 +197,51 @@ def _density(text: str) -> float:
     return sum(w in _STOP for w in words) / len(words) if words else 0.0
 
 
-def judge(blocks: list[Block]) -> None:
-    """First pass: good, bad, or undecided ("short", "near")."""
-    strongest = max((b.inside for b in blocks if not b.outside), default=0)
+def _article_level(blocks: list[Block]) -> int:
+    """The level of the page's article: the highest that holds half the text which its own words show to be good, or 0.
+
+    Where no block is good by itself, those count that are near it; where there are none either, nothing speaks against
+    the highest level.
+    """
+    shown = [b for b in blocks if b.label == "good"] or [b for b in blocks if b.label == "near"]
+    every = sum(len(b.text) for b in shown)
+    for level in sorted({b.inside for b in blocks if not b.outside} - {0}, reverse=True):
+        if 2 * sum(len(b.text) for b in shown if b.inside >= level) >= every:
+            return level
+    return 0
+
+
+def judge(blocks: list[Block]) -> int:
+    """First pass: good, bad, or undecided ("short", "near"). Gives the level of the article that the labels follow.
+
+    Links, length and words are judged everywhere. Only then the article counts: blocks outside it are bad, and
+    few stop words leave a block of it undecided.
+    """
     for b in blocks:
         size = len(b.text)
-        if b.outside or b.inside < strongest or b.linked > LINK_DENSITY * size:
+        if b.outside or b.linked > LINK_DENSITY * size:
             b.label = "bad"
         elif size < SHORT_CHARS:
             b.label = "short"
         else:
             density = _density(b.text)
-            if density >= STOP_HIGH and size > LONG_CHARS:
-                b.label = "good"
-            elif density >= STOP_LOW or strongest:
-                b.label = "near"
-            else:
-                b.label = "bad"
+            b.label = "good" if density >= STOP_HIGH and size > LONG_CHARS else "near" if density >= STOP_LOW else "few"
+    level = _article_level(blocks)
+    for b in blocks:
+        if b.inside < level:
+            b.label = "bad"
+        elif b.label == "few":
+            b.label = "near" if level else "bad"
+    return level
 
 
-def settle(blocks: list[Block]) -> None:
+def settle(blocks: list[Block], level: int) -> None:
     """Second pass: undecided blocks take the label of the nearest decided neighbour.
 
     Inside an article only good neighbours in it count. Elsewhere the edges of the page count as bad, and of two at one distance
     the one before decides. Where nothing is decided, nothing speaks against the undecided.
     """
-    article = any(b.inside and b.label != "bad" for b in blocks)
+    article = level > 0 and any(b.label != "bad" for b in blocks)
     decided = [(i, b.label) for i, b in enumerate(blocks) if b.label == "good" or (b.label == "bad" and not article)]
     if decided and not article:
         decided = [(-1, "bad"), *decided, (len(blocks), "bad")]
@@ -240,8 +259,7 @@ def settle(blocks: list[Block]) -> None:
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    judge(blocks)
-    settle(blocks)
+    settle(blocks, judge(blocks))
     return " ".join(b.text for b in blocks if b.label == "good")
 
 

@@ -56,6 +56,27 @@ def test_tags_of_any_length(page):
     assert main_text(page) == PROSE.strip()
 
 
+BODY = f"<div><p>{PROSE}</p><p>{PROSE}</p></div>"
+WEAK = "The cat sat on the mat and it was the best of the days for all of them in a week. "
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"{BODY}<article><p>Teaser of another story.</p></article>", f"{PROSE}{PROSE}Teaser of another story."),  # short: as its neighbour
+        (f"{BODY}<article><h2>Other</h2><p>{WEAK}</p></article>", f"{PROSE}{PROSE}Other"),
+        (f"{BODY}<article><p><a href=x>Teaser of another story.</a></p></article>", f"{PROSE}{PROSE.strip()}"),
+        (f"{BODY}<nav>Home</nav><aside>x</aside><div class=post><a href=x>Teaser</a></div>", f"{PROSE}{PROSE.strip()}"),
+        (f"<div class=content>{BODY}</div><article><a href=x>Teaser</a></article><nav>n</nav><p>Short.</p>", f"{PROSE}{PROSE.strip()}"),
+        (f"<p>{WEAK}</p><p>{WEAK}</p><article>Teaser</article>", f"{WEAK}{WEAK}Teaser"),
+        (f"<p>{PROSE}</p><article>{BODY}</article>", f"{PROSE}{PROSE.strip()}"),
+        ("<p>Lead</p><article><p>Short text.</p></article>", "Short text."),
+    ],
+)
+def test_an_article_is_a_prior(page, text):
+    assert main_text(page) == text
+
+
 def test_hostile_values_are_read_once():
     start = time.time()
     for piece in ('<a b="', "<a b='\"<a b=\"'", "<a b=\"'<a c='\" ", "<a =x='\"<b ='", "<svg a='>", "</script <script x", "<a b= ", "<a b='' ", "=<a "):
