@@ -328,7 +328,8 @@ def jaccard_links(docs: DataFrame, prints: DataFrame, block_shingles: int = BLOC
     texts = _texts_of(docs, kept).join(kept, "doc_id").select("text", "a", "n")
     sets = cut_lineage(
         texts.select("text", "a").mapInArrow(_whole_sets, "made bigint, a bigint, keys array<bigint>")
-        .filter("made = a").select("a", F.size("keys").cast("bigint").alias("n"), "keys")
+        .filter("made = a").dropDuplicates(["a"])  # a repeated row is one set
+        .select("a", F.size("keys").cast("bigint").alias("n"), "keys")
     )
     found = cut_lineage(alive(sets))
     rows = searches(found, clustered(found), block_shingles)

@@ -66,6 +66,13 @@ def test_against_all_pairs(spark, block):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got.collect()) == brute(rows)
 
 
+def test_repeated_rows_count_once(spark):
+    rows = corpus(5, [(2, 1), (8, 6), (3, 9)])
+    rows = rows * 2 + [(d, t.upper()) for d, t in rows[:20]]
+    df = spark.createDataFrame([(*r, 1, "", "") for r in rows], SCHEMA).repartition(5)
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in N.jaccard_components(df).collect()) == brute(rows)
+
+
 def test_empty(spark):
     assert N.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
