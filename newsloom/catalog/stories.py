@@ -165,11 +165,12 @@ def near_dedup(spark, folder):
 
 @query("historical_anti_join")
 def historical_anti_join(spark, folder):
-    """New mentions against stored ones: documents of even ids are the history of the odd ones,
+    """New mentions against stored ones: documents published before 29 January are the history of all others,
     together with the benchmark passages."""
     r = Roles(spark, folder)
-    new = r.whole.filter("mention_id % 2 = 1")
-    old = r.whole.filter("mention_id % 2 = 0").withColumn("created_at", F.lit("2024-01-30").cast("timestamp"))
+    stored = F.coalesce(F.col("published_at") < F.lit("2024-01-29").cast("timestamp"), F.lit(False))
+    new = r.whole.filter(~stored)
+    old = r.whole.filter(stored).withColumn("created_at", F.lit("2024-01-30").cast("timestamp"))
     passages = r.table("benchmark").selectExpr(
         "item_id as mention_id", "1000000000 + item_id as seq", "cast(1 as bigint) as brand_id", "split_part(text, '\n', 1) as title",
         "text as content_teaser", "'https://news.google.com/' || item_id as link", "'Unknown' as platform",
