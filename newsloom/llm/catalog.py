@@ -1,6 +1,9 @@
 """Registered queries of this package and their SQL twins."""
 
-from newsloom.llm import byte_bpe, chat_format, common, epsilon_join, exact_dedup, html_text, language_id, line_dedup, mixing, ngram_join, token_output  # noqa: F401
+from newsloom.llm import (  # noqa: F401
+    byte_bpe, chat_format, common, epsilon_join, exact_dedup, html_text, language_id, line_dedup, line_quality, mixing, ngram_join,
+    token_output,
+)
 
 
 def queries():
