@@ -1,7 +1,7 @@
 """Registered queries of this package and their SQL twins."""
 
 from newsloom.llm import (  # noqa: F401
-    byte_bpe, chat_format, common, epsilon_join, exact_dedup, html_text, language_id, line_dedup, line_quality, mixing, ngram_join,
+    byte_bpe, chat_format, common, epsilon_join, exact_dedup, hard_negatives, html_text, language_id, line_dedup, line_quality, mixing, ngram_join,
     token_output,
 )
 

@@ -117,7 +117,7 @@ def test_held_out_quality(spark):
     folder = "/root/testdata/sf0.01"
     truth = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{folder}/labels.parquet'").fetchall())
     rows = catalog.queries()["op11_line_quality"](spark, folder).collect()
-    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{folder}/documents.parquet'").fetchone()[0]
+    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{folder}/documents.parquet'").fetchall()[0][0]
     held = [r for r in rows if r.held_out and r.doc_id in truth]
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
     assert all(r.predicted == (r.score >= 0.3) for r in rows)
