@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.llm.common import bounded_batches, query, table
+from newsloom.llm.common import bounded_batches, finite, query, table
 from newsloom.operators.ordered import top_per_key
 from newsloom.session import cut_lineage
 
@@ -92,12 +92,6 @@ class Heaps:
         self.merge(rows, best, named, filled)
 
 
-def finite(vector: Column) -> Column:
-    """Not null, every component a finite number."""
-    inside = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(vector.isNotNull() & inside, F.lit(False))
-
-
 def prepared(vectors: DataFrame, scale: float) -> DataFrame:
     """key, vec_id, label, size and x (whole numbers) of the rows that take part. A key names a row."""
     # An entry beyond long becomes the nearest long.
