@@ -7,6 +7,7 @@ shared tokens followed by either remainder.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -87,58 +88,117 @@ def is_duplicate(a: Peer, b: Peer, threshold: float, window_us: int) -> bool:
     return a.text == b.text or score_tokens(a.tokens, b.tokens, threshold) >= threshold
 
 
-_FEW = 8
 _PAIR_SLOTS = 512
+#: Pairs of texts that are scored without looking at their letters first.
+_FEW = 64
+#: Numbers held at a time while letters are compared.
+_STEP = 1 << 21
 
 
-class PeerSet:
-    """Kept rows of one block, asked whether a new row resembles any of them.
+class Tile:
+    """Peers with their ``seq``, as arrays that rule out most pairs of two tiles before any is scored.
 
-    Before pairs are scored, vector operations rule out those that cannot reach the threshold:
-
-    * one insertion or deletion changes the letter counts by one and the counts of adjacent
-      letter pairs by at most three, so both count differences bound the Indel distance;
-    * when one side nearly lies inside the other, its tokens outside the shared ones are short,
-      so only few of its letter pairs are missing on the other side.
+    * One insertion or deletion changes the letter counts by one and the counts of adjacent letter pairs by
+      at most three, so both count differences bound the Indel distance.
+    * When one side nearly lies inside the other, its tokens outside the shared ones are short, so only few of its
+      letters and letter pairs are missing on the other side.
 
     Letter pairs are counted in hashed slots; collisions only make the bounds looser.
     """
 
-    def __init__(self, threshold: float, window_us: int):
-        self.threshold, self.window_us = threshold, window_us
-        self.peers: list[Peer] = []
-        self._letters = np.zeros((_FEW, 128), np.int16)
-        self._pairs = np.zeros((_FEW, _PAIR_SLOTS), np.int16)
-        self._lengths = np.zeros(_FEW, np.int32)
-
-    @staticmethod
-    def _profile(peer: Peer) -> tuple[np.ndarray, np.ndarray, int]:
-        """Letter counts, letter-pair counts and length of the token set joined by spaces."""
-        joined = f" {' '.join(peer.tokens)} ".encode("ascii", "replace")
-        codes = np.frombuffer(joined, np.uint8).astype(np.int64)
-        slots = (codes[:-1] * 31 + codes[1:]) & (_PAIR_SLOTS - 1)
-        count = lambda values, size: np.bincount(values, minlength=size).astype(np.int16)
-        return count(codes[1:-1], 128), count(slots, _PAIR_SLOTS), len(joined) - 2
-
-    def add(self, peer: Peer) -> None:
-        n = len(self.peers)
-        if n == len(self._lengths):
-            double = lambda a: np.concatenate([a, np.zeros_like(a)])
-            self._letters, self._pairs, self._lengths = map(double, (self._letters, self._pairs, self._lengths))
-        self._letters[n], self._pairs[n], self._lengths[n] = self._profile(peer)
-        self.peers.append(peer)
-
-    def resembles(self, peer: Peer) -> bool:
-        test = lambda other: is_duplicate(peer, other, self.threshold, self.window_us)
-        n = len(self.peers)
-        if n <= _FEW:
-            return any(map(test, self.peers))
-        letters, pairs, mine = self._profile(peer)
-        theirs = self._lengths[:n]
-        common_letters = np.minimum(self._letters[:n], letters).sum(axis=1, dtype=np.int32)
-        common_pairs = np.minimum(self._pairs[:n], pairs).sum(axis=1, dtype=np.int32)
-        slack = (1 - self.threshold / 100.0) + 1e-9
-        edits = slack * (mine + theirs)
-        near = (mine + theirs - 2 * common_letters <= edits) & (mine + theirs + 2 - 2 * common_pairs <= 3 * edits)
-        inside = (mine + 1 - common_pairs <= 2 * slack * mine + 1) | (theirs + 1 - common_pairs <= 2 * slack * theirs + 1)
-        return any(test(self.peers[i]) for i in np.flatnonzero(near | inside))
+    def __init__(self, peers: list[Peer], seqs: list[int]):
+        order = sorted(range(len(seqs)), key=seqs.__getitem__)
+        self.peers, self.seqs = [peers[i] for i in order], np.array([seqs[i] for i in order], np.int64)
+        self._counts = None
+
+    def __len__(self) -> int:
+        return len(self.peers)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Letter counts, letter-pair counts and length of each token set joined by spaces."""
+        if self._counts is None:
+            letters, pairs, lengths = np.zeros((len(self), 128), np.int32), np.zeros((len(self), _PAIR_SLOTS), np.int32), np.zeros(len(self), np.int32)
+            for i, peer in enumerate(self.peers):
+                codes = np.frombuffer(f" {' '.join(peer.tokens)} ".encode("ascii", "replace"), np.uint8).astype(np.int64)
+                letters[i] = np.bincount(codes[1:-1], minlength=128)
+                pairs[i] = np.bincount((codes[:-1] * 31 + codes[1:]) & (_PAIR_SLOTS - 1), minlength=_PAIR_SLOTS)
+                lengths[i] = len(codes) - 2
+            self._counts = letters, pairs, lengths
+        return self._counts
+
+    def dates(self) -> tuple[np.ndarray, np.ndarray]:
+        at = [p.at for p in self.peers]
+        return np.array([a is not None for a in at]), np.array([a or 0 for a in at], np.int64)
+
+
+def _possible(a: Tile, b: Tile, threshold: float, window_us: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in a, in b) of the pairs that may reach the threshold, a few rows of ``a`` at a time."""
+    if len(a) * len(b) <= _FEW:
+        yield np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+        return
+    (letters, pairs, lengths), (letters_b, pairs_b, lengths_b) = a.counts(), b.counts()
+    used = np.flatnonzero(letters.any(0) & letters_b.any(0))
+    letters, letters_b = letters[:, used], letters_b[:, used]
+    (dated, at), (dated_b, at_b) = a.dates(), b.dates()
+    slack = (1 - threshold / 100.0) + 1e-9
+    step = max(1, _STEP // (len(b) * max(1, len(used))))
+    for start in range(0, len(a), step):
+        rows = slice(start, start + step)
+        mine, theirs = lengths[rows, None], lengths_b[None, :]
+        common = np.minimum(letters[rows, None, :], letters_b[None, :, :]).sum(2)
+        near = mine + theirs - 2 * common <= slack * (mine + theirs)
+        inside = (mine - common <= 2 * slack * mine + 1) | (theirs - common <= 2 * slack * theirs + 1)
+        close = ~dated[rows, None] | ~dated_b | (np.abs(at[rows, None] - at_b) <= window_us)
+        i, j = np.nonzero((near | inside) & close)
+        near = near[i, j]
+        for part in range(0, len(i), _STEP // _PAIR_SLOTS):
+            some = slice(part, part + _STEP // _PAIR_SLOTS)
+            x, y = i[some] + start, j[some]
+            shared = np.minimum(pairs[x], pairs_b[y]).sum(1)
+            mine, theirs = lengths[x], lengths_b[y]
+            near_too = near[some] & (mine + theirs + 2 - 2 * shared <= 3 * slack * (mine + theirs))
+            inside_too = (mine + 1 - shared <= 2 * slack * mine + 1) | (theirs + 1 - shared <= 2 * slack * theirs + 1)
+            kept = near_too | inside_too
+            yield x[kept], y[kept]
+
+
+def links(a: Tile, b: Tile, threshold: float, window_us: int, most: int) -> Iterator[tuple[int, int]]:
+    """(seq, earlier seq) of the pairs of the two tiles (or of one with itself) that are duplicates: of every row the first ``most``."""
+    found = []
+    for i, j in _possible(a, b, threshold, window_us):
+        x, y = a.seqs[i], b.seqs[j]
+        keep = x < y if a is b else x != y
+        i, j, x, y = i[keep], j[keep], x[keep], y[keep]
+        found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y), i, j]))
+    pairs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+    seen: dict[int, int] = {}
+    for earlier, later, i, j in pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].tolist():
+        if seen.get(later, 0) < most and is_duplicate(a.peers[i], b.peers[j], threshold, window_us):
+            seen[later] = seen.get(later, 0) + 1
+            yield later, earlier
+
+
+def resembling(rows: Tile, peers: Tile, threshold: float, window_us: int) -> set[int]:
+    """Seqs of the rows that are a duplicate of one of the peers."""
+    hit: set[int] = set()
+    for i, j in _possible(rows, peers, threshold, window_us):
+        for x, y in zip(i.tolist(), j.tolist()):
+            if x not in hit and is_duplicate(rows.peers[x], peers.peers[y], threshold, window_us):
+                hit.add(x)
+    return {int(rows.seqs[x]) for x in hit}
+
+
+def first_kept(tile: Tile, threshold: float, window_us: int, known: list[Peer] = ()) -> list[int]:
+    """Places of the rows left by the sequential rule: each in turn stays unless it is a duplicate of one that stayed, or of ``known``."""
+    above = resembling(tile, Tile(list(known), [-1] * len(known)), threshold, window_us) if known else set()
+    earlier: dict[int, list[int]] = {}
+    for i, j in _possible(tile, tile, threshold, window_us):
+        for x, y in zip(i[i < j].tolist(), j[i < j].tolist()):
+            earlier.setdefault(y, []).append(x)
+    kept: set[int] = set()
+    for y in range(len(tile)):
+        if int(tile.seqs[y]) in above:
+            continue
+        if not any(x in kept and is_duplicate(tile.peers[x], tile.peers[y], threshold, window_us) for x in earlier.get(y, ())):
+            kept.add(y)
+    return sorted(kept)

@@ -1,31 +1,37 @@
 """Exact, near and historical duplicate removal.
 
 Near duplicates follow the sequential rule: in ``seq`` order a row goes when an earlier *kept* row
-of the same block resembles it. The job works in rounds. In each round every block decides its
-first few rows (a bounded array), and the rows behind them are tested against the rows just kept.
-No pair is written out. A block no larger than one batch ends in the first round. The rows of a hot
-block are cut into lanes, so they spread over tasks, each lane meeting a copy of one bounded array.
-The work is rows times kept rows of a block, as in the sequential rule, after exact copies have
-been collapsed by an aggregation.
+of the same block resembles it. After exact copies have been collapsed by an aggregation, a small block is
+decided in one go. The rows of a large one are cut into tiles by day and hash; only tiles whose days can
+match meet, and tell for every row the first few earlier rows it resembles. That is a graph of bounded degree, and rounds over
+it keep a row when every earlier row it resembles is gone, and drop it when one is kept. Blocks of different titles have
+no links and end in one round; a row with more links than were told asks again, without the rows that are gone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsloom import settings
 from newsloom.functions import text, url
-from newsloom.functions.fuzzy import Peer, PeerSet
+from newsloom.functions.fuzzy import Peer, Tile, first_kept, links, resembling
 from newsloom.operators.once import once
 from newsloom.operators.ordered import top_per_key
 from newsloom.session import cut_lineage
 
-FIRST_BATCH = 32
-LARGEST_BATCH = 512
-ROWS_PER_LANE = 5_000
+#: Rows of a block that is decided in one go.
+SMALL_BLOCK = 256
+#: Rows of a tile of a larger one.
+TILE_ROWS = 1024
+#: Characters of a block decided in one go, and of a tile.
+TILE_CHARS = 1 << 21
+#: Earlier rows that are told of a row at a time.
+FIRST_LINKS = 8
+DAY_US = 86_400_000_000
 
 
 def url_dedup(df: DataFrame, scope: list[str] = (), order: str = "seq") -> DataFrame:
@@ -66,73 +72,130 @@ def _window_us(days: int) -> int:
     return max(0, int(days)) * 86_400_000_000
 
 
-def _keep_first(threshold: float, window_us: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def keep(blocks: pd.Series) -> pd.Series:
-        def survivors(rows):
-            kept, seqs = PeerSet(threshold, window_us), []
-            for row in rows:
-                peer = Peer.of(row["text"], row["at"], row["domain"], row["wrapper"])
-                if not kept.resembles(peer):
-                    kept.add(peer)
-                    seqs.append(row["seq"])
-            return seqs
-
-        return blocks.map(survivors)
-
-    return keep
-
+def _tile(rows: list[dict]) -> Tile:
+    return Tile([Peer.of(r["text"], r["at"], r["domain"], r["wrapper"]) for r in rows], [r["seq"] for r in rows])
 
-def _hits(rows: pd.DataFrame, peers: Iterable[Peer], threshold: float, window_us: int) -> list[bool]:
-    known = PeerSet(threshold, window_us)
-    for peer in peers:
-        known.add(peer)
-    mine = map(Peer.of, rows["text"], rows["at"], rows["domain"], rows["wrapper"])
-    return [known.resembles(m) for m in mine]
 
+def _keep_first(threshold: float, window_us: int):
+    @F.arrow_udf("array<bigint>")
+    def keep(blocks: pa.Array) -> pa.Array:
+        tiles = (_tile(b.as_py()) for b in blocks)
+        return pa.array([t.seqs[first_kept(t, threshold, window_us)].tolist() for t in tiles], pa.list_(pa.int64()))
 
-def _resembles_any(threshold: float, window_us: int):
-    @F.pandas_udf(T.BooleanType())
-    def resembles(rows: pd.DataFrame, peers: pd.Series) -> pd.Series:
-        out = []
-        for i, others in enumerate(peers):
-            known = [Peer.of(o["text"], o["at"], o["domain"], o["wrapper"]) for o in others]
-            out += _hits(rows.iloc[i : i + 1], known, threshold, window_us)
-        return pd.Series(out, dtype="bool")
-
-    return resembles
+    return keep
 
 
 def _as_peer() -> Column:
     return F.struct("seq", "text", "at", "domain", "wrapper")
 
 
-def _judge_rows_behind(pending: DataFrame, full: DataFrame, block: list[str], threshold: float, window_us: int) -> DataFrame:
-    """Rows after the heads of their block, with ``_hit`` when they resemble a row just kept.
-
-    A large block is cut into lanes of about ``ROWS_PER_LANE`` rows by a hash; every lane meets
-    one copy of the kept heads, so no group grows with the block.
-    """
-    kept = F.filter("heads", lambda h: F.array_contains("kept", h["seq"]))
-    sizes = pending.groupBy(*block).agg(F.ceil(F.count("*") / ROWS_PER_LANE).cast("int").alias("_lanes"))
-    hot = full.select(*block, F.element_at("heads", -1)["seq"].alias("_last"), kept.alias("_peers")).join(sizes, block)
-    lane = F.explode(F.sequence(F.lit(0), F.col("_lanes") - 1)).alias("_lane")
-    peers = hot.select(*block, "_peers", lane).select(*block, "_lane", F.inline("_peers"))
-    behind = pending.join(hot.drop("_peers"), block).filter(F.col("seq") > F.col("_last"))
-    rows = behind.withColumn("_lane", F.pmod(F.hash("seq"), F.col("_lanes"))).drop("_lanes", "_last")
-
-    columns = pending.columns
-
-    def judge(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        known = [Peer.of(p.text, p.at, p.domain, p.wrapper) for p in theirs.itertuples(index=False)]
-        return mine[columns].assign(_hit=_hits(mine, known, threshold, window_us))
-
-    schema = T.StructType([*pending.schema.fields, T.StructField("_hit", T.BooleanType())])
-    group = [*block, "_lane"]
-    # Lanes are few bytes but much work; a fixed partition count keeps them from being coalesced.
-    tasks = int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows, peers = rows.repartition(tasks, *group), peers.repartition(tasks, *group)
-    return rows.groupBy(*group).cogroup(peers.groupBy(*group)).applyInPandas(judge, schema)
+def _tiles(rows: DataFrame, block: list[str]) -> DataFrame:
+    """block, day, tile and the packed rows: rows of one day of a block (null: undated), at most about ``TILE_ROWS``."""
+    dated = rows.withColumn("day", F.floor(F.col("at") / DAY_US))
+    # A null day groups like any other, but does not join.
+    day = F.coalesce("day", F.lit(-(2**40))).alias("_day")
+    parts = F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum(F.length("text")) / TILE_CHARS))
+    sizes = dated.groupBy(*block, day).agg(parts.cast("int").alias("_tiles"))
+    numbered = dated.withColumn("_day", day).join(sizes, [*block, "_day"])
+    tile = F.pmod(F.xxhash64("seq"), F.col("_tiles")).cast("int")
+    return numbered.groupBy(*block, "day", tile.alias("tile")).agg(F.collect_list(_as_peer()).alias("rows"))
+
+
+def _tile_pairs(left: DataFrame, right: DataFrame, block: list[str], window_us: int) -> DataFrame:
+    """Tiles (day, tile) of ``left`` and (other_day, other_tile) of ``right`` of one block whose days are close enough, or unknown."""
+    reach = -(-window_us // DAY_US)
+    mine = left.select(*block, "day", "tile")
+    theirs = right.select(*block, F.col("day").alias("other_day"), F.col("tile").alias("other_tile"))
+    near = theirs.filter("other_day IS NOT NULL").withColumn("day", F.explode(F.sequence(F.col("other_day") - reach, F.col("other_day") + reach)))
+    dated = mine.join(near, [*block, "day"])
+    undated = mine.filter("day IS NULL").join(theirs, block)
+    unknown = mine.filter("day IS NOT NULL").join(theirs.filter("other_day IS NULL"), block)
+    return dated.select(*block, "day", "tile", "other_day", "other_tile").unionByName(undated).unionByName(unknown)
+
+
+def _meet(pairs: DataFrame, left: DataFrame, right: DataFrame, block: list[str], found, schema: str) -> DataFrame:
+    """Rows that ``found`` (packed rows, the other's packed rows, whether both are one tile) gives for each pair of tiles."""
+    theirs = right.select(*block, F.col("day").alias("other_day"), F.col("tile").alias("other_tile"), F.col("rows").alias("others"))
+    same = lambda *names: [F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*block, *names)]
+    joined = pairs.alias("p").join(left.alias("t"), same("day", "tile")).select("p.*", "t.rows")
+    joined = joined.alias("p").join(theirs.alias("t"), same("other_day", "other_tile")).select("p.*", "t.others")
+    one = F.lit(left is right) & F.col("day").eqNullSafe(F.col("other_day")) & (F.col("tile") == F.col("other_tile"))
+    names = [field.split()[0] for field in schema.split(", ")]
+    scope = names[: -2 if len(names) > 1 and names[-1] == "earlier" else -1]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                of = lambda c: batch.column(c)[i].as_py()  # noqa: E731, B023
+                head = [of(c) for c in scope]
+                rows += [(*head, *link) for link in found(of("rows"), of("others"), of("one"))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+    types = [f.type for f in to_arrow_schema(T.StructType.fromDDL(schema))]
+    # A pair is few bytes but much work; a fixed partition count keeps them from being coalesced.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = joined.select(*scope, "rows", "others", one.alias("one")).repartition(tasks, F.get("rows", F.lit(0))["seq"], F.get("others", F.lit(0))["seq"])
+    return dealt.mapInArrow(search, schema)
+
+
+def _links(rows: DataFrame, peers: DataFrame | None, scope: list[str], block: list[str], threshold: float, window_us: int) -> DataFrame:
+    """(scope, seq, earlier): of every row the first ``FIRST_LINKS`` earlier rows among ``rows`` and ``peers`` that it resembles."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in scope), "seq bigint", "earlier bigint"])
+    mine = cut_lineage(_tiles(rows, block))
+    pairs = _tile_pairs(mine, mine, block, window_us)
+    # Of a tile and another, one order is enough.
+    order = lambda d, t: F.struct(F.coalesce(d, F.lit(-(2**40))), t)
+    once_ = pairs.filter(order(F.col("day"), F.col("tile")) <= order(F.col("other_day"), F.col("other_tile")))
+
+    def inside(left: list, right: list, one: bool) -> Iterator[tuple[int, int]]:
+        a = _tile(left)
+        return links(a, a if one else _tile(right), threshold, window_us, FIRST_LINKS)
+
+    found = _meet(once_, mine, mine, block, inside, schema)
+    if peers is not None:
+        others = cut_lineage(_tiles(peers, block))
+
+        def across(left: list, right: list, one: bool) -> Iterator[tuple[int, int]]:
+            own = {r["seq"] for r in left}
+            return (x for x in links(_tile(left), _tile(right), threshold, window_us, FIRST_LINKS) if x[0] in own)
+
+        found = found.unionByName(_meet(_tile_pairs(mine, others, block, window_us), mine, others, block, across, schema))
+    return cut_lineage(top_per_key(found, [*scope, "seq"], ["earlier"], FIRST_LINKS))
+
+
+def _large_losers(rows: DataFrame, scope: list[str], block: list[str], threshold: float, window_us: int) -> DataFrame:
+    """Keys (scope, seq) of the rows of large blocks that go."""
+    key = [*scope, "seq"]
+    open_, kept, gone = rows, None, rows.select(*key).limit(0)
+    while True:
+        edges = _links(open_, kept, scope, block, threshold, window_us)
+        told = edges.groupBy(*key).agg((F.count("*") >= FIRST_LINKS).alias("more"))
+        # kept: true or false once decided, null before; rows kept in earlier passes are known.
+        state = open_.select(*key).join(told, key, "left").select(*key, F.coalesce("more", F.lit(False)).alias("more"), F.lit(None).cast("boolean").alias("kept"))
+        if kept is not None:
+            state = state.unionByName(kept.select(*key, F.lit(False).alias("more"), F.lit(True).alias("kept")))
+        state, left = cut_lineage(state), None
+        while True:
+            earlier = state.select(*scope, F.col("seq").alias("earlier"), F.col("kept").alias("above"))
+            asked = edges.join(earlier, [*scope, "earlier"]).groupBy(*key).agg(
+                F.bool_or(F.coalesce("above", F.lit(False))).alias("hit"), F.bool_or(F.col("above").isNull()).alias("waits")
+            )
+            none = lambda c: F.coalesce(c, F.lit(False))
+            verdict = F.when(none("hit"), F.lit(False)).when(none("waits") | F.col("more"), F.lit(None)).otherwise(F.lit(True))
+            state = cut_lineage(state.join(asked, key, "left").select(*key, "more", F.coalesce("kept", verdict).alias("kept")))
+            before, left = left, state.agg(F.count_if(F.col("kept").isNull())).first()[0]
+            # What is still open waits for a row that must ask again, or must itself.
+            if not left or left == before:
+                break
+        gone = gone.unionByName(state.filter("kept = false").select(*key))
+        if not left:
+            return gone
+        again = state.filter("kept IS NULL").select(*key)
+        survivors = state.filter("kept").select(*key)
+        kept = cut_lineage(rows.join(survivors, key, "left_semi"))
+        open_ = cut_lineage(rows.join(again, key, "left_semi"))
 
 
 def near_dedup(
@@ -157,24 +220,16 @@ def near_dedup(
     # A later row with the same text, domain and date shares every neighbour of the first.
     first = cut_lineage(rows.groupBy(*block, "domain", "wrapper", "text", "at").agg(F.min("seq").alias("seq")))
     window_us = _window_us(day_window)
-    keep = _keep_first(threshold, window_us)
-    pending, losers, batch = first, [], FIRST_BATCH
-    while True:
-        heads = top_per_key(pending, block, ["seq"], batch)
-        groups = heads.groupBy(*block).agg(F.sort_array(F.collect_list(_as_peer())).alias("heads"))
-        decided = cut_lineage(groups.filter(F.size("heads") > 1).withColumn("kept", keep("heads")))
-        losers.append(decided.select(*scope, F.explode(F.array_except(F.col("heads.seq"), F.col("kept"))).alias("seq")))
-        full = decided.filter(F.size("heads") == batch)
-        if full.isEmpty():
-            break
-        judged = cut_lineage(_judge_rows_behind(pending, full, block, threshold, window_us))
-        losers.append(judged.filter("_hit").select(*scope, "seq"))
-        pending = judged.filter(~F.col("_hit")).drop("_hit")
-        batch = min(LARGEST_BATCH, batch * 2)
-
-    dropped = losers[0]
-    for more in losers[1:]:
-        dropped = dropped.unionByName(more)
+    small = (F.count("*") <= SMALL_BLOCK) & (F.sum(F.length("text")) <= TILE_CHARS)
+    sizes = cut_lineage(first.groupBy(*block).agg(F.count("*").alias("_size"), small.alias("_small")).filter("_size > 1").drop("_size"))
+    few = sizes.filter("_small").drop("_small")
+    groups = first.join(few, block, "left_semi").groupBy(*block).agg(F.collect_list(_as_peer()).alias("rows"))
+    decided = groups.select(*scope, F.col("rows.seq").alias("seqs"), _keep_first(threshold, window_us)("rows").alias("kept"))
+    dropped = decided.select(*scope, F.explode(F.array_except("seqs", "kept")).alias("seq"))
+    many = sizes.filter("not _small").drop("_small")
+    if not many.isEmpty():
+        large = cut_lineage(first.join(many, block, "left_semi"))
+        dropped = dropped.unionByName(_large_losers(large, scope, block, threshold, window_us))
     # What goes: later copies of an identical row, and representatives that lost.
     kept = first.select(*scope, "seq").join(dropped, [*scope, "seq"], "left_anti")
     gone = rows.select(*scope, "seq").join(kept, [*scope, "seq"], "left_anti")
@@ -202,30 +257,26 @@ def without_historical(
     threshold: float = settings.FUZZY_THRESHOLD,
     day_window: int = settings.FUZZY_DAY_WINDOW,
     wrapper_hosts=settings.WRAPPER_HOSTS,
-    chunk: int = 64,
 ) -> DataFrame:
-    """Fuzzy anti-join of new rows against stored ones, block by block.
-
-    Stored rows of a block travel in arrays of at most ``8 * chunk``; a hash spreads a hot block
-    over 64 lanes before its rows are numbered.
-    """
+    """Fuzzy anti-join of new rows against stored ones: tiles of new rows meet tiles of stored rows of their block and days."""
     scope = list(scope)
-    key = [*scope, "signature"]
-    new = _blocking_columns(df, scope, wrapper_hosts)
-    old = _blocking_columns(history, scope, wrapper_hosts)
-    old = old.dropDuplicates([*key, "text", "at", "domain", "wrapper"])
-    old = old.withColumn("_lane", F.pmod(F.xxhash64("text", "at", "domain"), F.lit(64)))
-    lane = Window.partitionBy(*key, "_lane").orderBy("text", "at", "domain")
-    numbered = old.withColumn("_chunk", F.floor((F.row_number().over(lane) - 1) / chunk))
-    # Neighbouring lanes travel together, so a small block does not break into 64 arrays.
-    packed = numbered.withColumn("_lane", F.floor(F.col("_lane") / 8))
-    packed = packed.groupBy(*key, "_lane", "_chunk").agg(F.collect_list(_as_peer()).alias("_peers"))
-    resembles = _resembles_any(max(1, min(threshold, 100)), _window_us(day_window))
-    hits = (
-        new.join(packed, key)
-        .withColumn("_hit", resembles(_as_peer(), F.col("_peers")))
-        .filter("_hit")
-        .select(*scope, "seq")
-        .distinct()
-    )
-    return df.join(hits, [*scope, "seq"], "left_anti")
+    block = [*scope, "signature"]
+    # Rows of one text, domain and date share their fate, and stored ones their effect.
+    same = [*block, "text", "at", "domain", "wrapper"]
+    new = cut_lineage(_blocking_columns(df, scope, wrapper_hosts))
+    old = _blocking_columns(history, scope, wrapper_hosts).groupBy(*same).agg(F.min("seq").alias("seq"))
+    old = old.join(new.select(*block).distinct(), block, "left_semi")
+    first = new.groupBy(*same).agg(F.min("seq").alias("seq"))
+    mine, theirs = cut_lineage(_tiles(first, block)), cut_lineage(_tiles(old, block))
+    threshold, window_us = max(1, min(threshold, 100)), _window_us(day_window)
+
+    def hits(left: list, right: list, one: bool) -> Iterator[tuple[int]]:
+        return ((seq,) for seq in resembling(_tile(left), _tile(right), threshold, window_us))
+
+    kinds = dict(new.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in scope), "seq bigint"])
+    hit = _meet(_tile_pairs(mine, theirs, block, window_us), mine, theirs, block, hits, schema).distinct()
+    # From the first row of a text, domain and date back to all of them.
+    lost = cut_lineage(first.join(hit, [*scope, "seq"], "left_semi").drop("seq"))
+    copies = new.alias("n").join(lost.alias("l"), [F.col(f"n.{c}").eqNullSafe(F.col(f"l.{c}")) for c in same]).select(*[f"n.{c}" for c in [*scope, "seq"]])
+    return df.join(copies, [*scope, "seq"], "left_anti")

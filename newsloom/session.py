@@ -25,9 +25,11 @@ def build(master: str, shuffle_partitions: int, memory: str = "12g") -> SparkSes
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on: UTC instants for every timestamp column."""
+    """Pin what results and memory depend on: UTC instants for every timestamp column, Arrow batches of bounded size."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
+    # What a Python worker holds must not grow with the size of rows.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return spark
 
 

@@ -60,11 +60,16 @@ def _random_rows(n, seed, words, hosts, spread_days):
     return rows
 
 
+def tiny(monkeypatch):
+    """Tiles and lists so small that every path is taken."""
+    for name, value in (("SMALL_BLOCK", 6), ("TILE_ROWS", 12), ("FIRST_LINKS", 2)):
+        monkeypatch.setattr(dedup, name, value)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_sequential_model_in_a_hot_block(spark, seed, monkeypatch):
     """All rows share one signature, so several rounds and both hosts and wrappers are involved."""
-    monkeypatch.setattr(dedup, "FIRST_BATCH", 4)
-    monkeypatch.setattr(dedup, "ROWS_PER_LANE", 20)
+    tiny(monkeypatch)
     words = ["vindmølle", "havvind", "energi", "strøm", "marked", "pris", "aftale", "ny", "dansk", "norsk", "svensk", "park"]
     rows = _random_rows(220, seed, words, ["www.a.dk", "b.dk", "x.b.dk", "news.google.com"], 6)
     df = spark.createDataFrame(rows, SCHEMA)
@@ -72,7 +77,7 @@ def test_equals_sequential_model_in_a_hot_block(spark, seed, monkeypatch):
 
 
 def test_without_wrappers_blocks_stay_in_their_domain(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "FIRST_BATCH", 3)
+    tiny(monkeypatch)
     rows = _random_rows(120, 5, ["alfa", "beta", "gamma", "delta"], ["a.dk", "b.dk"], 3)
     df = spark.createDataFrame(rows, SCHEMA)
     assert _kept(df) == _model(spark, df)
@@ -109,7 +114,7 @@ def test_historical_against_brute_force(spark):
     words = ["alfa", "beta", "gamma", "delta", "epsilon", "zeta"]
     new = spark.createDataFrame(_random_rows(80, 11, words, ["a.dk", "news.google.com"], 6), SCHEMA)
     old = spark.createDataFrame(_random_rows(90, 12, words, ["a.dk", "b.dk"], 6), SCHEMA)
-    got = sorted(r.seq for r in dedup.without_historical(new, old, ["brand_id"], chunk=2).collect())
+    got = sorted(r.seq for r in dedup.without_historical(new, old, ["brand_id"]).collect())
     both = {name: df.collect() for name, df in (("new", new), ("old", old))}
     norm = lambda t: " ".join(__import__("re").findall("[a-z0-9]+", (t or "").lower()))
     host = lambda link: link.split("/")[2].removeprefix("www.")
@@ -141,17 +146,62 @@ def test_last_in_batch(spark):
     assert [r.seq for r in dedup.last_in_batch(df, ["post_link", "topic_id"]).collect()] == [2]
 
 
+def test_a_block_of_different_titles_takes_few_rounds(spark, monkeypatch):
+    """Thousands of titles with the same first five words: one pass over tiles, and rounds that do not grow with them."""
+    random.seed(3)
+    words = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(3, 9))) for _ in range(3000)]
+    rows = []
+    for i in range(4000):
+        if i % 10 == 9:  # a near copy of an earlier title
+            title = rows[random.randrange(len(rows))][2] + random.choice(["", "s", " x"])
+        else:
+            title = "en to tre fire fem " + " ".join(random.choices(words, k=8))
+        rows.append((i, 1, title, "", f"https://a.dk/{i}", "", BASE + random.randint(0, 40) * DAY / 4))
+    calls = []
+    plain = dedup.cut_lineage
+    monkeypatch.setattr(dedup, "cut_lineage", lambda df: calls.append(1) or plain(df))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    kept = set(_kept(df))
+    assert len(calls) <= 20
+    texts, dates = {r[0]: frozenset(r[2].split()) for r in rows}, {r[0]: r[6] for r in rows}
+    from newsloom.functions.fuzzy import score_tokens
+
+    # The sequential rule; only titles that share a rare word with one another can be alike here.
+    by_word, model = {}, set()
+    for i in range(len(rows)):
+        others = {j for w in texts[i] - {"en", "to", "tre", "fire", "fem", "x"} for j in by_word.get(w, ())}
+        if not any(abs(dates[i] - dates[j]) <= 2 * DAY and score_tokens(texts[i], texts[j]) >= 92 for j in others):
+            model.add(i)
+            for w in texts[i]:
+                by_word.setdefault(w, []).append(i)
+    assert kept == model and len(model) < len(rows)
+
+
 @pytest.mark.parametrize("threshold", [75, 92])
-def test_peer_set_never_skips_a_pair_that_reaches_the_threshold(threshold):
-    from newsloom.functions.fuzzy import Peer, PeerSet, is_duplicate
+def test_tiles_never_skip_a_pair_that_reaches_the_threshold(threshold):
+    from newsloom.functions.fuzzy import Peer, Tile, first_kept, is_duplicate, links, resembling
 
     random.seed(4)
     words = ["vind", "vinde", "havvind", "park", "parker", "energi", "energien", "pris", "priser", "x1", "y2"]
     words += [f"unikt{i}ord" for i in range(40)]
-    peer = lambda: Peer.of(" ".join(random.choices(words, k=random.randint(4, 7))), None, "a.dk", False)
-    known = PeerSet(threshold, 0)
-    for _ in range(60):
-        known.add(peer())
-    asked = [peer() for _ in range(400)]
-    wanted = [any(is_duplicate(a, p, threshold, 0) for p in known.peers) for a in asked]
-    assert [known.resembles(a) for a in asked] == wanted and any(wanted) and not all(wanted)
+
+    def tile(n, start):
+        dates = [random.choice([None, 0, 5, 10]) for _ in range(n)]
+        peers = [Peer.of(" ".join(random.choices(words, k=random.randint(4, 7))), d, random.choice("ab"), random.random() < 0.2) for d in dates]
+        return Tile(peers, random.sample(range(start, start + 3 * n), n))
+
+    a, b = tile(60, 0), tile(200, 100)
+    alike = lambda p, q: is_duplicate(p, q, threshold, 5)
+    assert resembling(b, a, threshold, 5) == {i for i, p in zip(b.seqs.tolist(), b.peers) if any(alike(p, q) for q in a.peers)} != set()
+    for most in (1, 3):
+        inside = sorted((i, j) for j, q in zip(a.seqs.tolist(), a.peers) for i, p in zip(a.seqs.tolist(), a.peers) if j < i and alike(p, q))
+        want = sorted(x for i in set(a.seqs.tolist()) for x in [y for y in inside if y[0] == i][:most])
+        assert sorted(links(a, a, threshold, 5, most)) == want
+        both = sorted((max(i, j), min(i, j)) for i, p in zip(a.seqs.tolist(), a.peers) for j, q in zip(b.seqs.tolist(), b.peers) if i != j and alike(p, q))
+        want = sorted(x for i in {y[0] for y in both} for x in [y for y in both if y[0] == i][:most])
+        assert sorted(links(a, b, threshold, 5, most)) == want
+    kept = []
+    for i, p in sorted(zip(b.seqs.tolist(), b.peers)):
+        if not any(alike(p, q) for q in [*a.peers, *(k for _, k in kept)]):
+            kept.append((i, p))
+    assert b.seqs[first_kept(b, threshold, 5, a.peers)].tolist() == [i for i, _ in kept]
