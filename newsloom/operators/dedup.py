@@ -264,10 +264,11 @@ def without_historical(
     # Rows of one text, domain and date share their fate, and stored ones their effect.
     same = [*block, "text", "at", "domain", "wrapper"]
     new = cut_lineage(_blocking_columns(df, scope, wrapper_hosts))
-    old = _blocking_columns(history, scope, wrapper_hosts).groupBy(*same).agg(F.min("seq").alias("seq"))
-    old = old.join(new.select(*block).distinct(), block, "left_semi")
-    first = new.groupBy(*same).agg(F.min("seq").alias("seq"))
-    mine, theirs = cut_lineage(_tiles(first, block)), cut_lineage(_tiles(old, block))
+    old = _blocking_columns(history, scope, wrapper_hosts).join(new.select(*block).distinct(), block, "left_semi")
+    both = new.withColumn("_old", F.lit(False)).unionByName(old.withColumn("_old", F.lit(True)))
+    first = cut_lineage(both.groupBy("_old", *same).agg(F.min("seq").alias("seq")))
+    tiles = cut_lineage(_tiles(first, ["_old", *block]))
+    mine, theirs = tiles.filter("not _old").drop("_old"), tiles.filter("_old").drop("_old")
     threshold, window_us = max(1, min(threshold, 100)), _window_us(day_window)
 
     def hits(left: list, right: list, one: bool) -> Iterator[tuple[int]]:
@@ -277,6 +278,6 @@ def without_historical(
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in scope), "seq bigint"])
     hit = _meet(_tile_pairs(mine, theirs, block, window_us), mine, theirs, block, hits, schema).distinct()
     # From the first row of a text, domain and date back to all of them.
-    lost = cut_lineage(first.join(hit, [*scope, "seq"], "left_semi").drop("seq"))
+    lost = cut_lineage(first.filter("not _old").join(hit, [*scope, "seq"], "left_semi").drop("seq"))
     copies = new.alias("n").join(lost.alias("l"), [F.col(f"n.{c}").eqNullSafe(F.col(f"l.{c}")) for c in same]).select(*[f"n.{c}" for c in [*scope, "seq"]])
     return df.join(copies, [*scope, "seq"], "left_anti")
