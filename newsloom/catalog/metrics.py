@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom import settings
 from newsloom.catalog.common import AS_OF, Roles, query, sql_with
+from newsloom.functions import text
 from newsloom.plans import opsmetrics
 from newsloom.session import prepare
 from newsloom.streaming import alerts, ingest as stream_ingest
@@ -280,3 +281,25 @@ def stream_insert_ignore(spark, folder):
     stream_ingest.write_mentions(batch, f"{out}/mentions", f"{out}/state2").awaitTermination()
     stored = spark.read.schema(MENTION).parquet(f"{out}/mentions")
     return stored.select("post_link", "topic_id", F.col("caption").cast("long").alias("caption_id"))
+
+
+@query("stream_unique_stories")
+def stream_unique_stories(spark, folder):
+    """The rows that near-duplicate removal leaves, found over five micro-batches that land one after the other."""
+    from newsloom.session import shared_folder
+
+    r, out, parts = Roles(spark, folder), shared_folder(spark), 5
+    rows = r.whole.select("mention_id", "seq", "brand_id", "title", "content_teaser", "link", "platform", "published_at")
+    last = rows.agg(F.max("seq")).first()[0] or 0
+    rows = rows.withColumn("part", F.least(F.floor(F.col("seq") * parts / (last + 1)), F.lit(parts - 1)))
+    rows = rows.withColumn("seen_at", F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(hours=F.col("part").cast("int")))
+    stories = None
+    with stream_ingest.rocksdb_state(spark):
+        for part in range(parts):
+            rows.filter(F.col("part") == part).repartition(F.xxhash64("seq")).write.mode("append").parquet(f"{out}/landed")
+            stories = stream_ingest.unique_stories(spark.readStream.schema(rows.schema).parquet(f"{out}/landed"), "seen_at")
+            sink = stories.writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+            sink.format("parquet").option("path", f"{out}/rows").start().awaitTermination()
+    kept = spark.read.schema(stories.schema).parquet(f"{out}/rows").select("seq")
+    untitled = rows.filter(text.normalize_title(text.comparison_text("title", "content_teaser")) == "").select("seq")
+    return rows.join(kept.unionByName(untitled), "seq", "left_semi").select("mention_id", "title", "platform")

@@ -52,12 +52,14 @@ def last_in_batch(df: DataFrame, keys: list[str], order: str = "seq") -> DataFra
     return top_per_key(present, keys, [F.col(order).desc()], 1)
 
 
-def _blocking_columns(df: DataFrame, scope: list[str], wrapper_hosts) -> DataFrame:
+def blocking_columns(df: DataFrame, scope: list[str], wrapper_hosts, more: list[str] = ()) -> DataFrame:
+    """What pair tests need of every row with a title: scope, seq, text, at, domain, wrapper, signature and the columns ``more``."""
     linked = F.coalesce(F.nullif("link", F.lit("")), F.nullif("platform", F.lit("")), F.lit(""))
     normalized = text.normalize_title(text.comparison_text("title", "content_teaser"))
     host = F.regexp_replace(url.netloc("link"), r"^www\.", "")
     keyed = df.select(
         *scope,
+        *more,
         "seq",
         normalized.alias("text"),
         F.unix_micros("published_at").alias("at"),
@@ -68,7 +70,7 @@ def _blocking_columns(df: DataFrame, scope: list[str], wrapper_hosts) -> DataFra
     return keyed.filter(F.col("text") != "").withColumn("signature", text.title_signature("text"))
 
 
-def _window_us(days: int) -> int:
+def span_us(days: int) -> int:
     return max(0, int(days)) * 86_400_000_000
 
 
@@ -208,7 +210,7 @@ def near_dedup(
     """Rows left after near-duplicate removal. ``seq`` must be unique within ``scope``."""
     scope = list(scope)
     threshold = max(1, min(threshold, 100))
-    rows = cut_lineage(_blocking_columns(df, scope, wrapper_hosts))
+    rows = cut_lineage(blocking_columns(df, scope, wrapper_hosts))
 
     # A title seen behind a wrapper host is compared across domains; others stay in their domain.
     wrapped = rows.filter("wrapper").select(*scope, "signature").distinct().withColumn("_wrapped", F.lit(True))
@@ -219,7 +221,7 @@ def near_dedup(
 
     # A later row with the same text, domain and date shares every neighbour of the first.
     first = cut_lineage(rows.groupBy(*block, "domain", "wrapper", "text", "at").agg(F.min("seq").alias("seq")))
-    window_us = _window_us(day_window)
+    window_us = span_us(day_window)
     small = (F.count("*") <= SMALL_BLOCK) & (F.sum(F.length("text")) <= TILE_CHARS)
     sizes = cut_lineage(first.groupBy(*block).agg(F.count("*").alias("_size"), small.alias("_small")).filter("_size > 1").drop("_size"))
     few = sizes.filter("_small").drop("_small")
@@ -263,13 +265,13 @@ def without_historical(
     block = [*scope, "signature"]
     # Rows of one text, domain and date share their fate, and stored ones their effect.
     same = [*block, "text", "at", "domain", "wrapper"]
-    new = cut_lineage(_blocking_columns(df, scope, wrapper_hosts))
-    old = _blocking_columns(history, scope, wrapper_hosts).join(new.select(*block).distinct(), block, "left_semi")
+    new = cut_lineage(blocking_columns(df, scope, wrapper_hosts))
+    old = blocking_columns(history, scope, wrapper_hosts).join(new.select(*block).distinct(), block, "left_semi")
     both = new.withColumn("_old", F.lit(False)).unionByName(old.withColumn("_old", F.lit(True)))
     first = cut_lineage(both.groupBy("_old", *same).agg(F.min("seq").alias("seq")))
     tiles = cut_lineage(_tiles(first, ["_old", *block]))
     mine, theirs = tiles.filter("not _old").drop("_old"), tiles.filter("_old").drop("_old")
-    threshold, window_us = max(1, min(threshold, 100)), _window_us(day_window)
+    threshold, window_us = max(1, min(threshold, 100)), span_us(day_window)
 
     def hits(left: list, right: list, one: bool) -> Iterator[tuple[int]]:
         return ((seq,) for seq in resembling(_tile(left), _tile(right), threshold, window_us))

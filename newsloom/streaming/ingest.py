@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from newsloom import settings
 from newsloom.functions import url
+from newsloom.functions.fuzzy import Peer, Tile, first_kept
 from newsloom.operators import dedup
 from newsloom.schemas import MENTION
 from newsloom.sinks import tables
@@ -70,6 +76,87 @@ def write_links(spark: SparkSession, links: DataFrame, mention_path: str, link_p
     )
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which ``unique_stories`` needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+_STORY = {"seq": T.LongType(), "text": T.StringType(), "at": T.LongType(), "domain": T.StringType(), "wrapper": T.BooleanType(), "seen_us": T.LongType()}
+STORY = T.StructType([T.StructField(name, kind) for name, kind in _STORY.items()])
+
+
+class RecentStories(StatefulProcessor):
+    """Keeps the stories of one block (scope and signature) for ``horizon_us`` after they were seen, and lets through rows that
+    resemble none of them and no earlier row of their batch that was let through.
+
+    Rows of a key that arrive together are taken in ``seq`` order. A timer forgets what is older than the horizon.
+    """
+
+    def __init__(self, key_names: list[str], threshold: float, window_us: int, horizon_us: int):
+        self.key_names, self.threshold, self.window_us, self.horizon_us = key_names, threshold, window_us, horizon_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stories = handle.getListState("stories", STORY)
+
+    def _remember(self, stories: list[tuple]) -> None:
+        if stories:
+            self.stories.put(stories)
+        else:
+            self.stories.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if stories:
+            self.handle.registerTimer((min(s[-1] for s in stories) + self.horizon_us) // 1000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = sorted((tuple(r) for frame in rows for r in frame[STORY.fieldNames()].itertuples(index=False, name=None)), key=lambda r: r[0])
+        known = list(self.stories.get()) if self.stories.exists() else []
+        peer = lambda s: Peer.of(s[1], s[2], s[3], s[4])
+        tile = Tile([peer(s) for s in batch], [s[0] for s in batch])
+        kept = [batch[i] for i in first_kept(tile, self.threshold, self.window_us, [peer(s) for s in known])]
+        whole = lambda s: (int(s[0]), s[1], None if pd.isna(s[2]) else int(s[2]), s[3], bool(s[4]), int(s[5]))
+        self._remember([tuple(s) for s in known] + [whole(s) for s in kept])
+        if kept:
+            out = pd.DataFrame({name: [value] * len(kept) for name, value in zip(self.key_names, key)})
+            yield out.assign(seq=[int(s[0]) for s in kept])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        oldest = timerValues.getCurrentWatermarkInMs() * 1000 - self.horizon_us
+        self._remember([tuple(s) for s in self.stories.get() if s[-1] >= oldest])
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def unique_stories(
+    stream: DataFrame, seen: str, scope: list[str] = ("brand_id",), late: str = "1 day", horizon_days: int = settings.HISTORY_DAYS,
+    threshold: float = settings.FUZZY_THRESHOLD, day_window: int = settings.FUZZY_DAY_WINDOW, wrapper_hosts=settings.WRAPPER_HOSTS,
+) -> DataFrame:
+    """Fuzzy dedup over micro-batches: scope, signature, seq of the rows that resemble no story of the last ``horizon_days``.
+
+    ``seen`` is the time a row arrived, on which the watermark runs; a row that comes more than ``late`` behind it goes. On batches
+    cut by ``seq`` the result is that of ``dedup.near_dedup`` over all rows, as long as no story is older than the horizon. Rows
+    with an empty title have no story and must be taken past this operator. State lives in RocksDB
+    (``spark.sql.streaming.stateStore.providerClass``); of one key it holds the stories of the horizon.
+    """
+    keyed = dedup.blocking_columns(stream.withWatermark(seen, late), list(scope), wrapper_hosts, [seen])
+    rows = keyed.withColumn("seen_us", F.unix_micros(seen))
+    kinds = dict(rows.dtypes)
+    key = [*scope, "signature"]
+    processor = RecentStories(key, max(1, min(threshold, 100)), dedup.span_us(day_window), horizon_days * dedup.DAY_US)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in key), "seq bigint"])
+    return rows.groupBy(*key).transformWithStateInPandas(processor, schema, outputMode="append", timeMode="EventTime")
+
+
 def without_recent_stories(batch: DataFrame, path: str, as_of, spark: SparkSession) -> DataFrame:
     """Fuzzy horizon across runs: a micro-batch against the last days of the stored table."""
     table = tables.stored(spark, path, MENTION).select(
