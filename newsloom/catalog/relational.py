@@ -232,6 +232,32 @@ def keyword_links_insert_ignore(spark, folder):
     return tables.new_rows(batch, stored, ["mention_id", "keyword_id"]).select("mention_id", "keyword_id")
 
 
+@query("keyed_insert_ignore", sql_with("mentions") + """
+    , batch AS (SELECT id, 'https://x.dk/' || (id // 2) AS post_link, topic_id, id % 3 AS part FROM mentions),
+    last AS (SELECT *, row_number() OVER (PARTITION BY post_link, topic_id ORDER BY part, id DESC) AS rn FROM batch)
+    SELECT id AS seq, post_link, topic_id, TRUE AS unique_id, TRUE AS found FROM last WHERE rn = 1""")
+def keyed_insert_ignore(spark, folder):
+    """Three batches through the key table, the second twice; of a key the last row of the first batch that has it stays."""
+    from newsloom.schemas import MENTION
+    from newsloom.session import shared_folder
+    from newsloom.sinks import keyed
+
+    path, keys = f"{shared_folder(spark)}/mentions", ["post_link", "topic_id"]
+    link = F.concat(F.lit("https://x.dk/"), F.floor(F.col("id") / 2).cast("string"))
+    rows = Roles(spark, folder).mentions.selectExpr(
+        "id as seq", "cast(id as string) as caption", "'' as content_teaser", "published_at", "platform_id", "brand_id", "topic_id",
+        "cast(null as bigint) as primary_keyword_id", "false as read_status", "false as notified_status", "id",
+    ).withColumn("post_link", link)
+    for part in (0, 1, 1, 2):
+        batch = rows.filter(F.col("id") % 3 == part).drop("id")
+        keyed.insert_ignore(spark, batch, path, MENTION, keys, F.lit(AS_OF).cast("timestamp"), "created_date", buckets=8)
+    stored = spark.read.schema(MENTION).parquet(path)
+    found = keyed.ids_of(spark, path, stored.select(*keys, F.col("id").alias("own")), keys, buckets=8)
+    checked = stored.join(found.select(*keys, (F.col("own") == F.col("id")).alias("found")), keys)
+    counts = stored.groupBy("id").agg((F.count("*") == 1).alias("unique_id"))
+    return checked.join(counts, "id").select(F.col("caption").cast("long").alias("seq"), *keys, "unique_id", "found")
+
+
 @query("config_upsert", """
     WITH old AS (SELECT DISTINCT regexp_extract(url, '://([^/]+)', 1) AS domain FROM pages),
     o AS (SELECT DISTINCT regexp_replace(domain, '^www\\.', '') AS domain FROM old),

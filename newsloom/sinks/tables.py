@@ -6,6 +6,7 @@ is materialised first, because Spark cannot overwrite a folder it is still readi
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from newsloom.functions.url import clean_domain_entry
@@ -15,17 +16,12 @@ from newsloom.session import cut_lineage
 CLEARABLE = ("search_url_pattern", "rss_urls", "sitemap_url", "discovery_type")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def stored(spark: SparkSession, path: str, schema) -> DataFrame:
     """Table content; an absent folder is an empty table."""
-    if exists(spark, path):
+    try:
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
 
 
 def with_ids(df: DataFrame, start: int, name: str = "id") -> DataFrame:

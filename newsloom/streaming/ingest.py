@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,8 +14,8 @@ from newsloom import settings
 from newsloom.functions import url
 from newsloom.functions.fuzzy import Peer, Tile, first_kept
 from newsloom.operators import dedup
-from newsloom.schemas import MENTION
-from newsloom.sinks import tables
+from newsloom.schemas import MENTION, MENTION_KEYWORD
+from newsloom.sinks import keyed, tables
 
 
 def landed(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
@@ -49,14 +50,16 @@ def unique_links(stream: DataFrame, horizon: str = "3 days") -> DataFrame:
 def write_mentions(
     stream: DataFrame, path: str, checkpoint: str, prepare=None, available_now: bool = True, link_path: str | None = None,
 ) -> StreamingQuery:
-    """Insert-ignore per micro-batch. ``prepare`` maps a batch to (mention rows, keyword links or
+    """Insert-ignore per micro-batch, reading only the key buckets it touches. ``prepare`` maps a batch to (mention rows, keyword links or
     None); a replayed batch finds its keys stored and writes nothing."""
 
+    stream_id = hashlib.md5(checkpoint.encode()).hexdigest()
+
     def save(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         rows, links = prepare(batch) if prepare else (batch, None)
-        tables.insert_ignore(
-            spark, rows, path, MENTION, ["post_link", "topic_id"], F.current_timestamp(), "created_date"
+        keyed.insert_ignore(
+            spark, rows, path, MENTION, ["post_link", "topic_id"], F.current_timestamp(), "created_date", token=f"{stream_id}-{epoch}"
         )
         if links is not None and link_path:
             write_links(spark, links, path, link_path)
@@ -67,13 +70,9 @@ def write_mentions(
 
 def write_links(spark: SparkSession, links: DataFrame, mention_path: str, link_path: str) -> int:
     """Keyword links of stored mentions, insert-ignore on (mention_id, keyword_id)."""
-    from newsloom.schemas import MENTION_KEYWORD
-
-    ids = spark.read.schema(MENTION).parquet(mention_path).select(F.col("id").alias("mention_id"), "post_link", "topic_id")
-    rows = links.join(ids, ["post_link", "topic_id"]).withColumn("seq", F.lit(0))
-    return tables.insert_ignore(
-        spark, rows, link_path, MENTION_KEYWORD, ["mention_id", "keyword_id"], F.current_timestamp()
-    )
+    named = links.withColumns({name: F.col(name).cast(MENTION[name].dataType) for name in ("post_link", "topic_id")})
+    rows = keyed.ids_of(spark, mention_path, named, ["post_link", "topic_id"]).withColumnRenamed("id", "mention_id").withColumn("seq", F.lit(0))
+    return keyed.insert_ignore(spark, rows, link_path, MENTION_KEYWORD, ["mention_id", "keyword_id"], F.current_timestamp())
 
 
 @contextmanager
