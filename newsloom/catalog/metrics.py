@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom import settings
 from newsloom.catalog.common import AS_OF, Roles, query, sql_with
 from newsloom.functions import text
-from newsloom.plans import opsmetrics
+from newsloom.plans import alert_rules, opsmetrics
 from newsloom.session import prepare
 from newsloom.streaming import alerts, ingest as stream_ingest
 
@@ -85,6 +85,82 @@ def sustained_alerts(spark, folder):
     return opsmetrics.sustained(judged, ["domain"], "window_end", "firing", 60, 1200, "warning")
 
 
+# A few events an hour: the query stretches the rules' minutes to hours and lowers what they compare with.
+_STRETCH = 60
+_LOWERED = {
+    "ScrapingRunP95TooSlow": (150.0, 0.0), "ScrapingHttpErrorRateHigh": (0.0001, 0.0), "ScrapingExtractionSuccessRateLow": (0.02, 0.00003),
+    "ScrapingPlaywrightFallbackFailures": (0.0001, 0.0), "ScrapingBlindDomainCircuitOpened": (0.0, 0.0), "ScrapingUrlBudgetClipping": (0.0, 0.0),
+}
+_LES = (10.0, 30.0, 60.0, 120.0, 300.0)
+
+
+def _rules():
+    stretched = lambda r: r._replace(window_s=r.window_s * _STRETCH, hold_s=r.hold_s * _STRETCH, threshold=_LOWERED[r.name][0], volume=_LOWERED[r.name][1])
+    return [stretched(r) for r in alert_rules.RULES]
+
+
+def _counter_samples(spark, folder):
+    """Events as increments of the counters that the rules watch; durations as histogram buckets, one row per bound that holds."""
+    series = ["scrape_run_duration_seconds_bucket", "scrape_http_errors_total", "scrape_extractions_total", "scrape_playwright_fallback_total", "scrape_guardrail_events_total"]
+    names = "element_at(array(" + ", ".join(f"'{s}'" for s in series) + "), cast(event_id % 5 + 1 as int))"
+    labels = (
+        "map('scope', 's' || (user_id % 2), 'provider', event_type, 'domain', 'd' || (user_id % 3), 'result', if(event_id % 2 = 0, 'success', 'failed'), "
+        "'guardrail', if(user_id % 2 = 0, 'blind_domain_circuit', 'max_total_urls_per_run'), 'reason', if(user_id % 2 = 0, 'open', 'skip'))"
+    )
+    events = Roles(spark, folder).table("events", "event_id", "user_id", "event_type", "ts", "value")
+    rows = events.select("ts", F.expr(names).alias("name"), F.expr(labels).alias("labels"), F.col("value").alias("seconds"))
+    plain = rows.filter(F.col("name") != series[0]).select("ts", "name", "labels", F.lit(1.0).alias("value"))
+    bounds = F.array(*[F.struct(F.lit(b).alias("at"), F.lit(str(b)).alias("le")) for b in _LES], F.struct(F.lit(float("inf")).alias("at"), F.lit("+Inf").alias("le")))
+    spread = rows.filter(F.col("name") == series[0]).withColumn("bound", F.explode(F.filter(bounds, lambda b: b["at"] >= F.col("seconds"))))
+    return plain.unionByName(spread.select("ts", "name", F.map_concat("labels", F.create_map(F.lit("le"), F.col("bound.le"))).alias("labels"), F.lit(1.0).alias("value")))
+
+
+def _rule_sql() -> str:
+    rows = ", ".join(
+        f"('{r.name}', '{r.kind}', {i}, {r.window_s}, {r.threshold!r}::DOUBLE, {r.volume!r}::DOUBLE, {r.hold_s}, '{r.severity}', {r.above})"
+        for i, r in zip((0, 1, 2, 3, 4, 4), _rules())
+    )
+    les = ", ".join(f"({b!r}::DOUBLE)" for b in _LES)
+    return f"""
+    WITH r(rule, kind, series, window_s, threshold, volume, hold_s, severity, above) AS (VALUES {rows}),
+    le(le) AS (VALUES {les}, ('infinity'::DOUBLE)),
+    s AS (SELECT r.*, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS step_start, event_id % 2 = 0 AS ok, value,
+            CASE rule WHEN 'ScrapingRunP95TooSlow' THEN 's' || (user_id % 2) WHEN 'ScrapingPlaywrightFallbackFailures' THEN 'd' || (user_id % 3)
+                 WHEN 'ScrapingHttpErrorRateHigh' THEN event_type || '/d' || (user_id % 3) WHEN 'ScrapingExtractionSuccessRateLow' THEN event_type || '/d' || (user_id % 3) ELSE '' END AS grp
+          FROM events JOIN r ON event_id % 5 = series
+          WHERE CASE rule WHEN 'ScrapingPlaywrightFallbackFailures' THEN event_id % 2 = 1 WHEN 'ScrapingBlindDomainCircuitOpened' THEN user_id % 2 = 0
+                          WHEN 'ScrapingUrlBudgetClipping' THEN user_id % 2 = 1 ELSE TRUE END),
+    w AS (SELECT s.*, step_start + i * 3600 AS window_end FROM s, range(1, 31) t(i) WHERE i * 3600 <= window_s),
+    hb AS (SELECT rule, grp, window_end, le, count(*) FILTER (WHERE value <= le) AS c FROM w, le WHERE kind = 'quantile' GROUP BY ALL),
+    hr AS (SELECT *, 0.95 * max(c) OVER (PARTITION BY rule, grp, window_end) AS rank, coalesce(lag(c) OVER o, 0) AS below, coalesce(lag(le) OVER o, 0) AS low
+           FROM hb WHERE c > 0 WINDOW o AS (PARTITION BY rule, grp, window_end ORDER BY le)),
+    hq AS (SELECT *, row_number() OVER (PARTITION BY rule, grp, window_end ORDER BY le) AS n FROM hr WHERE c >= rank),
+    v AS (SELECT rule, grp, window_end, CASE WHEN isinf(le) THEN low WHEN c > below THEN low + (le - low) * ((rank - below) / (c - below)) ELSE low END AS value, TRUE AS enough FROM hq WHERE n = 1
+          UNION ALL
+          SELECT rule, grp, window_end, CASE kind WHEN 'increase' THEN count(*) WHEN 'rate' THEN count(*) / window_s::DOUBLE
+                 ELSE (count(*) FILTER (WHERE ok) / window_s::DOUBLE) / greatest(count(*) / window_s::DOUBLE, 0.001::DOUBLE) END,
+                 kind <> 'ratio' OR count(*) / window_s::DOUBLE > volume FROM w WHERE kind <> 'quantile' GROUP BY rule, grp, window_end, kind, window_s, volume),
+    e AS (SELECT v.rule, grp, window_end, value, enough AND CASE WHEN above THEN value > threshold ELSE value < threshold END AS firing, hold_s, severity FROM v JOIN r ON r.rule = v.rule),
+    """
+
+
+@query("alert_evaluations", _rule_sql() + """
+    z AS (SELECT 1) SELECT rule, grp AS groups, window_end, round(value, 6) AS value, firing FROM e""")
+def alert_evaluations(spark, folder):
+    found = alert_rules.evaluations(_counter_samples(spark, folder), alert_rules.rule_table(prepare(spark), _rules()), 60 * _STRETCH)
+    return found.select("rule", F.array_join("group", "/").alias("groups"), "window_end", F.round("value", 6).alias("value"), "firing")
+
+
+@query("alert_rules", _rule_sql() + """
+    h AS (SELECT *, CASE WHEN window_end - lag(window_end) OVER o > 3600 OR lag(window_end) OVER o IS NULL THEN 1 ELSE 0 END AS st FROM e WHERE firing WINDOW o AS (PARTITION BY rule, grp ORDER BY window_end)),
+    i AS (SELECT *, sum(st) OVER (PARTITION BY rule, grp ORDER BY window_end ROWS UNBOUNDED PRECEDING) AS island FROM h)
+    SELECT rule, severity, grp AS groups, min(window_end) AS pending_since, min(window_end) + hold_s AS firing_since, max(window_end) AS last_firing
+    FROM i GROUP BY rule, severity, grp, hold_s, island HAVING max(window_end) - min(window_end) >= hold_s""")
+def alert_rules_query(spark, folder):
+    found = alert_rules.alerts(_counter_samples(spark, folder), alert_rules.rule_table(prepare(spark), _rules()), 60 * _STRETCH, bucket_s=30 * 86_400)
+    return found.select("rule", "severity", F.array_join("group", "/").alias("groups"), "pending_since", "firing_since", "last_firing")
+
+
 _POLLS = """
     WITH polls AS (SELECT 'd' || (user_id % 10) AS domain, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, CAST(sum(event_id % 5) AS BIGINT) AS n FROM events GROUP BY ALL),
     c AS (SELECT domain, hour, CAST(sum(n) OVER (PARTITION BY domain ORDER BY hour) AS BIGINT) AS value FROM polls),

@@ -48,6 +48,11 @@ def _with_empty_buckets(cumulative: DataFrame, labels: list[str], size: int) ->
 def quantile(buckets: DataFrame, labels: list[str], q: float) -> DataFrame:
     """Quantile from cumulative buckets by linear interpolation; the open bucket yields the last
     finite bound."""
+    return quantile_of(buckets, labels, F.lit(q))
+
+
+def quantile_of(buckets: DataFrame, labels: list[str], q: Column) -> DataFrame:
+    """``quantile`` with a ``q`` that may differ from row to row, but not within a label set."""
     w = Window.partitionBy(*labels).orderBy("le")
     total = F.max("bucket_count").over(Window.partitionBy(*labels))
     ranked = buckets.select(
