@@ -81,7 +81,7 @@ ROLE_SQL = {
         FROM lineitem""",
     "raw": r"""
         SELECT doc_id AS mention_id, doc_id AS seq, CAST(1 AS BIGINT) AS brand_id,
-               left(split_part(text, chr(10), 1), 120) AS title, left(text, 500) AS content_teaser,
+               split_part(text, chr(10), 1) AS title, text AS content_teaser,
                'https://www.' || source || '.example.dk/' || lang || '/' || (doc_id - doc_id % 10 % 3) || '/' AS link,
                CASE WHEN doc_id % 13 = 0 THEN '' ELSE source END AS platform,
                CASE WHEN doc_id % 11 = 0 THEN NULL ELSE TIMESTAMP '2024-01-28' + to_days(CAST(doc_id % 3 AS INTEGER)) END AS published_at,
@@ -197,24 +197,17 @@ class Roles:
 
     @property
     def raw(self) -> DataFrame:
-        return self._raw("left(split_part(text, '\n', 1), 120)", "left(text, 500)")
-
-    def _raw(self, title: str, teaser: str) -> DataFrame:
+        """Documents as raw mentions: the whole first line is the title, the whole text the teaser."""
         return self._select(
             self.table("documents", "doc_id", "text", "source", "lang"),
             "doc_id as mention_id", "doc_id as seq", "cast(1 as bigint) as brand_id",
-            f"{title} as title", f"{teaser} as content_teaser",
+            "split_part(text, '\n', 1) as title", "text as content_teaser",
             "'https://www.' || source || '.example.dk/' || lang || '/' || (doc_id - doc_id % 10 % 3) || '/' as link",
             "case when doc_id % 13 = 0 then '' else source end as platform",
             "case when doc_id % 11 = 0 then null else timestamp'2024-01-28 00:00:00' + make_dt_interval(cast(doc_id % 3 as int)) end as published_at",
             "lang",
         )
 
-    @property
-    def whole(self) -> DataFrame:
-        """``raw`` with the whole first line as title and the whole text, for queries without an SQL twin."""
-        return self._raw("split_part(text, '\n', 1)", "text")
-
     @property
     def messages(self) -> DataFrame:
         return self.table("conversations").withColumnRenamed("conv_id", "chat_id")

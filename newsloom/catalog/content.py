@@ -177,12 +177,12 @@ def sanitized_keywords(spark, folder):
 
 
 @query("title_signature_blocks", "WITH t AS (SELECT doc_id, " + _TITLE_NORM.format("""
-        CASE WHEN length(trim(split_part(text, chr(10), 1))) >= 20 THEN trim(split_part(text, chr(10), 1)) ELSE trim(split_part(text, chr(10), 1)) || ' ' || trim(left(text, 500)) END""") + """ AS normalized FROM documents)
+        CASE WHEN length(trim(split_part(text, chr(10), 1))) >= 20 THEN trim(split_part(text, chr(10), 1)) ELSE trim(split_part(text, chr(10), 1)) || ' ' || trim(text) END""") + """ AS normalized FROM documents)
     SELECT array_to_string(array_slice(string_split(normalized, ' '), 1, 5), ' ') AS signature, count(*) AS documents, min(doc_id) AS first_doc FROM t GROUP BY 1""")
 def title_signature_blocks(spark, folder):
     title = F.expr("split_part(text, '\n', 1)")
     docs = Roles(spark, folder).table("documents", "doc_id", "text")
-    normalized = text.normalize_title(text.comparison_text(title, F.left("text", F.lit(500))))
+    normalized = text.normalize_title(text.comparison_text(title, F.col("text")))
     blocks = docs.select("doc_id", text.title_signature(normalized).alias("signature"))
     return blocks.groupBy("signature").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
@@ -303,16 +303,16 @@ def _payloads(spark, folder):
     stamp = F.expr("case when doc_id % 7 = 0 then null when doc_id % 7 = 1 then 'soon' else date_format(timestamp'2024-01-31 00:00:00' - make_dt_interval(cast(doc_id % 10 as int)), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") end")
     link = F.expr("case when doc_id % 17 <> 3 then 'https://' || source || '.dk/' || doc_id end")
     article = F.struct(
-        F.expr("case when doc_id % 19 <> 4 then left(text, 40) end").alias("title"), link.alias("url"),
-        F.expr("substr(text, 41, 60)").alias("description"), stamp.alias("publishedAt"), F.col("doc_id").alias("k"),
+        F.expr("case when doc_id % 19 <> 4 then split_part(text, '\n', 1) end").alias("title"), link.alias("url"),
+        F.col("text").alias("description"), stamp.alias("publishedAt"), F.col("doc_id").alias("k"),
     )
     packed = docs.groupBy(F.floor(F.col("doc_id") / 3).alias("payload_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", article.alias("a")))).alias("_a"))
     return packed.select("payload_id", F.to_json(F.struct(F.transform("_a", lambda x: x["a"]).alias("articles"))).alias("payload"))
 
 
 _NEWS_SQL = """
-    WITH a AS (SELECT doc_id // 3 AS payload_id, coalesce(CASE WHEN doc_id % 19 <> 4 THEN left(text, 40) END, 'Uden titel') AS title,
-        'https://' || source || '.dk/' || doc_id AS link, substr(text, 41, 60) AS content_teaser,
+    WITH a AS (SELECT doc_id // 3 AS payload_id, coalesce(CASE WHEN doc_id % 19 <> 4 THEN split_part(text, chr(10), 1) END, 'Uden titel') AS title,
+        'https://' || source || '.dk/' || doc_id AS link, text AS content_teaser,
         CASE WHEN doc_id % 7 = 0 THEN 'missing_date' WHEN doc_id % 7 = 1 THEN 'unparseable_date' WHEN doc_id % 10 > 5 THEN 'before_cutoff' ELSE 'kept' END AS outcome
         FROM documents WHERE doc_id % 17 <> 3)
 """
@@ -336,7 +336,7 @@ def skip_reason_counters(spark, folder):
 
 
 @query("search_payload_scan", """
-    SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 30) ELSE 'No title' END AS title, 'https://' || source || '.dk/' || doc_id AS link,
+    SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN split_part(text, chr(10), 1) ELSE 'No title' END AS title, 'https://' || source || '.dk/' || doc_id AS link,
            CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN 'plain ' || source WHEN 2 THEN 'Google News' ELSE 'Google' END AS platform,
            CASE WHEN doc_id % 5 = 0 THEN '2024-01-31 00:00:00' ELSE '2024-01-2' || (doc_id % 5) || ' 00:00:00' END AS published_at, doc_id % 5 = 0 AS date_imputed
     FROM documents WHERE doc_id % 6 <> 5""")
@@ -346,7 +346,7 @@ def search_payload_scan(spark, folder):
     source = F.expr("""case doc_id % 4 when 0 then to_json(named_struct('name', source)) when 1 then 'plain ' || source end""")
     stamp = F.expr("case when doc_id % 5 = 0 then null else '2024-01-2' || (doc_id % 5) end")
     result = F.struct(
-        F.expr("case when doc_id % 2 = 0 then left(text, 30) end").alias("title"),
+        F.expr("case when doc_id % 2 = 0 then split_part(text, '\n', 1) end").alias("title"),
         F.expr("'https://' || source || '.dk/' || doc_id").alias("link"),
         F.when(F.col("doc_id") % 2 == 0, stamp).alias("iso_date"), F.when(F.col("doc_id") % 2 == 1, stamp).alias("date"),
         source.alias("source"),

@@ -365,7 +365,7 @@ def stream_unique_stories(spark, folder):
     from newsloom.session import shared_folder
 
     r, out, parts = Roles(spark, folder), shared_folder(spark), 5
-    rows = r.whole.select("mention_id", "seq", "brand_id", "title", "content_teaser", "link", "platform", "published_at")
+    rows = r.raw.select("mention_id", "seq", "brand_id", "title", "content_teaser", "link", "platform", "published_at")
     last = rows.agg(F.max("seq")).first()[0] or 0
     rows = rows.withColumn("part", F.least(F.floor(F.col("seq") * parts / (last + 1)), F.lit(parts - 1)))
     rows = rows.withColumn("seen_at", F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(hours=F.col("part").cast("int")))

@@ -174,11 +174,7 @@ def taxonomy_flat(spark, folder):
     GROUP BY 1""")
 def taxonomy_tree_counts(spark, folder):
     r = Roles(spark, folder)
-    tree = joins.taxonomy_tree(r.brands.select("id"), r.taxonomy_topics.select("id", "brand_id", "name"), r.topic_keywords, r.keywords)
-    sizes = F.transform("topics", lambda t: F.greatest(F.size(F.coalesce(t["keywords"], F.array())), F.lit(0)))
-    total = F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    return tree.select("id", zero(F.greatest(F.size("topics"), F.lit(0))).alias("topics"), zero(total).alias("keywords"))
+    return joins.taxonomy_counts(r.brands.select("id"), r.taxonomy_topics.select("id", "brand_id", "name"), r.topic_keywords, r.keywords)
 
 
 @query("user_keyword_texts", sql_with("brands", "taxonomy_topics", "topic_keywords", "keywords") + """
@@ -336,7 +332,7 @@ def get_or_create_platforms(spark, folder):
 
 @query("jobs_with_sites", """
     WITH j AS (SELECT s_suppkey AS id, s_nationkey AS brand_id FROM supplier),
-    js AS (SELECT DISTINCT l_suppkey AS job, l_partkey AS site, l_partkey % 3 = 0 AS is_active FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
+    js AS (SELECT DISTINCT l_suppkey AS job, l_partkey AS site, l_partkey % 3 = 0 AS is_active FROM lineitem),
     s AS (SELECT p_partkey AS id, p_name AS name, p_type AS category FROM part)
     SELECT j.id, n.n_name AS brand_name, count(s.id) AS active_sites, coalesce(min(s.id), -1) AS first_site,
            coalesce(arg_min(s.name, s.id), '') AS first_name
@@ -347,25 +343,23 @@ def jobs_with_sites(spark, folder):
     jobs = r.table("supplier", "s_suppkey", "s_nationkey").selectExpr("s_suppkey as id", "cast(s_nationkey as bigint) as topic_id")
     topics = r.brands.selectExpr("id", "name", "id as brand_id")
     sites = r.table("part", "p_partkey", "p_name", "p_type").selectExpr("p_partkey as id", "p_name as name", "p_type as category")
-    used = r.table("lineitem", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus").filter("l_returnflag = 'R' and l_linestatus = 'F'")
+    used = r.table("lineitem", "l_suppkey", "l_partkey")
     job_sites = used.selectExpr("l_suppkey as scraping_job_id", "l_partkey as scrapable_site_id", "l_partkey % 3 = 0 as is_active").distinct()
-    packed = joins.jobs_with_sites(jobs, topics, r.brands.select("id", "name"), job_sites, sites)
-    listed = F.from_json("active_sites", "array<struct<id:bigint,name:string,category:string>>")
-    return packed.withColumn("_s", listed).select(
-        "id", "brand_name", F.when(F.col("_s").isNull(), 0).otherwise(F.size("_s")).cast("long").alias("active_sites"),
-        F.coalesce(F.get("_s", F.lit(0))["id"], F.lit(-1)).alias("first_site"),
-        F.coalesce(F.get("_s", F.lit(0))["name"], F.lit("")).alias("first_name"),
+    rows = joins.job_site_rows(jobs, topics, r.brands.select("id", "name"), job_sites, sites)
+    return rows.groupBy("id", "brand_name").agg(
+        F.count("site_id").alias("active_sites"), F.coalesce(F.min("site_id"), F.lit(-1)).alias("first_site"),
+        F.coalesce(F.min_by("site_name", "site_id"), F.lit("")).alias("first_name"),
     )
 
 
 @query("site_usage", """
     SELECT p_partkey AS id, p_name AS name, count(l_suppkey) AS job_usage_count,
            count(*) FILTER (WHERE l_linestatus = 'O') AS active_job_count
-    FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'R' WHERE p_size > 10 GROUP BY ALL""")
+    FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_size > 10 GROUP BY ALL""")
 def site_usage(spark, folder):
     r = Roles(spark, folder)
     sites = r.table("part", "p_partkey", "p_name", "p_size").selectExpr("p_partkey as id", "p_name as name", "p_size > 10 as is_active")
-    used = r.table("lineitem", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag").filter("l_returnflag = 'R'")
+    used = r.table("lineitem", "l_partkey", "l_suppkey", "l_linestatus")
     links = used.selectExpr("l_partkey as scrapable_site_id", "l_suppkey as scraping_job_id", "l_linestatus = 'O' as is_active")
     return joins.site_usage(sites, links).drop("is_active")
 

@@ -115,7 +115,7 @@ _LANG_SQL = r"""
     g AS (SELECT language, n, '_' || word || '_' AS p, unnest(range(1, length(word) + 1)) AS i FROM words),
     t AS (SELECT language, substr(p, i, 3) AS gram, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY ALL),
     prof AS (SELECT language, gram, 301 - rn AS weight FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY n DESC, gram) AS rn FROM t) WHERE rn <= 300),
-    title AS (SELECT doc_id, trim(left(split_part(text, chr(10), 1), 120)) AS title, lang FROM documents),
+    title AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS title, lang FROM documents),
     tw AS (SELECT doc_id, '_' || word || '_' AS p, unnest(range(1, length(word) + 1)) AS i FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(title), '[^\p{L}]+')) AS word FROM title WHERE length(title) >= 15) WHERE word <> ''),
     sc AS (SELECT doc_id, language, CAST(sum(weight) AS BIGINT) AS score FROM (SELECT doc_id, substr(p, i, 3) AS gram FROM tw) x JOIN prof ON prof.gram = x.gram GROUP BY ALL),
     det AS (SELECT doc_id, language AS detected FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) AS rn FROM sc) WHERE rn = 1)
@@ -123,7 +123,7 @@ _LANG_SQL = r"""
 
 
 def _titled(spark, folder):
-    return Roles(spark, folder).table("documents", "doc_id", "text", "lang").selectExpr("doc_id", "left(split_part(text, '\n', 1), 120) as title", "lang")
+    return Roles(spark, folder).table("documents", "doc_id", "text", "lang").selectExpr("doc_id", "split_part(text, '\n', 1) as title", "lang")
 
 
 def _profiles(spark, folder):
@@ -159,7 +159,7 @@ def last_row_per_key(spark, folder):
 
 @query("near_dedup")
 def near_dedup(spark, folder):
-    kept = dedup.near_dedup(Roles(spark, folder).whole, ["brand_id"])
+    kept = dedup.near_dedup(Roles(spark, folder).raw, ["brand_id"])
     return kept.select("mention_id", "title", "platform")
 
 
@@ -169,8 +169,8 @@ def historical_anti_join(spark, folder):
     together with the benchmark passages."""
     r = Roles(spark, folder)
     stored = F.coalesce(F.col("published_at") < F.lit("2024-01-29").cast("timestamp"), F.lit(False))
-    new = r.whole.filter(~stored)
-    old = r.whole.filter(stored).withColumn("created_at", F.lit("2024-01-30").cast("timestamp"))
+    new = r.raw.filter(~stored)
+    old = r.raw.filter(stored).withColumn("created_at", F.lit("2024-01-30").cast("timestamp"))
     passages = r.table("benchmark").selectExpr(
         "item_id as mention_id", "1000000000 + item_id as seq", "cast(1 as bigint) as brand_id", "split_part(text, '\n', 1) as title",
         "text as content_teaser", "'https://news.google.com/' || item_id as link", "'Unknown' as platform",
@@ -217,7 +217,8 @@ def noisy_domains(spark, folder):
 _UNION_SQL = """
     SELECT source_provider, source_label, count(*) AS mentions FROM (
         SELECT 'gnews' AS source_provider, CASE WHEN doc_id % 3 = 0 THEN 'special' ELSE 'gnews' END AS source_label FROM documents WHERE doc_id % 4 = 0
-        UNION ALL SELECT 'rss', 'rss' FROM documents WHERE doc_id % 4 = 1 UNION ALL SELECT 'serpapi', 'serpapi' FROM documents WHERE doc_id % 4 = 2) GROUP BY 1, 2
+        UNION ALL SELECT 'rss', 'rss' FROM documents WHERE doc_id % 4 = 1 UNION ALL SELECT 'serpapi', 'serpapi' FROM documents WHERE doc_id % 4 = 2
+        UNION ALL SELECT 'configurable', 'configurable' FROM documents WHERE doc_id % 4 = 3) GROUP BY 1, 2
 """
 
 
@@ -226,7 +227,7 @@ def provider_union(spark, folder):
     raw = Roles(spark, folder).raw
     part = lambda i: raw.filter(F.col("mention_id") % 4 == i)
     labelled = part(0).withColumn("source_label", F.when(F.col("mention_id") % 3 == 0, F.lit("special")))
-    joined = ingest.union_providers({"gnews": labelled, "rss": part(1).drop("lang"), "serpapi": part(2), "configurable": None})
+    joined = ingest.union_providers({"gnews": labelled, "rss": part(1).drop("lang"), "serpapi": part(2), "configurable": part(3).drop("platform"), "failed": None})
     return joined.groupBy("source_provider", "source_label").agg(F.count("*").alias("mentions"))
 
 
@@ -265,7 +266,7 @@ def snapshot_summary(spark, folder):
 
 def _stages(spark, folder):
     r = Roles(spark, folder)
-    raw = r.whole.withColumn("published_raw", F.date_format("published_at", "yyyy-MM-dd"))
+    raw = r.raw.withColumn("published_raw", F.date_format("published_at", "yyyy-MM-dd"))
     verdicts = r.table("labels", "doc_id", "quality").select(F.col("doc_id").alias("mention_id"), (F.col("quality") == 1).alias("relevant"))
     allowed = F.array(F.lit("en"), F.lit("da"))
     cutoff = F.lit("2024-01-28").cast("timestamp")

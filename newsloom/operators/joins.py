@@ -69,6 +69,15 @@ def taxonomy_tree(brands: DataFrame, topics: DataFrame, links: DataFrame, keywor
     return brands.join(nested.withColumnRenamed("brand_id", "id"), "id", "left")
 
 
+def taxonomy_counts(brands: DataFrame, topics: DataFrame, links: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Topics and keywords of every brand, zero included: sizes of the tree without building it."""
+    words = topic_keywords(topics, links, keywords).groupBy("brand_id").agg(F.count("*").alias("keywords"))
+    named = topics.groupBy("brand_id").agg(F.count_distinct("id").alias("topics"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    joined = brands.select("id").join(named, brands["id"] == named["brand_id"], "left").drop("brand_id")
+    return joined.join(words, joined["id"] == words["brand_id"], "left").select("id", zero("topics"), zero("keywords"))
+
+
 def owned_by(df: DataFrame, brands: DataFrame, profile_id, admin: bool = False) -> DataFrame:
     """Rows of the user's own brands; an admin sees everything."""
     if admin:
@@ -112,17 +121,24 @@ def longest_suffix(df: DataFrame, host: str, configs: DataFrame) -> DataFrame:
     return df.join(best, df[host] == best["_host"], "left").drop("_host")
 
 
-def jobs_with_sites(jobs: DataFrame, topics: DataFrame, brands: DataFrame, job_sites: DataFrame, sites: DataFrame) -> DataFrame:
-    """Jobs with their active sites as JSON, null without any; the filter sits inside the join."""
+def job_site_rows(jobs: DataFrame, topics: DataFrame, brands: DataFrame, job_sites: DataFrame, sites: DataFrame) -> DataFrame:
+    """Jobs with topic and brand, a row per active site (site_id, site_name, category), one row of nulls without any."""
     chosen = job_sites.filter("is_active").join(
-        sites.select(F.col("id").alias("scrapable_site_id"), "name", "category"), "scrapable_site_id"
-    )
-    site = F.struct(F.col("scrapable_site_id").alias("id"), "name", "category")
-    packed = chosen.groupBy("scraping_job_id").agg(F.to_json(F.sort_array(F.collect_list(site))).alias("active_sites"))
+        sites.select(F.col("id").alias("scrapable_site_id"), F.col("name").alias("site_name"), "category"), "scrapable_site_id"
+    ).select("scraping_job_id", F.col("scrapable_site_id").alias("site_id"), "site_name", "category")
     owned = topics.select(F.col("id").alias("topic_id"), F.col("name").alias("topic_name"), "brand_id").join(
         brands.select(F.col("id").alias("brand_id"), F.col("name").alias("brand_name")), "brand_id"
     )
-    return jobs.join(owned, "topic_id").join(packed, jobs["id"] == packed["scraping_job_id"], "left").drop("scraping_job_id")
+    return jobs.join(owned, "topic_id").join(chosen, jobs["id"] == chosen["scraping_job_id"], "left").drop("scraping_job_id")
+
+
+def jobs_with_sites(jobs: DataFrame, topics: DataFrame, brands: DataFrame, job_sites: DataFrame, sites: DataFrame) -> DataFrame:
+    """Jobs with their active sites as JSON, null without any. For the jobs of one user: a job's sites become one value."""
+    rows = job_site_rows(jobs, topics, brands, job_sites, sites)
+    site = F.when(F.col("site_id").isNotNull(), F.struct(F.col("site_id").alias("id"), F.col("site_name").alias("name"), "category"))
+    kept = [c for c in rows.columns if c not in ("site_id", "site_name", "category")]
+    packed = rows.groupBy(*kept).agg(F.sort_array(F.collect_list(site)).alias("_sites"))
+    return packed.select(*kept, F.when(F.size("_sites") > 0, F.to_json("_sites")).alias("active_sites"))
 
 
 def site_usage(sites: DataFrame, job_sites: DataFrame) -> DataFrame:
