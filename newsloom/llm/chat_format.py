@@ -15,10 +15,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.llm.common import query, table
+from newsloom.operators.once import once
 from newsloom.session import cut_lineage
 
 START, SEPARATOR, END, NEWLINE = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|nl|>"
 SPANS = "array<struct<start:int,length:int>>"
+#: Elements of a run of an array.
+RUN = 256
+
+
+def _cut(array: str) -> Column:
+    """An array as runs of its elements, in order."""
+    starts = F.when(F.size(array) > 0, F.sequence(F.lit(1), F.size(array), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.slice(array, at, RUN))
 
 
 def escaped(text: Column) -> Column:
@@ -39,67 +48,48 @@ def chat_format(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     one value, so it must fit into one row, as its string does.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    collected = turns.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), role.alias("role"), text.alias("text")))).alias("turns")
-    )
-    numbers = F.sequence(F.lit(0), F.size("turns") - 1)
-    role_at = lambda i: F.get("turns", i)["role"]
-    first = F.filter(numbers, lambda i: (i == 0) | (role_at(i) != role_at(i - 1)))
-    merged = F.transform(
-        "firsts",
-        lambda at, k: F.struct(
-            role_at(at).alias("role"),
-            F.transform(
-                F.slice("turns", at + 1, F.coalesce(F.get("firsts", k + 1), F.size("turns")) - at), lambda t: escaped(t["text"])
-            ).alias("texts"),
-        ),
-    )
-    head = lambda b: F.concat(F.lit(START), F.replace(escaped(b["role"]), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
-    block = lambda b: F.concat(head(b), F.array_join(b["texts"], SEPARATOR), F.lit(END + "\n"))
-    strings = collected.select("conv_id", "turns", first.alias("firsts")).select("conv_id", merged.alias("blocks")).select(
-        "conv_id", "blocks", F.transform("blocks", block).alias("strings")
+    turn = F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), role.alias("role"), text.alias("text"))
+    collected = once(turns.groupBy("conv_id").agg(F.collect_list(turn).alias("turns")), turns=F.array_sort("turns"))
+    # Neighbouring turns of one role are one block: the first writes its head, the last its end, and separators stand between.
+    differs = lambda t, i: F.coalesce(F.get("turns", i)["role"] != t["role"], F.lit(True))
+    head = lambda t: F.concat(F.lit(START), F.replace(escaped(t["role"]), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
+    piece = lambda t, i: F.struct(
+        (t["role"] == trained_role).alias("trained"), F.when(differs(t, i - 1), head(t)).otherwise(F.lit("")).alias("head"),
+        escaped(t["text"]).alias("body"), F.when(differs(t, i + 1), F.lit(END + "\n")).otherwise(F.lit(SEPARATOR)).alias("tail"),
     )
-    # Where a block begins: sums of the lengths before it, then of the texts before each text in it.
-    begins = F.aggregate(
-        "strings", F.array(F.lit(1)), lambda at, s: F.concat(at, F.array(F.element_at(at, -1) + F.char_length(s)))
+    merged = once(collected, pieces=F.transform("turns", piece)).drop("turns")
+    # Where texts begin is a running sum, taken over runs of turns first: an array grows by copying, so it must stay short.
+    runs = once(merged, runs=_cut("pieces"))
+    length = lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + F.char_length(p["tail"])
+    step = lambda s, p: F.struct(
+        (s["next"] + length(p)).alias("next"),
+        F.when(p["trained"], F.concat(s["spans"], F.array(F.struct((s["next"] + F.char_length(p["head"])).alias("start"), F.char_length(p["body"]).alias("length")))))
+        .otherwise(s["spans"]).alias("spans"),
     )
-    spans = lambda b, at: F.aggregate(
-        b["texts"],
-        F.struct((at + F.char_length(head(b))).alias("next"), F.array().cast(SPANS).alias("spans")),
-        lambda s, t: F.struct(
-            (s["next"] + F.char_length(t) + len(SEPARATOR)).alias("next"),
-            F.concat(s["spans"], F.array(F.struct(s["next"].alias("start"), F.char_length(t).alias("length")))).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    placed = strings.withColumn("begins", begins)
-    mask = F.flatten(
-        F.transform(
-            "blocks",
-            lambda b, k: F.when(b["role"] == trained_role, spans(b, F.get("begins", k))).otherwise(
-                F.array().cast(SPANS)
-            ),
-        )
-    )
-    return placed.select("conv_id", F.array_join("strings", "").alias("formatted"), mask.alias("mask"))
+    inside = once(runs, spans=F.transform("runs", lambda r: F.aggregate(r, F.struct(F.lit(0).alias("next"), F.array().cast(SPANS).alias("spans")), step))).drop("runs")
+    begins = F.aggregate("spans", F.array(F.lit(1)), lambda at, r: F.concat(at, F.array(F.element_at(at, -1) + r["next"])))
+    placed = once(inside, begins=begins)
+    moved = lambda r, k: F.transform(r["spans"], lambda x: F.struct((x["start"] + F.get("begins", k)).alias("start"), x["length"].alias("length")))
+    strings = F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"]))
+    return placed.select("conv_id", F.array_join(strings, "").alias("formatted"), F.flatten(F.transform("spans", moved)).alias("mask"))
 
 
 def chat_read(formatted: DataFrame) -> DataFrame:
     """Read formatted conversations back: conv_id, formatted, turns (role, text), trained (texts under the mask)."""
     blocks = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda b: b != "")
     line = lambda b: F.instr(b, F.lit("\n"))
-    role = lambda b: F.substr(b, F.lit(len(START) + 1), line(b) - len(START) - 1)
-    read = lambda b: F.transform(
-        F.split(F.substr(b, line(b) + 1), r"<\|im_sep\|>"),
-        lambda t: F.struct(
-            unescaped(F.replace(role(b), F.lit(NEWLINE), F.lit("\n"))).alias("role"), unescaped(t).alias("text")
-        ),
-    )
-    return formatted.select(
-        "conv_id", "formatted",
-        F.flatten(F.transform(blocks, read)).alias("turns"),
-        F.transform("mask", lambda m: unescaped(F.substr("formatted", m["start"], m["length"]))).alias("trained"),
+    role = lambda b: unescaped(F.replace(F.substr(b, F.lit(len(START) + 1), line(b) - len(START) - 1), F.lit(NEWLINE), F.lit("\n")))
+    parted = F.transform(blocks, lambda b: F.struct(role(b).alias("role"), F.split(F.substr(b, line(b) + 1), r"<\|im_sep\|>").alias("texts")))
+    read = lambda b: F.transform(b["texts"], lambda t: F.struct(b["role"].alias("role"), unescaped(t).alias("text")))
+    # A place in a string is found by counting from its start, so the part of a run of spans is cut out first.
+    first, last = lambda r: F.element_at(r, 1), lambda r: F.element_at(r, -1)
+    part = lambda r: F.substr("formatted", first(r)["start"], last(r)["start"] + last(r)["length"] - first(r)["start"])
+    cut = once(formatted.select("conv_id", "formatted", "mask"), parted=parted, runs=_cut("mask"))
+    cut = once(cut, runs=F.transform("runs", lambda r: F.struct(r.alias("spans"), part(r).alias("part"))))
+    trained = lambda r: F.transform(
+        r["spans"], lambda m: unescaped(F.substr(r["part"], m["start"] - first(r["spans"])["start"] + 1, m["length"]))
     )
+    return cut.select("conv_id", "formatted", F.flatten(F.transform("parted", read)).alias("turns"), F.flatten(F.transform("runs", trained)).alias("trained"))
 
 
 #: A conversation whose texts hold the template's own marks.

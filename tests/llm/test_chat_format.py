@@ -22,3 +22,19 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert chat_read(chat_format(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_long_conversations(spark):
+    """Tens of thousands of turns in seconds, in many blocks and in one, with the texts found again under the mask."""
+    import time
+
+    turns = spark.range(20_000).selectExpr(
+        "1L as conv_id", "id as turn", "if(id % 3 = 0, 'user', 'assistant') as role", "concat('text <| é ', id) as text", "'t' as turns", "1 as mask"
+    )
+    one = spark.range(20_000).selectExpr("2L as conv_id", "id as turn", "'assistant' as role", "concat('t', id) as text", "'t' as turns", "1 as mask")
+    start = time.perf_counter()
+    got = {r.conv_id: r for r in chat_read(chat_format(turns.unionByName(one))).selectExpr("conv_id", "size(turns) as n", "trained").collect()}
+    assert time.perf_counter() - start < 60
+    assert got[1].n == got[2].n == 20_000
+    assert list(got[1].trained) == [f"text <| é {i}" for i in range(20_000) if i % 3]
+    assert list(got[2].trained) == [f"t{i}" for i in range(20_000)]
