@@ -14,7 +14,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -88,10 +88,11 @@ class Shard:
 
 
 @functools.lru_cache(2)
-def _coder(path: str) -> tuple[RunCoder, int]:
+def _coder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
+    """Encodes texts to ids as bytes, as the library does; and the bits of an id."""
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
+    marks = re.compile("|".join(map(re.escape, added))) if added else None
     newline = tokenizer.encode("\n", add_special_tokens=False).ids
 
     def encode_runs(runs: list[str]) -> list[bytes]:
@@ -110,7 +111,17 @@ def _coder(path: str) -> tuple[RunCoder, int]:
             result[i] = ids.tobytes()
         return result
 
-    return RunCoder(encode_runs), max(1, (tokenizer.get_vocab_size() - 1).bit_length())
+    coder = RunCoder(encode_runs)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        # A text that holds a token the library finds before all others is encoded whole; no run of another text holds one.
+        whole = {i: text for i, text in enumerate(texts) if marks and marks.search(text)}
+        coded = coder.encode(["" if i in whole else text for i, text in enumerate(texts)])
+        for i, text in whole.items():
+            coded[i] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return coded
+
+    return encode, max(1, (tokenizer.get_vocab_size() - 1).bit_length())
 
 
 SHARDS = "sequence bigint, n_ids bigint, shard binary"
@@ -120,11 +131,11 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> None:
     """Write the token ids of ``docs`` (doc_id, text; other columns are ignored) to ``folder`` as shards.
 
     Documents are in ascending order of doc_id, nulls first, equal ids by text; ``end_id`` follows each. A null
-    text counts as empty, so it has the end id only. Special tokens are ordinary text. An empty table writes no shard.
+    text counts as empty, so it has the end id only. The tokenizer's own special tokens in a text are those tokens, as the library has it. An empty table writes no shard.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, bits = _coder(path)
+        encode, bits = _coder(path)
         end, number, names, held, count = np.array([end_id], np.uint32), 0, [], [], 0
         here = TaskContext.get().partitionId()
 
@@ -135,7 +146,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> None:
         for batch in batches:
             for start, texts in steps(batch.column(1)):
                 doc_ids = batch.column(0).slice(start, len(texts)).to_pylist()
-                for doc_id, ids in zip(doc_ids, runs.encode(texts)):
+                for doc_id, ids in zip(doc_ids, encode(texts)):
                     ids = np.concatenate([np.frombuffer(ids, "<u4"), end])
                     if names and count + len(ids) > SHARD_IDS:
                         yield shard()

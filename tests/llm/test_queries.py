@@ -44,7 +44,6 @@ def test_byte_bpe(spark, documents):
 
 def test_token_output(spark, documents):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got, start = {r.doc_id: r for r in catalog.queries()["op9_token_output"](spark, FOLDER).collect()}, 0
     for doc_id, text, _ in documents:
         ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")

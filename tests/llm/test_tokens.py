@@ -30,11 +30,11 @@ def test_bpe_is_the_library(spark):
 
 
 def test_tokenizer_runs(spark):
-    runs, _ = T._coder(public_tokenizers.path("byte_bpe_50k.json"))
+    encode, _ = T._coder(public_tokenizers.path("byte_bpe_50k.json"))
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    for text in texts(4000):
-        assert np.frombuffer(runs.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in [*texts(4000), "hello <|endoftext|> x", "a<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext| >"]:
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert np.frombuffer(encode(["hello <|endoftext|> x"])[0], "<u4").tolist() == [31373, 220, 50256, 2124]
 
 
 def test_forgetting_keeps_ids_right():
