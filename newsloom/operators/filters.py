@@ -66,9 +66,10 @@ def no_keywords(keywords) -> Column:
     return F.coalesce(F.size(text.clean_keywords(keywords)), F.lit(0)) <= 0
 
 
-def feed_item_matches(title: str, summary: str, keywords) -> Column:
-    """Any keyword in the first 400 characters of title or summary; items without text pass, and without keywords all."""
-    head = lambda c: F.left(F.coalesce(F.col(c), F.lit("")), F.lit(400))
+def feed_item_matches(title: str, summary: str, keywords, most: int | None = None) -> Column:
+    """Any keyword in title or summary, or in the first ``most`` characters of each; items without text pass, and without keywords all."""
+    whole = lambda c: F.coalesce(F.col(c), F.lit(""))
+    head = lambda c: whole(c) if most is None else F.left(whole(c), F.lit(most))
     joined = F.trim(F.concat_ws(" ", head(title), head(summary)))
     return (joined == "") | no_keywords(keywords) | text.contains_any(joined, keywords)
 
