@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from newsloom.llm.common import bounded_batches, query, release, table
@@ -173,8 +174,8 @@ def survivors(docs: DataFrame, prints: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 26
 
 
-def _texts_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """doc_id, text of the documents in ``kept`` and of a few others, by a bitmap over hashed ids."""
+def _texts_of(docs: DataFrame, kept: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """doc_id, text of the documents in ``kept`` and of a few others, by a bitmap over hashed ids, which is to be destroyed after use."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     bits = kept.select(F.shiftright(bit, 15).alias("page"), F.bitmap_bit_position(bit.bitwiseAND(F.lit(32767)) + 1).alias("at"))
     pages = bits.groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
@@ -189,7 +190,7 @@ def _texts_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
         number = at.to_numpy(zero_copy_only=False)
         return pa.array(held.value[number >> 3] >> (number & 7) & 1 == 1)
 
-    return docs.select("doc_id", "text").filter(maybe(bit))
+    return docs.select("doc_id", "text").filter(maybe(bit)), held
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,12 +326,14 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def jaccard_links(docs: DataFrame, prints: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """a, b: links between distinct sets, enough of them to connect all that are connected."""
     kept = cut_lineage(survivors(docs, prints))
-    texts = _texts_of(docs, kept).join(kept, "doc_id").select("text", "a", "n")
+    some, bitmap = _texts_of(docs, kept)
+    texts = some.join(kept, "doc_id").select("text", "a", "n")
     sets = cut_lineage(
         texts.select("text", "a").mapInArrow(_whole_sets, "made bigint, a bigint, keys array<bigint>")
         .filter("made = a").dropDuplicates(["a"])  # a repeated row is one set
         .select("a", F.size("keys").cast("bigint").alias("n"), "keys")
     )
+    bitmap.destroy()
     found = cut_lineage(alive(sets))
     rows = searches(found, clustered(found), block_shingles)
     ordered = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
