@@ -320,13 +320,15 @@ def stream_sliding_rates(spark, folder):
 
 
 @query("stream_unique_links", """
-    SELECT min(event_id) >= 0 AS seen, user_id % 25 AS brand_id, 'https://x.dk/' || user_id AS norm_url, count(*) > 0 AS kept FROM events GROUP BY 2, 3""")
+    SELECT user_id % 25 AS brand_id, 'https://x.dk/' || user_id AS norm_url, CAST(1 AS BIGINT) AS kept, count(*) AS landed FROM events GROUP BY 1, 2""")
 def stream_unique_links(spark, folder):
     links = _events_stream(spark, folder).selectExpr(
         "user_id % 25 as brand_id", "'https://www.x.dk/' || user_id || '/?e=' || event_id as link", "ts as published_at", "event_id"
     )
     kept = _drain(stream_ingest.unique_links(links, "40 days").select("brand_id", "norm_url", "event_id"), spark)
-    return kept.groupBy("brand_id", "norm_url").agg((F.min("event_id") >= 0).alias("seen"), (F.count("*") == 1).alias("kept"))
+    # Every user's link lands many times, each time with another query string; one row of each is kept.
+    landed = Roles(spark, folder).table("events", "user_id").groupBy((F.col("user_id") % 25).alias("brand_id"), F.concat(F.lit("https://x.dk/"), "user_id").alias("norm_url")).agg(F.count("*").alias("landed"))
+    return kept.groupBy("brand_id", "norm_url").agg(F.count("*").alias("kept")).join(landed, ["brand_id", "norm_url"])
 
 
 @query("stream_circuit_breaker", """
@@ -379,3 +381,26 @@ def stream_unique_stories(spark, folder):
     kept = spark.read.schema(stories.schema).parquet(f"{out}/rows").select("seq")
     untitled = rows.filter(text.normalize_title(text.comparison_text("title", "content_teaser")) == "").select("seq")
     return rows.join(kept.unionByName(untitled), "seq", "left_semi").select("mention_id", "title", "platform")
+
+
+@query("stream_drop_reasons", sql_with("brands") + """
+    , m AS (SELECT user_id % 30 AS brand_id, CASE WHEN event_id % 11 <> 0 THEN ts END AS published_at FROM events),
+    x AS (SELECT CASE WHEN b.id IS NULL THEN 'unknown_brand' WHEN published_at IS NULL THEN 'missing_date'
+                      WHEN published_at < coalesce(b.last_scraped_at, TIMESTAMP '2024-01-31' - to_days(CAST(b.initial_lookback_days AS INTEGER))) THEN 'before_cutoff' ELSE 'kept' END AS reason
+          FROM m LEFT JOIN brands b ON b.id = m.brand_id)
+    SELECT n.reason, count(x.reason) AS mentions FROM (VALUES ('unknown_brand'), ('missing_date'), ('before_cutoff'), ('kept')) n(reason) LEFT JOIN x ON x.reason = n.reason GROUP BY 1""")
+def stream_drop_reasons(spark, folder):
+    """Rows a stream dropped, by reason, from the counts it observed on its way; the kept ones from what it wrote."""
+    from newsloom.session import shared_folder
+
+    out = shared_folder(spark)
+    mentions = _events_stream(spark, folder).selectExpr("user_id % 30 as brand_id", "if(event_id % 11 <> 0, ts, null) as published_at", "event_id")
+    marks = stream_ingest.start_marks(Roles(spark, folder).brands, F.lit(AS_OF).cast("timestamp"))
+    kept = stream_ingest.since_marks_observed(mentions, marks)
+    sink = kept.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).format("parquet").option("path", f"{out}/rows")
+    running = sink.start()
+    running.awaitTermination()
+    counts = stream_ingest.dropped_rows(running)
+    written = spark.read.schema(kept.schema).parquet(f"{out}/rows").agg(F.lit("kept").alias("reason"), F.count("*").alias("mentions"))
+    found = [(reason, counts[reason]) for reason in stream_ingest.SINCE_REASONS]
+    return spark.createDataFrame(found, "reason string, mentions bigint").unionByName(written)

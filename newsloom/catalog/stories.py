@@ -271,18 +271,32 @@ def _stages(spark, folder):
     allowed = F.array(F.lit("en"), F.lit("da"))
     cutoff = F.lit("2024-01-28").cast("timestamp")
     profiles = cut_lineage(_profiles(spark, folder))
-    return raw, ingest.filter_mentions(raw, cutoff, ["brand_id"], profiles, allowed, verdicts)
+    return ingest.filter_mentions(raw, cutoff, ["brand_id"], profiles, allowed, verdicts)
 
 
 @query("ingest_stage_counts")
 def ingest_stage_counts(spark, folder):
-    raw, stages = _stages(spark, folder)
-    return ingest.stage_removals(stages, raw)
+    return ingest.stage_removals(_stages(spark, folder))
+
+
+@query("ingest_drop_reasons", sql_with("raw") + r"""
+    , x AS (SELECT seq, CASE WHEN mention_id % 7 <> 3 THEN rtrim(link, '/') END AS url,
+                   CASE WHEN mention_id % 17 = 0 THEN 'unparseable_date' WHEN published_at IS NULL THEN 'missing_date' WHEN published_at < TIMESTAMP '2024-01-29' THEN 'before_cutoff' END AS reason FROM raw),
+    d AS (SELECT reason, count(*) AS rows FROM x WHERE reason IS NOT NULL GROUP BY 1)
+    SELECT n.reason, coalesce(d.rows, 0) AS rows FROM (VALUES ('missing_date'), ('unparseable_date'), ('before_cutoff')) n(reason) LEFT JOIN d ON d.reason = n.reason
+    UNION ALL SELECT 'missing_link', count(*) FILTER (WHERE url IS NULL) FROM x WHERE reason IS NULL
+    UNION ALL SELECT 'url_duplicate', count(url) - count(DISTINCT url) FROM x WHERE reason IS NULL""")
+def ingest_drop_reasons(spark, folder):
+    """Why rows went before the fuzzy stages, counted while the flow ran; some have no link, some no readable date."""
+    raw = Roles(spark, folder).raw.withColumn("link", F.when(F.col("mention_id") % 7 != 3, F.col("link")))
+    shown = F.when(F.col("mention_id") % 17 == 0, F.lit("once upon a time")).otherwise(F.date_format("published_at", "yyyy-MM-dd"))
+    dated = raw.withColumns({"published_raw": shown, "published_at": F.when(F.col("mention_id") % 17 != 0, F.col("published_at"))})
+    return ingest.drop_reasons(ingest.filter_mentions(dated, F.lit("2024-01-29").cast("timestamp"), ["brand_id"]))
 
 
 @query("ingest_rows_to_store")
 def ingest_rows_to_store(spark, folder):
-    _, stages = _stages(spark, folder)
+    stages = _stages(spark, folder)
     platforms = Roles(spark, folder).table("documents", "source").distinct().select(F.xxhash64("source").alias("id"), F.col("source").alias("name"))
     mentions, _, _ = ingest.rows_to_store(stages.new, _keywords(spark, folder), platforms)
     return mentions.select("seq", "caption", "post_link", "topic_id", "primary_keyword_id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from newsloom import settings
 from newsloom.functions import url
@@ -13,6 +14,9 @@ from newsloom.session import cut_lineage
 from newsloom.sinks import tables
 
 
+DATE_REASONS = ("missing_date", "unparseable_date", "before_cutoff")
+
+
 def union_providers(outputs: dict[str, DataFrame | None]) -> DataFrame:
     """Provider outputs under one schema with provenance; a failed provider (None) adds nothing."""
     frames = []
@@ -34,7 +38,7 @@ def union_providers(outputs: dict[str, DataFrame | None]) -> DataFrame:
 
 @dataclass
 class Stages:
-    """Rows left after every stage; counts are up to the caller (one aggregation per stage)."""
+    """Rows left after every stage, each but the first stored, and what was counted while they were computed."""
 
     dated: DataFrame
     unique_url: DataFrame
@@ -42,9 +46,7 @@ class Stages:
     in_language: DataFrame
     relevant: DataFrame
     new: DataFrame
-
-    def named(self) -> dict[str, DataFrame]:
-        return dict(vars(self))
+    counts: dict[str, Observation]
 
 
 def filter_mentions(
@@ -56,33 +58,51 @@ def filter_mentions(
     verdicts: DataFrame | None = None,
     history: DataFrame | None = None,
 ) -> Stages:
-    """Strict date filter, URL dedup, near dedup, language, relevance and history, in that order."""
+    """Strict date filter, URL dedup, near dedup, language, relevance and history, in that order.
+
+    Rows and reasons are counted in the same pass that computes a stage (observed metrics); no stage runs again to be counted.
+    """
+    counts = {name: Observation(f"{name}_{uuid.uuid4().hex}") for name in ("raw", "dated", "unique_url", "unique_story", "in_language", "relevant", "new")}
+    rows = F.count(F.lit(1)).alias("rows")
+
+    def counted(df: DataFrame, name: str, *more: Column) -> DataFrame:
+        return df.observe(counts[name], rows, *more)
+
     reason = filters.strict_date_reason("published_raw", "published_at", cutoff)
-    dated = raw.filter(reason.isNull())
-    # Both dedup stages are read several times below, so each is computed and stored once.
-    unique_url = cut_lineage(dedup.url_dedup(dated, scope))
-    unique_story = cut_lineage(dedup.near_dedup(unique_url, scope))
+    reasons = [F.count_if(F.coalesce(reason == r, F.lit(False))).alias(r) for r in DATE_REASONS]
+    dated = counted(counted(raw, "raw", *reasons).filter(reason.isNull()), "dated", F.count_if(F.coalesce("link", F.lit("")) == "").alias("missing_link"))
+    # The later stages are read more than once, so each is computed and stored once.
+    unique_url = cut_lineage(counted(dedup.url_dedup(dated, scope), "unique_url"))
+    unique_story = cut_lineage(counted(dedup.near_dedup(unique_url, scope), "unique_story"))
     in_language = unique_story
     if profiles is not None:
         in_language = language.filter_by_language(unique_story, "mention_id", "title", profiles, languages).drop("detected")
+    in_language = cut_lineage(counted(in_language, "in_language"))
     relevant = in_language
     if verdicts is not None:
         relevant = filters.keep_relevant(in_language, verdicts, "mention_id", "relevant")
+    relevant = cut_lineage(counted(relevant, "relevant"))
     new = relevant
     if history is not None:
         new = dedup.without_historical(relevant, history, scope)
-    return Stages(dated, unique_url, unique_story, in_language, relevant, new)
-
-
-def stage_removals(stages: Stages, raw: DataFrame) -> DataFrame:
-    """Rows each stage removed (url, fuzzy, language, relevance, historical), as one row per stage."""
-    order = [("raw", raw), *stages.named().items()]
-    counts = None
-    for position, (name, df) in enumerate(order):
-        one = df.agg(F.count("*").alias("rows_out")).select(F.lit(position).alias("position"), F.lit(name).alias("stage"), "rows_out")
-        counts = one if counts is None else counts.unionByName(one)
-    previous = counts.select((F.col("position") + 1).alias("position"), F.col("rows_out").alias("rows_in"))
-    return counts.join(previous, "position").select("stage", "rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("removed"))
+    new = cut_lineage(counted(new, "new"))
+    return Stages(dated, unique_url, unique_story, in_language, relevant, new, counts)
+
+
+def stage_removals(stages: Stages) -> DataFrame:
+    """A row per stage: stage, rows_in, rows_out, removed. Rows without a link are a stage of their own (linked), apart from URL duplicates."""
+    rows = {name: seen.get["rows"] for name, seen in stages.counts.items()}
+    rows["linked"] = rows["dated"] - stages.counts["dated"].get["missing_link"]
+    order = ["raw", "dated", "linked", "unique_url", "unique_story", "in_language", "relevant", "new"]
+    found = [(name, rows[before], rows[name], rows[before] - rows[name]) for before, name in zip(order, order[1:])]
+    return stages.new.sparkSession.createDataFrame(found, "stage string, rows_in bigint, rows_out bigint, removed bigint")
+
+
+def drop_reasons(stages: Stages) -> DataFrame:
+    """reason, rows: why the first filters dropped rows, and how many went as duplicates of a URL."""
+    raw, dated, unique = (stages.counts[name].get for name in ("raw", "dated", "unique_url"))
+    found = [(r, raw[r]) for r in DATE_REASONS] + [("missing_link", dated["missing_link"]), ("url_duplicate", dated["rows"] - dated["missing_link"] - unique["rows"])]
+    return stages.new.sparkSession.createDataFrame(found, "reason string, rows bigint")
 
 
 def rows_to_store(mentions: DataFrame, keywords: DataFrame, platforms: DataFrame, min_matches: int = settings.MIN_KEYWORD_MATCHES) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from newsloom import settings
 from newsloom.functions import url
@@ -41,6 +41,51 @@ def since_marks(mentions: DataFrame, marks: DataFrame) -> DataFrame:
     return mentions.join(marks, "brand_id").filter(F.col("published_at") >= F.col("cutoff")).drop("cutoff")
 
 
+SINCE_REASONS = ("unknown_brand", "missing_date", "before_cutoff")
+
+
+def since_marks_observed(mentions: DataFrame, marks: DataFrame, name: str = "since_marks") -> DataFrame:
+    """``since_marks`` that counts, in the same pass, the rows seen and the rows dropped for each of ``SINCE_REASONS``.
+
+    The counts are observed metrics called ``name``: a stream reports them with every micro-batch (``dropped_rows``).
+    """
+    judged = mentions.join(marks, "brand_id", "left")
+    reason = (
+        F.when(F.col("cutoff").isNull(), F.lit("unknown_brand"))
+        .when(F.col("published_at").isNull(), F.lit("missing_date"))
+        .when(F.col("published_at") < F.col("cutoff"), F.lit("before_cutoff"))
+    )
+    counts = [F.count_if(F.coalesce(reason == r, F.lit(False))).alias(r) for r in SINCE_REASONS]
+    return judged.observe(name, F.count(F.lit(1)).alias("rows"), *counts).filter(reason.isNull()).drop("cutoff")
+
+
+class DroppedRows(StreamingQueryListener):
+    """Adds up the observed counts ``name`` of all micro-batches of the streams of a session (``spark.streams.addListener``)."""
+
+    def __init__(self, name: str = "since_marks"):
+        self.name, self.totals = name, dict.fromkeys(("rows", *SINCE_REASONS), 0)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if (seen := event.progress.observedMetrics.get(self.name)) is not None:
+            for key in self.totals:
+                self.totals[key] += seen[key]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def dropped_rows(query: StreamingQuery, name: str = "since_marks") -> dict[str, int]:
+    """Sums of the observed counts over the micro-batches a query still reports (by default the last hundred)."""
+    seen = [p.observedMetrics[name] for p in query.recentProgress if name in p.observedMetrics]
+    return {key: sum(s[key] for s in seen) for key in ("rows", *SINCE_REASONS)}
+
+
 def unique_links(stream: DataFrame, horizon: str = "3 days") -> DataFrame:
     """Stateful exact dedup on (brand, normalised URL); state older than the horizon is dropped."""
     keyed = stream.withColumn("norm_url", url.normalize_url("link")).withWatermark("published_at", horizon)
