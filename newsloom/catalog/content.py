@@ -672,3 +672,33 @@ def extraction_date_chain(spark, folder):
     judged = docs.withColumn("certain", dates.certain_date("date_raw", F.lit(False))).withColumn("parsed", dates.parse_date("date_raw", AS_OF))
     reason = filters.extraction_date_reason("date_raw", "certain", "parsed", F.lit("2024-01-01").cast("timestamp"))
     return judged.groupBy(F.coalesce(reason, F.lit("kept")).alias("outcome")).agg(F.count("*").alias("articles"))
+
+
+# A list as it lands: comments, blank lines, plain, wildcard and exception rules.
+_SUFFIX_LIST = ["// public suffixes", "", "com", "dk", "uk", "co.uk", "jp", "*.kobe.jp", "!city.kobe.jp", "*.ck", "!www.ck  trailing words", "github.io"]
+_SUFFIX_HOSTS = [
+    "a.b.{s}.dk", "{s}.co.uk", "www.{s}.co.uk", "co.uk", "x.{s}.ck", "{s}.ck", "www.ck", "{s}.www.ck", "{s}.kobe.jp", "a.{s}.kobe.jp", "b.city.kobe.jp",
+    "{s}.unlisted", "a.{s}.unlisted", "{s}.github.io", "localhost", "10.0.0.1", "user@{s}.com:8080",
+]
+
+
+@query("registrable_domains", r"""
+    WITH h AS (SELECT doc_id, source, doc_id % 17 AS k FROM documents),
+    x AS (SELECT doc_id, CASE k WHEN 0 THEN 'dk' WHEN 1 THEN 'co.uk' WHEN 2 THEN 'co.uk' WHEN 3 THEN 'co.uk' WHEN 4 THEN source || '.ck' WHEN 5 THEN source || '.ck' WHEN 6 THEN 'ck' WHEN 7 THEN 'ck'
+            WHEN 8 THEN source || '.kobe.jp' WHEN 9 THEN source || '.kobe.jp' WHEN 10 THEN 'kobe.jp' WHEN 11 THEN 'unlisted' WHEN 12 THEN 'unlisted' WHEN 13 THEN 'github.io' WHEN 14 THEN 'localhost' WHEN 16 THEN 'com' END AS suffix,
+          CASE k WHEN 0 THEN source || '.dk' WHEN 1 THEN source || '.co.uk' WHEN 2 THEN source || '.co.uk' WHEN 4 THEN 'x.' || source || '.ck' WHEN 6 THEN 'www.ck' WHEN 7 THEN 'www.ck'
+            WHEN 9 THEN 'a.' || source || '.kobe.jp' WHEN 10 THEN 'city.kobe.jp' WHEN 11 THEN source || '.unlisted' WHEN 12 THEN source || '.unlisted' WHEN 13 THEN source || '.github.io' WHEN 16 THEN source || '.com' END AS domain FROM h)
+    SELECT doc_id, coalesce(suffix, '-') AS public_suffix, coalesce(domain, '-') AS registrable FROM x""")
+def registrable_domains(spark, folder):
+    """Hosts of every shape, one per document, against rules read from a landed list."""
+    from newsloom.functions import suffix
+    from newsloom.session import shared_folder
+
+    path = f"{shared_folder(spark)}/list"
+    listed = spark.createDataFrame([(line,) for line in _SUFFIX_LIST], "value string")
+    listed.coalesce(1).write.text(path)
+    shapes = F.array(*[F.lit(h) for h in _SUFFIX_HOSTS])
+    host = F.replace(F.element_at(shapes, (F.col("doc_id") % len(_SUFFIX_HOSTS) + 1).cast("int")), F.lit("{s}"), F.col("source"))
+    docs = Roles(spark, folder).table("documents", "doc_id", "source").withColumn("link", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://"), host, F.lit("/a/b?c=d"))).otherwise(host))
+    found = suffix.with_registrable(docs, "link", suffix.read_rules(spark, path))
+    return found.select("doc_id", F.coalesce("public_suffix", F.lit("-")).alias("public_suffix"), F.coalesce("registrable", F.lit("-")).alias("registrable"))

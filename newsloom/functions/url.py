@@ -80,12 +80,16 @@ def same_or_subdomain(host, domain) -> Column:
     return (host == domain) | host.endswith(F.concat(F.lit("."), domain))
 
 
-def host_of(url_or_host) -> Column:
-    """Host without credentials, port and ``www.``; works on URLs and bare hosts."""
+def full_host_of(url_or_host) -> Column:
+    """Host without credentials and port; works on URLs and bare hosts."""
     value = F.lower(F.trim(F.coalesce(_col(url_or_host), F.lit(""))))
     host = F.when(value.contains("://"), netloc(value)).otherwise(value)
-    host = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":.*$", "")
-    return F.regexp_replace(host, r"^www\.", "")
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":.*$", "")
+
+
+def host_of(url_or_host) -> Column:
+    """Host without credentials, port and ``www.``; works on URLs and bare hosts."""
+    return F.regexp_replace(full_host_of(url_or_host), r"^www\.", "")
 
 
 def etld_plus_one(url_or_host) -> Column:
