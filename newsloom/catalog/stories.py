@@ -144,6 +144,25 @@ def language_filter(spark, folder):
     return kept.select("doc_id", F.coalesce("detected", F.lit("none")).alias("detected"))
 
 
+# The open set: profiles of two languages only, so titles in the others should come out as undetected.
+_LEAST_KNOWN, _LEAST_MARGIN = 0.6, 0.1
+
+
+@query("language_open_set", _LANG_SQL.replace("FROM documents) WHERE word <> '' GROUP BY ALL)", "FROM documents WHERE lang IN ('en', 'de')) WHERE word <> '' GROUP BY ALL)", 1) + f"""
+    , n AS (SELECT doc_id, count(*) AS grams FROM tw GROUP BY 1),
+    k AS (SELECT doc_id, language, CAST(sum(weight) AS BIGINT) AS score, count(*) AS known FROM (SELECT doc_id, substr(p, i, 3) AS gram FROM tw) x JOIN prof ON prof.gram = x.gram GROUP BY ALL),
+    z AS (SELECT *, row_number() OVER o AS rn, lead(score) OVER o AS second FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, language)),
+    d AS (SELECT z.doc_id, language FROM z JOIN n ON n.doc_id = z.doc_id WHERE rn = 1 AND known / grams >= {_LEAST_KNOWN}::DOUBLE AND (score - coalesce(second, 0)) / score >= {_LEAST_MARGIN}::DOUBLE)
+    SELECT t.lang, coalesce(d.language, 'none') AS detected, count(*) AS titles FROM title t LEFT JOIN d ON d.doc_id = t.doc_id
+    WHERE length(t.title) >= 15 GROUP BY ALL""")
+def language_open_set(spark, folder):
+    r = Roles(spark, folder)
+    known = r.table("documents", "text", "lang").filter(F.col("lang").isin("en", "de"))
+    titles = _titled(spark, folder).filter(F.length(F.trim("title")) >= 15)
+    found = language.detect(titles, "doc_id", "title", language.train_profiles(known, "text", "lang"), _LEAST_KNOWN, _LEAST_MARGIN)
+    return titles.join(found, "doc_id", "left").groupBy("lang", F.coalesce("detected", F.lit("none")).alias("detected")).agg(F.count("*").alias("titles"))
+
+
 @query("url_dedup_mentions", sql_with("raw") + r"""
     SELECT mention_id, CASE WHEN platform = '' THEN regexp_replace(regexp_extract(link, '://([^/]*)', 1), 'www\.', '', 'g') ELSE platform END AS platform
     FROM (SELECT *, row_number() OVER (PARTITION BY brand_id, rtrim(link, '/') ORDER BY seq) AS rn FROM raw) WHERE rn = 1""")

@@ -36,26 +36,40 @@ def train_profiles(samples: DataFrame, body: str, language: str, size: int = GRA
     return ranked.select("language", "gram", (F.lit(size + 1) - F.col("rank")).cast("long").alias("weight"))
 
 
-def detect(df: DataFrame, key: str, title: str, profiles: DataFrame) -> DataFrame:
+def detect(df: DataFrame, key: str, title: str, profiles: DataFrame, least_known: float = 0.0, least_margin: float = 0.0) -> DataFrame:
     """(key, detected): language with the highest profile weight; rows without any hit are absent.
 
-    Profiles hold at most 300 trigrams per language, so the broadcast is bounded.
+    With ``least_known`` or ``least_margin`` the set of languages is open: a row is absent, too, when less than that share of its
+    trigrams is in the profile of the best language, or when the best score is less than that share ahead of the second.
     """
     grams = _trigrams(_words(df.select(key, F.trim(title).alias("_title")), F.col("_title")).select(key, "word"))
-    scored = grams.join(F.broadcast(profiles), "gram").groupBy(key, "language").agg(F.sum("weight").alias("score"))
-    best = top_per_key(scored, [key], [F.desc("score"), "language"], 1)
-    return best.select(key, F.col("language").alias("detected"))
+    counted = grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
+    scored = counted.join(profiles, "gram").groupBy(key, "language").agg(F.sum(F.col("weight") * F.col("n")).alias("score"), F.sum("n").alias("known"))
+    order = [F.desc("score"), "language"]
+    if not least_known and not least_margin:
+        return top_per_key(scored, [key], order, 1).select(key, F.col("language").alias("detected"))
+    ranked = top_per_key(scored, [key], order, 2, "_rank")
+    best = ranked.groupBy(key).agg(
+        F.min_by("language", "_rank").alias("detected"), F.min_by("known", "_rank").alias("known"), F.max("score").alias("score"),
+        F.coalesce(F.max(F.when(F.col("_rank") == 2, F.col("score"))), F.lit(0)).alias("second"),
+    )
+    sizes = counted.groupBy(key).agg(F.sum("n").alias("grams"))
+    known, margin = F.col("known") / F.col("grams"), (F.col("score") - F.col("second")) / F.col("score")
+    return best.join(sizes, key).filter((known >= least_known) & (margin >= least_margin)).select(key, "detected")
 
 
 def filter_by_language(
-    df: DataFrame, key: str, title: str, profiles: DataFrame, allowed: Column | None = None
+    df: DataFrame, key: str, title: str, profiles: DataFrame, allowed: Column | None = None, least_known: float = 0.0, least_margin: float = 0.0
 ) -> DataFrame:
-    """Keeps rows with no language list, a short title, an undetected or an allowed language."""
+    """Keeps rows with no language list, a short title, an undetected or an allowed language.
+
+    ``least_known`` and ``least_margin`` as in ``detect``: with them titles in a language without a profile are undetected, and so kept.
+    """
     if allowed is None:
         allowed = F.array(*[F.lit(code) for code in settings.DEFAULT_LANGUAGES])
     short = F.length(F.trim(F.coalesce(F.col(title), F.lit("")))) < settings.MIN_LANGUAGE_TITLE_CHARS
     free = F.coalesce(F.size(allowed), F.lit(0)) <= 0
-    judged = detect(df.filter(~short & ~free), key, title, profiles)
+    judged = detect(df.filter(~short & ~free), key, title, profiles, least_known, least_margin)
     return df.join(judged, key, "left").filter(
         short | free | F.col("detected").isNull() | F.array_contains(allowed, F.col("detected"))
     )

@@ -211,3 +211,19 @@ def test_taxonomy_tree_nests_and_keeps_empty_brands(spark):
     words = spark.createDataFrame([(4, "x"), (5, "y")], "id bigint, text string")
     tree = {r.id: r.topics for r in joins.taxonomy_tree(brands, topics, links, words).collect()}
     assert tree[2] is None and [k.text for k in tree[1][0].keywords] == ["x", "y"]
+
+
+def test_an_open_set_of_languages_leaves_foreign_titles_undetected(spark):
+    from newsloom.operators import language
+
+    samples = spark.createDataFrame([("the weather and the wind with them", "en"), ("und der wind mit dem wetter", "de")], "body string, lang string")
+    profiles = language.train_profiles(samples, "body", "lang")
+    titles = [(1, "the wind and the weather"), (2, "der wind und das wetter"), (3, "qsi zoxu kaji yabo"), (4, "wind wind wind"), (5, "")]
+    df = spark.createDataFrame(titles, "id bigint, title string")
+    found = lambda **more: {r.id: r.detected for r in language.detect(df, "id", "title", profiles, **more).collect()}
+    assert found()[1] == "en" and found()[2] == "de" and 4 in found() and 5 not in found()
+    assert found(least_known=0.5) == {1: "en", 2: "de", 4: found()[4]}
+    # "wind" is in both profiles, so neither is clearly ahead.
+    assert 4 not in found(least_known=0.5, least_margin=0.2) and 1 in found(least_known=0.5, least_margin=0.2)
+    kept = language.filter_by_language(df.withColumn("title", F.concat("title", F.lit(" " * 20))), "id", "title", profiles, F.array(F.lit("de")), 0.5)
+    assert {r.id for r in kept.collect()} >= {2, 3, 5} and 1 not in {r.id for r in kept.collect()}
