@@ -338,7 +338,11 @@ def stream_unique_links(spark, folder):
     SELECT domain, CASE WHEN f >= 5 THEN 'circuit_open_skip' WHEN b >= 8 THEN 'blind_circuit_skip' ELSE 'run' END AS breaker, count(*) AS extractions FROM c GROUP BY ALL""")
 def stream_circuit_breaker(spark, folder):
     extractions = _events_stream(spark, folder).selectExpr("domain", "event_id as seq", "provider = 'view' as blind", "failed")
-    verdicts = _drain(alerts.breakers(extractions), spark)
+    from newsloom.session import shared_folder
+
+    out = shared_folder(spark)
+    alerts.judge_extractions(extractions, out, f"{out}/state").awaitTermination()
+    verdicts = spark.read.schema("domain string, seq bigint, breaker string").parquet(f"{out}/rows")
     return verdicts.groupBy("domain", F.coalesce("breaker", F.lit("run")).alias("breaker")).agg(F.count("*").alias("extractions"))
 
 

@@ -6,9 +6,12 @@ from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from newsloom import settings
+from newsloom.operators import guardrails
+from newsloom.session import cut_lineage
+from newsloom.sinks import tables
 
 
 def sliding_rates(samples: DataFrame, keys: list[str], window: str, slide: str, seconds: int, late: str = "10 minutes") -> DataFrame:
@@ -56,28 +59,31 @@ def sustained(evaluations: DataFrame, keys: list[str], key_types: str, step_s: i
     )
 
 
-def breakers(extractions: DataFrame) -> DataFrame:
-    """Breaker verdict per extraction (domain, seq, blind, failed), with counts kept per domain.
+COUNTS = "domain string, blind bigint, failed bigint, epoch bigint"
 
-    Rows of a domain must arrive in ``seq`` order across batches. Inside a batch they come in any order and in any
-    number of Arrow frames; all of them are sorted together and judged by running sums.
+
+def judge_extractions(extractions: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Breaker verdict per extraction (domain, seq, blind, failed) of a stream, written to ``<path>/rows``: domain, seq, breaker.
+
+    Every micro-batch is judged by running totals that split a hot domain, on top of the counts stored after the batch before. Rows
+    of a domain must come in ``seq`` order across batches; inside a batch they may come in any. Verdicts and counts of a batch
+    lie in folders of its number, so a batch that is run again replaces what it had written.
     """
-    output = "domain string, seq bigint, breaker string"
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        blind, failed = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("seq")
-        blinds, fails = blind + rows["blind"].astype("int64").cumsum(), failed + rows["failed"].astype("int64").cumsum()
-        verdict = pd.Series(None, index=rows.index, dtype=object)
-        verdict = verdict.mask(blinds.shift(fill_value=blind) >= settings.BLIND_DOMAIN_THRESHOLD, "blind_circuit_skip")
-        verdict = verdict.mask(fails.shift(fill_value=failed) >= settings.FAILED_DOMAIN_THRESHOLD, "circuit_open_skip")
-        if len(rows):
-            state.update((int(blinds.iloc[-1]), int(fails.iloc[-1])))
-            yield pd.DataFrame({"domain": key[0], "seq": rows["seq"], "breaker": verdict})
-
-    return extractions.groupBy("domain").applyInPandasWithState(
-        step, output, "blind bigint, failed bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    def save(batch: DataFrame, epoch: int) -> None:
+        spark, none = batch.sparkSession, lambda c: F.coalesce(c, F.lit(0))
+        before = tables.stored(spark, f"{path}/counts", COUNTS).filter(F.col("epoch") == epoch - 1)
+        rows = cut_lineage(batch.select("domain", "seq", "blind", "failed"))
+        judged = guardrails.with_breaker(rows, ["domain"], ["seq"], None, F.col("blind"), F.col("failed"), before)
+        judged.select("domain", "seq", "breaker").write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        here = rows.groupBy("domain").agg(F.count_if("blind").alias("more_blind"), F.count_if("failed").alias("more_failed"))
+        now = before.drop("epoch").join(here, "domain", "full_outer")
+        now.select(
+            "domain", (none(F.col("blind")) + none(F.col("more_blind"))).alias("blind"), (none(F.col("failed")) + none(F.col("more_failed"))).alias("failed")
+        ).write.mode("overwrite").parquet(f"{path}/counts/epoch={epoch}")
+
+    writer = extractions.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def is_firing(rate: Column, above: float) -> Column:

@@ -227,11 +227,18 @@ def test_stream_sustained_alert(spark, folder):
 
 
 def test_stream_breaker(spark, folder):
-    rows = [("a", i, False, i < 6) for i in range(9)]
+    """Counts go on from batch to batch, and a batch may come in any order and size."""
     schema = "domain string, seq bigint, blind boolean, failed boolean"
-    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/in")
-    out = _drain(spark, alerts.breakers(spark.readStream.schema(schema).parquet(f"{folder}/in")), folder)
-    assert _rows(out.filter("breaker is not null"), "seq") == [(5,), (6,), (7,), (8,)]
+    read = spark.readStream.schema(schema)
+    for start, end in ((0, 3), (3, 9)):
+        rows = [("a", i, False, i < 6) for i in reversed(range(start, end))] + [("b", i, True, False) for i in range(start, end)]
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(f"{folder}/in")
+        alerts.judge_extractions(read.parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    out = spark.read.schema("domain string, seq bigint, breaker string").parquet(f"{folder}/out/rows")
+    assert _rows(out.filter("breaker is not null"), "domain", "seq", "breaker") == [
+        *(("a", i, "circuit_open_skip") for i in (5, 6, 7, 8)), ("b", 8, "blind_circuit_skip"),
+    ]
+    assert out.count() == 18
 
 
 def test_breaker_over_many_files_of_one_domain(spark, folder):
