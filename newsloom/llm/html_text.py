@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,6 +76,7 @@ class Place:
     tag: str
     outside: bool
     inside: int  # 2 in an article by element or role, 1 by name
+    named: tuple[int, ...] = ()  # the elements around it that a class or id calls no article
 
 
 @dataclass
@@ -84,6 +86,7 @@ class Block:
     outside: bool
     inside: int
     label: str = ""
+    named: tuple[int, ...] = ()
 
 
 def _tag_end(page: str, at: int, dead: set[int]) -> tuple[int, bool]:
@@ -128,36 +131,43 @@ def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         yield token.start(), at, tag, ends, attrs or ""
 
 
-def _place(tag: str, attrs: str, above: Place) -> Place:
-    named = {k.lower(): html.unescape(v.strip("\"'")).lower() for k, v in _ATTRIBUTE.findall(attrs)} if attrs.strip() else {}
-    names = f"{named.get('class', '')} {named.get('id', '')}"
+def _place(tag: str, attrs: str, above: Place, number: int) -> Place:
+    values = {k.lower(): html.unescape(v.strip("\"'")).lower() for k, v in _ATTRIBUTE.findall(attrs)} if attrs.strip() else {}
+    names = f"{values.get('class', '')} {values.get('id', '')}"
     words = set(re.split(r"[^a-z]+", names))
-    role = named.get("role", "")
-    inside = 2 if tag in ("article", "main") or role in ("main", "article") or named.get("itemprop") == "articlebody" else 1 if INSIDE_NAMES & set(names.split()) else 0
-    hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
+    role = values.get("role", "")
+    inside = 2 if tag in ("article", "main") or role in ("main", "article") or values.get("itemprop") == "articlebody" else 1 if INSIDE_NAMES & set(names.split()) else 0
+    hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
     outside = tag in OUTSIDE or (tag == "header" and not above.inside) or role in OUTSIDE_ROLES or hidden
-    if tag not in ("html", "body", "main"):
-        outside |= bool(OUTSIDE_NAMES & words) or ("header" in words and not above.inside and not inside)
-    return Place(tag, above.outside or outside, max(above.inside, inside))
+    named = tag not in ("html", "body", "main") and (bool(OUTSIDE_NAMES & words) or ("header" in words and not above.inside and not inside))
+    return Place(tag, above.outside or outside, max(above.inside, inside), (*above.named, number) if named else above.named)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, character references decoded and white space turned into single spaces."""
     blocks, parts = [], []  # parts: (text, is in a link)
     stack, links, last = [Place("", False, 0)], 0, 0
+    # Open elements by tag, and the places of open blocks: no end tag or block walks over what it does not close.
+    open_, marks = Counter(), []
 
     def close() -> None:
         if parts:
             texts = " ".join(html.unescape("".join(t for t, _ in parts)).split())
             linked = " ".join(html.unescape("".join(t if a else " " for t, a in parts)).split())
             if texts:
-                blocks.append(Block(texts, len(linked), stack[-1].outside, stack[-1].inside))
+                blocks.append(Block(texts, len(linked), stack[-1].outside, stack[-1].inside, named=stack[-1].named))
             parts.clear()
 
     def pop(to: int) -> None:
         nonlocal links
         links -= sum(p.tag == "a" for p in stack[to:])
+        open_.subtract(p.tag for p in stack[to:])
         del stack[to:]
+        while marks and marks[-1] >= to:
+            marks.pop()
+
+    def elsewhere(a: Place, b: Place) -> bool:
+        return a.outside != b.outside or a.named != b.named
 
     for start, end, tag, ends, attrs in _tokens(page):
         if start > last:
@@ -169,22 +179,25 @@ def blocks_of(page: str) -> list[Block]:
         if block:
             close()
         if ends:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if at:
-                if any(p.outside != stack[at - 1].outside for p in stack[at:]):
+            if open_[tag] > 0:
+                at = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
+                if any(elsewhere(p, stack[at - 1]) for p in stack[at:]):
                     close()
                 pop(at)
             continue
         if block:  # a paragraph, and what is open in it, ends before another block
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in BLOCKS), 0)
+            at = marks[-1] if marks else 0
             if at and stack[at].tag in ("p", *CLOSES.get(tag, ())) and (tag != "br"):
                 pop(at)
         if tag in VOID:
             continue
-        place = _place(tag, attrs, stack[-1])
-        if place.outside != stack[-1].outside:
+        place = _place(tag, attrs, stack[-1], start)
+        if elsewhere(place, stack[-1]):
             close()
+        if block:
+            marks.append(len(stack))
         stack.append(place)
+        open_[tag] += 1
         links += tag == "a"
     if last < len(page):
         parts.append((page[last:], links > 0))
@@ -211,11 +224,32 @@ def _article_level(blocks: list[Block]) -> int:
     return 0
 
 
+def _called_outside(blocks: list[Block]) -> set[int]:
+    """The elements whose class or id excludes their blocks.
+
+    Names are a prior: where they leave no good text, the outermost element that holds most of it is no exclusion, and what is named
+    inside it is asked next. But it must hold more than all they leave, and stand no less in an article than that.
+    """
+    level = "good" if any(b.label == "good" for b in blocks) else "near"
+    shown, excluded = [b for b in blocks if b.label == level], {n for b in blocks for n in b.named}
+    while shown and all(excluded.intersection(b.named) for b in shown):
+        held = Counter()
+        for b in shown:
+            held[next(n for n in b.named if n in excluded)] += len(b.text)
+        most = max(held, key=lambda n: (held[n], -n))
+        rest = [b for b in blocks if not excluded.intersection(b.named) and not b.outside and b.linked <= LINK_DENSITY * len(b.text)]
+        deep = max(b.inside for b in shown if most in b.named)
+        if sum(len(b.text) for b in rest) >= held[most] or any(b.inside > deep for b in rest):
+            break
+        excluded.discard(most)
+    return excluded
+
+
 def judge(blocks: list[Block]) -> int:
     """First pass: good, bad, or undecided ("short", "near"). Gives the level of the article that the labels follow.
 
-    Links, length and words are judged everywhere. Only then the article counts: blocks outside it are bad, and
-    few stop words leave a block of it undecided.
+    Links, length and words are judged everywhere; on a page without any word of the lists, length alone. Only then names and the
+    article count: blocks outside it are bad, and few stop words leave a block of it undecided.
     """
     for b in blocks:
         size = len(b.text)
@@ -226,10 +260,17 @@ def judge(blocks: list[Block]) -> int:
         else:
             density = _density(b.text)
             b.label = "good" if density >= STOP_HIGH and size > LONG_CHARS else "near" if density >= STOP_LOW else "few"
+    excluded = _called_outside(blocks)
+    for b in blocks:
+        if excluded.intersection(b.named):
+            b.outside, b.label = True, "bad"
     level = _article_level(blocks)
+    wordless = not level and not any(b.label in ("good", "near") for b in blocks)
     for b in blocks:
         if b.inside < level:
             b.label = "bad"
+        elif b.label == "few" and wordless:
+            b.label = "good" if len(b.text) > LONG_CHARS else "near"
         elif b.label == "few":
             b.label = "near" if level else "bad"
     return level

@@ -97,3 +97,33 @@ def test_table(spark):
     df = spark.createDataFrame([(1, None, "<p>é", "", ""), (1, None, "<p>é", "", ""), (None, "u", None, "", "")], schema)
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in extract(df).collect()) == [("1", "é", 1), ("1", "é", 1), ("None", "", 0)]
     assert extract(df.limit(0)).count() == 0
+
+
+LONG = "This is the kind of prose that people write when they have something to say about the world and the things in it. " * 4
+
+
+def test_names_do_not_lose_the_only_article():
+    body = "".join(f"<p>{LONG}{i}</p>" for i in range(4))
+    want = " ".join(f"{LONG}{i}" for i in range(4))
+    for around in ('<div class="widget-post">', '<div class="page social-article">', '<div id="page-with-sidebar">', '<div class="with-sidebar"><div class="no-comments">'):
+        assert main_text(f"<html><body>{around}{body}</div></body></html>") == want
+    # What is named inside a wrapper, or beside good text, still goes.
+    side = f'<div class="sidebar"><p>{LONG} side</p></div>'
+    assert main_text(f'<body><div id="page-with-sidebar">{body}{side}</div></body>') == want
+    assert main_text(f"<body>{body}{side}</body>") == want
+    assert LONG.strip() in main_text(f'<article><h1>A title</h1><div class="share-wrap related"><p>{LONG}</p></div></article>')
+
+
+def test_a_page_in_a_language_without_stop_words():
+    text = "Это довольно длинный абзац, который написан на языке, слов которого нет ни в одном из списков. " * 4
+    page = f'<body><ul><li><a href="/">Главная</a></li><li><a href="/x">Новости</a></li></ul><p>{text}</p><p>{text}2</p></body>'
+    assert main_text(page) == f"{text.strip()} {text}2"
+
+
+def test_end_tags_without_a_start_are_linear():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<b></i>" * 150_000, "<b>" * 100_000 + "<div></div>" * 50_000):
+        assert main_text(page) == ""
+    assert time.perf_counter() - start < 30
