@@ -37,9 +37,9 @@ def drop_lines(pages: DataFrame, host: Column, text: str, ratio: float = RATIO,
     own. An empty table gives no rows.
     """
     columns = [c for c in pages.columns if c.lower() not in (text.lower(), "n_lines", "n_dropped")]
-    site, bad, lines, left = (unused_name(pages, n) for n in ("site", "digests", "lines", "left"))
-    found = boilerplate(pages, host, text, ratio, least_pages).select(F.col("host").alias("host_"), F.col("digests").alias(bad))
-    joined = pages.withColumn(site, host).join(found, F.col(site).eqNullSafe(F.col("host_")), "left").drop("host_")
+    site, bad, lines, left, key = (unused_name(pages, n) for n in ("site", "digests", "lines", "left", "host_"))
+    found = boilerplate(pages, host, text, ratio, least_pages).select(F.col("host").alias(key), F.col("digests").alias(bad))
+    joined = pages.withColumn(site, host).join(found, F.col(site).eqNullSafe(F.col(key)), "left").drop(key)
     split = joined.withColumn(lines, F.split(text, "\n"))
     kept = F.when(F.col(bad).isNull(), F.col(lines)).otherwise(F.filter(lines, lambda line: ~F.array_contains(bad, F.md5(line))))
     size = lambda c: F.coalesce(F.when(F.col(text).isNotNull(), F.size(c)), F.lit(0)).cast("bigint")

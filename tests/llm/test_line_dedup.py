@@ -28,3 +28,8 @@ def test_against_brute_force(spark):
         assert got.columns == ["doc_id", "source", "digests", "site", "host_x", "text", "n_lines", "n_dropped"]
         assert sorted(((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=str) == expected(rows, ratio, least)
     assert drop_lines(df.limit(0), F.col("source"), "text").count() == 0
+
+
+def test_a_column_of_the_name_used_inside(spark):
+    df = spark.createDataFrame([(i, "foot\nown" + str(i), "s", "mine") for i in range(4)], "doc_id bigint, text string, source string, host_ string")
+    assert {(r.text, r.host_, r.n_dropped) for r in drop_lines(df, F.col("source"), "text").collect()} == {(f"own{i}", "mine", 1) for i in range(4)}
