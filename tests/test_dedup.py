@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.functions import text, url
+from newsloom.functions import fuzzy, text, url
 from newsloom.functions.fuzzy import token_set_ratio
 from newsloom.operators import dedup
 
@@ -205,3 +205,55 @@ def test_tiles_never_skip_a_pair_that_reaches_the_threshold(threshold):
         if not any(alike(p, q) for q in [*a.peers, *(k for _, k in kept)]):
             kept.append((i, p))
     assert b.seqs[first_kept(b, threshold, 5, a.peers)].tolist() == [i for i, _ in kept]
+
+
+def _near_copies(n, seed):
+    """Rows of one block: nearly all are copies of one text with a word changed, some are others'."""
+    random.seed(seed)
+    words = [f"ord{random.randint(100, 999)}" for _ in range(40)]
+    rows = []
+    for i in range(n):
+        changed = [f"nyt{i}" if k == i % 30 + 6 else w for k, w in enumerate(words)]
+        changed[5:] = changed[5:] if i % 11 else random.sample(changed[5:], 9)
+        rows.append((i, 1, " ".join(changed), "", f"https://a.dk/{i}", "", BASE + (i % 5) * DAY))
+    return rows
+
+
+def test_copies_are_told_from_few_pairs(monkeypatch):
+    """The pairs looked at grow with rows times rows that stay, not with rows squared."""
+    rows, seen, plain = _near_copies(800, 3), [0], fuzzy._possible
+
+    def counted(a, b, *more):
+        seen[0] += len(a) * len(b)
+        return plain(a, b, *more)
+
+    monkeypatch.setattr(fuzzy, "_possible", counted)
+    copies = [r for r in rows if r[0] % 11]
+    tile = fuzzy.Tile([fuzzy.Peer.of(r[2], 0, "a.dk", False) for r in copies], [r[0] for r in copies])
+    assert fuzzy.first_kept(tile, 92, 0) == [0]
+    assert seen[0] < 4 * len(copies)
+
+
+def test_a_block_of_copies_needs_no_graph(spark, monkeypatch):
+    """Blocks of copies end in passes over their rows; only what resembles no first row is left to the rounds."""
+    tiny(monkeypatch)
+    left, plain = [], dedup._graph_losers
+    monkeypatch.setattr(dedup, "_graph_losers", lambda rows, *more: left.append(rows.count()) or plain(rows, *more))
+    rows = _near_copies(120, 5)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert _kept(df) == _model(spark, df)
+    assert sum(left) < len(rows) / 4
+
+
+def test_historical_copies_meet_few_stored_rows(spark, monkeypatch):
+    tiny(monkeypatch)
+    met, plain = [], dedup._tile_pairs
+    monkeypatch.setattr(dedup, "_tile_pairs", lambda new, *more: met.append(new.select(F.sum(F.size("rows"))).first()[0] or 0) or plain(new, *more))
+    rows = _near_copies(140, 7)
+    df = spark.createDataFrame(rows, SCHEMA)
+    old, new = df.filter("seq < 70"), df.filter("seq >= 70")
+    got = {r.seq for r in dedup.without_historical(new, old, ["brand_id"]).select("seq").collect()}
+    text_of = {r[0]: (text_, r[6]) for r in rows for text_ in [r[2]]}
+    hit = lambda a, b: abs(text_of[a][1] - text_of[b][1]) <= 2 * DAY and token_set_ratio(text_of[a][0], text_of[b][0]) >= 92
+    assert got == {s for s in range(70, 140) if not any(hit(s, o) for o in range(70))}
+    assert sum(met) < 35
