@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +228,22 @@ def test_an_open_set_of_languages_leaves_foreign_titles_undetected(spark):
     assert 4 not in found(least_known=0.5, least_margin=0.2) and 1 in found(least_known=0.5, least_margin=0.2)
     kept = language.filter_by_language(df.withColumn("title", F.concat("title", F.lit(" " * 20))), "id", "title", profiles, F.array(F.lit("de")), 0.5)
     assert {r.id for r in kept.collect()} >= {2, 3, 5} and 1 not in {r.id for r in kept.collect()}
+
+
+def test_titles_leave_their_task_as_sums(spark):
+    """Neither trigrams nor words are shuffled: what a task holds does not grow with the texts."""
+    rows = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "die katze und der hund", "de")], "id bigint, body string, lang string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    profiles = language.train_profiles(rows, "body", "lang")
+    assert not re.search(r"hashpartitioning\([^)]*word", plan(profiles))
+    for more in ((), (0.6, 0.1)):
+        assert "hashpartitioning(gram" not in plan(language.detect(rows, "id", "body", profiles, *more)).replace("id#", "id")
+
+
+def test_detection_sums_rows_of_one_key(spark):
+    """A key that stands twice is one text; words count as often as they occur, and a word without a known trigram only in the share."""
+    profiles = spark.createDataFrame([("en", "_th", 3), ("en", "the", 2), ("de", "_de", 4)], "language string, gram string, weight bigint")
+    rows = spark.createDataFrame([(1, "the the"), (1, "der"), (2, "zzz"), (3, "der xyz")], "id bigint, body string")
+    assert {tuple(r) for r in language.detect(rows, "id", "body", profiles).collect()} == {(1, "en"), (3, "de")}
+    # 4 of 9 trigrams of key 1 are English ones; 1 of 6 of key 3 is German.
+    assert {tuple(r) for r in language.detect(rows, "id", "body", profiles, 0.4, 0.1).collect()} == {(1, "en")}
