@@ -55,3 +55,9 @@ def test_increases_and_failed_fallbacks(spark):
 
 def test_no_samples(spark):
     assert fired(spark, []) == []
+
+
+def test_samples_are_not_dealt_by_series(spark):
+    """Rules are few rows of known size: samples are not shuffled by their series, of which one may hold nearly all."""
+    plan = alert_rules.evaluations(samples(spark, [(0, "scrape_http_errors_total", {}, 1)]), alert_rules.rule_table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(name" not in plan and "hashpartitioning(series" not in plan
