@@ -13,7 +13,9 @@ addition changes the result and reruns agree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from newsloom.llm.common import WORD, query, table
 from newsloom.operators.ordered import row_numbers, running_totals
@@ -82,12 +84,18 @@ def balance(counts: DataFrame, targets: DataFrame, most: int = 3, steps: int = 6
         low, high = F.when(over < 0, F.col("factor")).otherwise(F.col("low")), F.when(over > 0, F.col("factor")).otherwise(F.col("high"))
         step = F.col("factor") - over / F.nullif(F.col("bend"), F.lit(0.0))
         settled = (F.abs(over) <= F.greatest(F.col("target") * close, F.lit(0.01))) | (F.col("high") - F.col("low") < 1e-15)
-        stepped = open_.join(sums, "number").withColumns({"low": low, "high": high, "was": F.col("factor"), "settled": settled}).withColumn(
+        still = lambda name, new: F.when(F.col("settled"), F.col(name)).otherwise(new)
+        # A settled source has no sums and stays as it is.
+        stepped = state.join(sums, "number", "left").withColumns(
+            {"low": still("low", low), "high": still("high", high), "was": F.col("factor"), "settled": F.col("settled") | settled}
+        ).withColumn(
             "factor",
             F.when(F.col("settled"), F.col("was")).when((step > F.col("low")) & (step < F.col("high")), step).otherwise((F.col("low") + F.col("high")) / 2),
         )
-        state = cut_lineage(state.filter("settled").unionByName(stepped.select(*state.columns)))
-        if state.filter("not settled").isEmpty():
+        # Counted while it is written: a step is one job.
+        seen = Observation(f"balance_{uuid.uuid4().hex}")
+        state = cut_lineage(stepped.select(*state.columns).observe(seen, F.count_if(~F.col("settled")).alias("open")))
+        if not seen.get.get("open"):
             break
     return state.select("number", "factor")
 
