@@ -12,7 +12,6 @@ that works on any store Spark writes to, and a lost task is written again whole.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from newsloom.llm.common import bounded_batches, query, table
-from newsloom.llm.units import RunCoder, steps
+from newsloom.llm.pieces import PieceCoder
 from newsloom.session import shared_folder
 
 MAGIC = b"PACKIDS1"
@@ -32,8 +31,9 @@ MAGIC = b"PACKIDS1"
 BLOCK = 4096
 #: Ids in a shard, unless one document has more.
 SHARD_IDS = 1 << 20
+#: Bytes of batches that are encoded together.
+JOINED_BYTES = 6 << 20
 _NO_ID = -(2**63)
-_LINE = re.compile(r" ?\S+")
 
 
 def packed(ids: np.ndarray, bits: int) -> bytes:
@@ -88,42 +88,30 @@ class Shard:
 
 
 @functools.lru_cache(2)
-def _coder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
+def _coder(path: str) -> tuple[Callable[[pa.Array | list[str]], list[bytes]], int]:
     """Encodes texts to ids as bytes, as the library does; and the bits of an id."""
     tokenizer = Tokenizer.from_file(path)
-    added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
-    marks = re.compile("|".join(map(re.escape, added))) if added else None
-    newline = tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def encode_runs(runs: list[str]) -> list[bytes]:
-        # Runs without white space inside are encoded many to a text, a line each: a line end before a run is a piece of its own.
-        lines = [i for i, run in enumerate(runs) if _LINE.fullmatch(run)] if len(newline) == 1 else []
-        rest = sorted(set(range(len(runs))).difference(lines))
-        groups = [lines[i : i + 64] for i in range(0, len(lines), 64)]
-        texts = ["\n".join([runs[i] for i in group]) for group in groups] + [runs[i] for i in rest]
-        coded = [np.array(c.ids, "<u4") for c in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        result = [b""] * len(runs)
-        for group, ids in zip(groups, coded):
-            ends = np.append(np.flatnonzero(ids == newline[0]), len(ids)).tolist()
-            for i, a, b in zip(group, [0, *[e + 1 for e in ends]], ends):
-                result[i] = ids[a:b].tobytes()
-        for i, ids in zip(rest, coded[len(groups) :]):
-            result[i] = ids.tobytes()
-        return result
-
-    coder = RunCoder(encode_runs)
-
-    def encode(texts: list[str]) -> list[bytes]:
-        # A text that holds a token the library finds before all others is encoded whole; no run of another text holds one.
-        whole = {i: text for i, text in enumerate(texts) if marks and marks.search(text)}
-        coded = coder.encode(["" if i in whole else text for i, text in enumerate(texts)])
-        for i, text in whole.items():
-            coded[i] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return coded
+    coder = PieceCoder(tokenizer)
+
+    def encode(texts: pa.Array | list[str]) -> list[bytes]:
+        return coder.encode(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
 
     return encode, max(1, (tokenizer.get_vocab_size() - 1).bit_length())
 
 
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one of about ``JOINED_BYTES``: the more text at a time, the fewer runs are looked up again."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= JOINED_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 SHARDS = "sequence bigint, n_ids bigint, shard binary"
 
 
@@ -143,17 +131,15 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> None:
             columns = [pa.array([here << 32 | number], pa.int64()), pa.array([count], pa.int64()), pa.array([write_shard(names, held, bits)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["sequence", "n_ids", "shard"])
 
-        for batch in batches:
-            for start, texts in steps(batch.column(1)):
-                doc_ids = batch.column(0).slice(start, len(texts)).to_pylist()
-                for doc_id, ids in zip(doc_ids, encode(texts)):
-                    ids = np.concatenate([np.frombuffer(ids, "<u4"), end])
-                    if names and count + len(ids) > SHARD_IDS:
-                        yield shard()
-                        number, names, held, count = number + 1, [], [], 0
-                    names.append(doc_id)
-                    held.append(ids)
-                    count += len(ids)
+        for batch in joined(batches):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids = np.concatenate([np.frombuffer(ids, "<u4"), end])
+                if names and count + len(ids) > SHARD_IDS:
+                    yield shard()
+                    number, names, held, count = number + 1, [], [], 0
+                names.append(doc_id)
+                held.append(ids)
+                count += len(ids)
         if names:
             yield shard()
 

@@ -2,11 +2,12 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings, strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
-from newsloom.llm import token_output as T
+from newsloom.llm import pieces, token_output as T
 from newsloom.llm.byte_bpe import coder, encode_decode
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -77,3 +78,41 @@ def test_written_and_read(spark, tmp_path):
     assert T.read_ids(spark, f"{tmp_path}/none").count() == 0
     coded = encode_decode(spark.createDataFrame(rows, SCHEMA), PATH)
     assert sorted(r.n_tokens for r in coded.collect()) == [0, 0, 1, 1, 1, 2]
+
+
+def test_pieces_are_the_library():
+    """Whole batches, with steps that end anywhere and little memory: as the library on each text."""
+    library, rand = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(7)
+    parts = [*PARTS, "×", "÷", "'", "’", "\n\n", "\r\n", "<|", " ", "ж", "क", "́", "😀", "²", "\x00", "x\n", "'re", None]
+    made = ["".join(p or "" for p in rand.choices(parts, k=rand.randint(0, 12))) for _ in range(2000)]
+    texts = [*made, None, "one\ntwo.\n\nthree|four " * 900, "日本" * 3000, "a<|endoftext|>b c " * 50]
+    wanted = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for step, most in ((1 << 20, 300_000), (50, 5), (3, 300_000)):
+        coder, before = pieces.PieceCoder(library, most), pieces.STEP_BYTES
+        pieces.STEP_BYTES = step
+        try:
+            got = coder.encode(pa.array(["left out", *texts]).slice(1))
+        finally:
+            pieces.STEP_BYTES = before
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == wanted
+    assert coder.encode(pa.array([], pa.string())) == [] and coder.encode(pa.array([None, ""])) == [b"", b""]
+
+
+def test_pieces_meet_the_library_once():
+    """A word behind a space is asked for once, whatever mark or line end stands beside it."""
+    coder, asked = pieces.PieceCoder(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))), []
+    for name in ("_by_model", "_by_library"):
+        plain = getattr(coder, name)
+        setattr(coder, name, lambda runs, plain=plain: asked.extend(runs) or plain(runs))
+    coder.encode(pa.array([" word word, word.\nword word|word 12 word!"]))
+    coder.encode(pa.array([" word; word"]))
+    assert sorted(asked) == sorted([b" word", b"word", b",", b".", b"\n", b"|", b" 12", b"!", b";"])
+
+
+def test_other_tokenizers_encode_whole_texts():
+    """Where the tokenizer does not split as byte-level ones do, or lower-cases, nothing is cut."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.normalizer = normalizers.Lowercase()
+    texts = ["Some Text, here", "ÀÉ"]
+    got = pieces.PieceCoder(library).encode(pa.array(texts))
+    assert [np.frombuffer(i, "<u4").tolist() for i in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
