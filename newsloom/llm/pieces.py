@@ -32,14 +32,14 @@ _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 def _classes() -> np.ndarray:
     found = np.full(256, _OTHER, np.uint8)
     for byte in range(256):
-        # Characters of the lead bytes C3 to C9 are letters but for the two signs below. Those of C2, E1, E2 and E3 may be white space.
+        # Characters of the lead bytes C3 to C9 are letters, but for two signs. Those of later ones that may be white space are told in kinds().
         if bytes([byte]).isalpha() or 0xC3 <= byte <= 0xC9:
             found[byte] = _LETTER
         elif bytes([byte]).isdigit():
             found[byte] = _DIGIT
         elif byte in _MARKS:
             found[byte] = _MARK
-        elif 0xCA <= byte <= 0xE0 or byte >= 0xE4 or byte == ord("'"):
+        elif byte >= 0xC2 or byte == ord("'"):
             found[byte] = _SOLID
     found[ord(" ")], found[ord("\n")] = _SPACE, _LINE
     return found
@@ -67,9 +67,17 @@ def kinds(data: np.ndarray) -> np.ndarray:
     later = later[later > 0]
     for _ in range(3):
         kind[later] = kind[later - 1]
-    # The signs for times and division are no letters.
-    signs = later[(data[later - 1] == 0xC3) & ((data[later] == 0x97) | (data[later] == 0xB7))]
-    kind[signs] = kind[signs - 1] = _OTHER
+    first, second = data[later - 1], data[later]
+    # The signs for times and division, and two that are white space.
+    pairs = later[((first == 0xC3) & ((second == 0x97) | (second == 0xB7))) | ((first == 0xC2) & ((second == 0x85) | (second == 0xA0)))]
+    kind[pairs] = kind[pairs - 1] = _OTHER
+    # Characters of three bytes whose neighbours are white space, without the dashes, quotes and dots from U+2010 to U+2027.
+    triples = later[
+        ((first == 0xE1) & ((second == 0x9A) | (second == 0xA0))) | ((first == 0xE2) & (second & 0xFE == 0x80)) | ((first == 0xE3) & (second == 0x80))
+    ]
+    third = data[np.minimum(triples + 1, len(data) - 1)]
+    triples = triples[(data[triples - 1] != 0xE2) | (data[triples] != 0x80) | (third < 0x90) | (third > 0xA7) | (triples + 1 >= len(data))]
+    kind[triples] = kind[triples - 1] = kind[np.minimum(triples + 1, len(data) - 1)] = _OTHER
     return kind
 
 
@@ -219,9 +227,9 @@ class PieceCoder:
         one_piece = np.zeros(len(coded.dictionary), bool)
         one_piece[which] = (plain > 0) & (plain == ends - starts - (kind[starts] == _SPACE))
         ids = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), one_piece.tolist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        sizes = (np.fromiter(map(len, ids), np.int64, len(ids)) // 4).astype(np.int32)
         counts = sizes[which]
-        total = np.cumsum(counts)
-        places = np.repeat((np.cumsum(sizes) - sizes)[which] - (total - counts), counts)
-        places += np.arange(total[-1])
+        total = np.cumsum(counts, dtype=np.int32)
+        places = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[which] - (total - counts), counts)
+        places += np.arange(total[-1], dtype=np.int32)
         return np.frombuffer(b"".join(ids), "<u4")[places], counts

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from newsloom.llm.common import bounded_batches, query, table
+from newsloom.llm.common import bounded_batches, query, release, table
 from newsloom.llm.pieces import PieceCoder
 from newsloom.session import shared_folder
 
@@ -142,6 +142,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> None:
                 count += len(ids)
         if names:
             yield shard()
+        release()
 
     ordered = bounded_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SHARDS).write.parquet(folder)

@@ -83,7 +83,7 @@ def test_written_and_read(spark, tmp_path):
 def test_pieces_are_the_library():
     """Whole batches, with steps that end anywhere and little memory: as the library on each text."""
     library, rand = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(7)
-    parts = [*PARTS, "×", "÷", "'", "’", "\n\n", "\r\n", "<|", " ", "ж", "क", "́", "😀", "²", "\x00", "x\n", "'re", None]
+    parts = [*PARTS, "×", "÷", "'", "’", "\n\n", "\r\n", "<|", " ", "ж", "क", "́", "😀", "²", "\x00", "x\n", "'re", *"\u1680\u180e\u2000\u200b\u2014\u201d\u2028\u202f\u205f\u20ac\u3000\u3002\u1ec3\ufeff", None]
     made = ["".join(p or "" for p in rand.choices(parts, k=rand.randint(0, 12))) for _ in range(2000)]
     texts = [*made, None, "one\ntwo.\n\nthree|four " * 900, "日本" * 3000, "a<|endoftext|>b c " * 50]
     wanted = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
@@ -107,6 +107,9 @@ def test_pieces_meet_the_library_once():
     coder.encode(pa.array([" word word, word.\nword word|word 12 word!"]))
     coder.encode(pa.array([" word; word"]))
     assert sorted(asked) == sorted([b" word", b"word", b",", b".", b"\n", b"|", b" 12", b"!", b";"])
+    asked.clear()
+    coder.encode(pa.array([" th\u1ec3 \u0436\u0443 th\u1ec3 \u0436\u0443 \u2014 th\u1ec3\u3000th\u1ec3"]))
+    assert sorted(map(bytes.decode, asked)) == sorted([" th\u1ec3", " \u0436\u0443", " \u2014", " th\u1ec3\u3000th\u1ec3"])
 
 
 def test_other_tokenizers_encode_whole_texts():
