@@ -67,3 +67,13 @@ def test_the_search_ends_early_only_below_what_is_asked():
         for least in (1, whole - 1, whole, whole + 1, whole + 20):
             found = fuzzy._common_subsequence(a, b, max(0, least))
             assert found == whole if whole >= least else found < least
+
+
+def test_new_titles_of_a_stream_are_scored_with_few_known_ones(monkeypatch):
+    """A batch of a key meets its stored stories by the same bounds."""
+    known = [Peer.of(t, 0, "a.dk", False) for t in _titles(300, 7)]
+    batch = _tile(_titles(200, 8) + [p.text + " s" for p in known[::30]], 300)
+    seen, plain = [0], fuzzy.score_tokens
+    monkeypatch.setattr(fuzzy, "score_tokens", lambda *x: seen.__setitem__(0, seen[0] + 1) or plain(*x))
+    kept = fuzzy.first_kept(batch, 92, 0, known)
+    assert max(kept) < 200 < seen[0] < 300 * 210 / 25
